@@ -27,6 +27,7 @@ def get_session(master: str | None = None, partitions: int | None = None) -> Spa
         SparkSession.builder.master(master)
         .appName("corkscrew")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
