@@ -70,30 +70,43 @@ def read_csv_skip_bad(
     return kept.select(*[F.when(F.col(c) == "", None).otherwise(F.col(c)).alias(c) for c in columns])
 
 
-def indexed_lines(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
-    """(row_id, line) for the non-blank lines of text files, in file order."""
-    lines = spark.read.text(path)
-    val = F.trim(F.col("value")) if strip else F.col("value")
-    nonblank = lines.select(val.alias("line")).where(F.trim(F.col("line")) != "")
-    return with_row_index(nonblank).select("row_id", "line")
+STRIP_RE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
-def with_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Consecutive 0-based index in scan order, without a shuffle of the data.
+def indexed_lines(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
+    """(row_id, line) for the non-blank lines of text files, in file order.
 
-    Only sound directly over a file scan (+ narrow steps), where partition
-    contents and order are the same on every evaluation.
+    Files are taken in path order and lines in offset order, whatever
+    order the scan packs the file splits in.
     """
-    tagged = df.select(
-        "*",
-        F.spark_partition_id().alias("_pid"),
-        F.monotonically_increasing_id().alias("_mid"),
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     )
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    out = tagged.join(F.broadcast(offsets), "_pid")
-    return out.select(*df.columns, (F.col("_off") + pos).alias(name))
+    stripped = F.regexp_replace(F.col("value"), STRIP_RE, "")
+    val = stripped if strip else F.col("value")
+    nonblank = lines.select(val.alias("line"), "_file", "_block").where(stripped != "")
+    return with_row_index(nonblank, split_cols=["_file", "_block"]).select("row_id", "line")
+
+
+def with_row_index(df: DataFrame, name: str = "row_id", split_cols: list[str] | None = None) -> DataFrame:
+    """Consecutive 0-based index in scan order, computed without moving the rows.
+
+    Each scan split gets its row count and first row tag in one small
+    aggregate (one row per split, broadcast back); a row's index is the
+    count of all earlier splits plus its position inside its split. Splits
+    are ordered by ``split_cols`` (file path, block start) when given, else
+    by scan partition. Only sound directly over a file scan (+ narrow
+    steps), where split contents and order repeat on every evaluation.
+    """
+    keys = split_cols or ["_pid"]
+    tagged = df.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    splits = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    order = Window.orderBy(*keys)
+    offsets = splits.select(*keys, "_first", (F.sum("_n").over(order) - F.col("_n")).alias("_off"))
+    out = tagged.join(F.broadcast(offsets), keys)
+    drop = {"_pid", "_mid", "_first", "_off", *keys}
+    keep = [c for c in df.columns if c not in drop]
+    return out.select(*keep, (F.col("_off") + F.col("_mid") - F.col("_first")).alias(name))
 
 
 def _tokens(line: str = "line"):
