@@ -1,6 +1,6 @@
 """Named queries over the driver tables (see ``registry``)."""
 
-from . import io_plans, knn_plans, text_plans  # noqa: F401  (registers queries)
+from . import io_plans, knn_plans, review_plans, text_plans  # noqa: F401  (registers queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
