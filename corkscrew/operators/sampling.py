@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small
 from .stats import rank_within
 
 BUCKETS = 10_000
@@ -71,8 +72,9 @@ def stratified_sample(
     if (stats["smallest"] or 0) < min_class:
         return plain_sample(df, id_col, r, seed)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    drawn = df.withColumn("_draw", digest)
-    ranked = rank_within(drawn, [label], ["_draw", id_col], "_r")
-    keep = ranked.join(F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes, label)
-    kept = keep.where(F.col("_r") < F.round(F.col("_size") * F.lit(r)))
-    return kept.select(*df.columns)
+    keys = df.select(F.col(id_col), F.col(label), digest.alias("_draw"))
+    ranked = rank_within(keys, [label], ["_draw", id_col], "_r")
+    kept = ranked.join(broadcast_if_small(sizes), label).where(F.col("_r") < F.round(F.col("_size") * F.lit(r)))
+    kept_ids = kept.select(id_col)
+    n_kept = kept_ids.count()
+    return df.join(broadcast_if_small(kept_ids, known_rows=n_kept), id_col).select(*df.columns)

@@ -91,7 +91,13 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.selectExpr(f"stack({len(cols)}, {rows}) AS (column, mean, std, min, max, max_abs)")
 
 
-def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str], name: str = "_rank") -> DataFrame:
+def rank_within(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[Column | str],
+    name: str = "_rank",
+    partitions: int | None = None,
+) -> DataFrame:
     """0-based rank of each row inside its group by ``order_cols``, at any group size.
 
     One range-partitioned sort on (group, order): ranges split a huge
@@ -100,15 +106,26 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[C
     broadcast); subtracting the row count of earlier groups (one row per
     group) gives the rank inside the group. Ties in ``order_cols`` get
     distinct consecutive ranks.
+
+    The sorted, tagged rows are checkpointed (reliable, in the shared
+    checkpoint folder) so the per-task counts and the rows they are
+    applied to come from the same materialised data; pass a narrow
+    projection (keys only) and join the rank back if rows are wide.
     """
+    from ..session import cut_lineage
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) if isinstance(c, str) else c for c in [*group_cols, *order_cols]]
-    sorted_df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    tagged = sorted_df.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    sorted_df = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    tagged = cut_lineage(
+        sorted_df.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    )
     per_task = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     task_off = per_task.select("_pid", "_first", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_toff"))
     pos = tagged.join(F.broadcast(task_off), "_pid").withColumn("_gpos", F.col("_toff") + F.col("_mid") - F.col("_first"))
     if group_cols:
-        sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
+        sizes = tagged.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
         g_off = sizes.select(*group_cols, (F.sum("_gn").over(Window.orderBy(*group_cols)) - F.col("_gn")).alias("_goff"))
         pos = pos.join(broadcast_if_small(g_off), list(group_cols))
         rank = F.col("_gpos") - F.col("_goff")
