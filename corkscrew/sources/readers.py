@@ -18,9 +18,7 @@ from pyspark.sql import types as T
 from ..functions import fixed
 
 OVERFLOW = "_overflow"
-# Never present in data: keeps empty fields as "" so an empty extra field
-# still marks an over-long row.
-_NO_NULL_TOKEN = "\u0000\u0001"
+CORRUPT = "_corrupt"
 INT_TOKEN = r"^[+-]?[0-9]+$"
 
 
@@ -46,27 +44,30 @@ def read_csv_skip_bad(
 ) -> DataFrame:
     """CSV with a header; over-long rows skipped, short rows padded with null.
 
-    One extra ``_overflow`` column catches any field past the header;
-    rows where it is set are dropped (``DROPMALFORMED`` would also drop
-    the short rows, which must be kept). Empty fields become null.
-    ``multi_line`` is only needed when quoted fields hold newlines; it
-    stops splitting single files, so many part files keep the read parallel.
+    The schema is the header plus one ``_overflow`` column and a corrupt-
+    record column. Spark flags every row whose field count differs from
+    that schema, so a row of exactly header + 1 fields is the only one
+    left unflagged: rows are dropped when unflagged or when the overflow
+    field is filled. Short rows are kept (``DROPMALFORMED`` would lose
+    them). Empty fields become null. ``multi_line`` is only needed when
+    quoted fields hold newlines; it stops splitting single files, so many
+    part files keep the read parallel.
     """
     columns = columns or csv_header(spark, path, sep)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns + [OVERFLOW]])
+    fields = [T.StructField(c, T.StringType()) for c in columns + [OVERFLOW, CORRUPT]]
     raw = (
-        spark.read.schema(schema)
+        spark.read.schema(T.StructType(fields))
         .option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("multiLine", multi_line)
-        .option("nullValue", _NO_NULL_TOKEN)
         .option("enforceSchema", True)
         .csv(path)
     )
-    kept = raw.where(F.col(OVERFLOW).isNull())
+    kept = raw.where(F.col(CORRUPT).isNotNull() & F.col(OVERFLOW).isNull())
     return kept.select(*[F.when(F.col(c) == "", None).otherwise(F.col(c)).alias(c) for c in columns])
 
 
