@@ -60,6 +60,52 @@ def ascii_words(text: Column | str, min_len: int = 3) -> Column:
     return F.filter(words(text), lambda w: w.rlike(f"^[a-z]{{{min_len},}}$"))
 
 
+RUN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+
+
+def runs(text: Column | str) -> Column:
+    """Maximal alternating word / non-word runs of the lower-cased text
+    (their concatenation is the whole text)."""
+    return F.regexp_extract_all(lowered(text), F.lit(f"({RUN})"), 1)
+
+
+def term_width(term: str) -> int:
+    """Number of runs a term spans (a term starts and ends with a word character)."""
+    import regex
+
+    return len(regex.findall(RUN, term.lower()))
+
+
+def run_grams(run_arr: Column, width: int) -> Column:
+    """Concatenations of ``width`` consecutive runs (width 1: the runs themselves)."""
+    if width == 1:
+        return run_arr
+    grams = F.transform(
+        F.sequence(F.lit(0), F.size(run_arr) - F.lit(width)),
+        lambda i: F.concat(*[run_arr[i + j] for j in range(width)]),
+    )
+    return F.when(F.size(run_arr) >= width, grams).otherwise(F.array().cast("array<string>"))
+
+
+def whole_word_hit(run_arr: Column, terms: Sequence[str], grams: dict | None = None) -> Column:
+    """True when any term occurs bounded by non-word characters.
+
+    A bounded occurrence of a term made of k words is exactly 2k-1
+    consecutive runs of the text, so the test is a hash-set overlap
+    between the term list and the run n-grams: linear in the text, where
+    a regex alternation retries every term at every position.
+    """
+    by_width: dict[int, list[str]] = {}
+    for t in terms:
+        by_width.setdefault(term_width(t), []).append(t.lower())
+    hit = None
+    for w, ts in sorted(by_width.items()):
+        g = grams[w] if grams and w in grams else run_grams(run_arr, w)
+        one = F.coalesce(F.arrays_overlap(g, F.array(*[F.lit(t) for t in ts])), F.lit(False))
+        hit = one if hit is None else hit | one
+    return hit if hit is not None else F.lit(False)
+
+
 def lexicon_flag(text: Column | str, group: str, terms: Sequence[str], mode: str = "word") -> Column:
     """0/1 flag for one lexicon group.
 
@@ -68,7 +114,9 @@ def lexicon_flag(text: Column | str, group: str, terms: Sequence[str], mode: str
     """
     low = lowered(text)
     if mode == "word":
-        hit = low.rlike(whole_word_pattern(terms))
+        # bind the runs to a lambda variable so the split runs once per row
+        # (an expression used inside the n-gram lambda would be re-run per element)
+        hit = F.element_at(F.transform(F.array(runs(text)), lambda r: whole_word_hit(r, terms)), 1)
     elif mode == "substring":
         hit = F.lit(False)
         for t in terms:
@@ -83,3 +131,31 @@ def lexicon_flag(text: Column | str, group: str, terms: Sequence[str], mode: str
 def lexicon_flags(text: Column | str, lexicon: Mapping[str, Sequence[str]], mode: str = "word") -> list[Column]:
     """One flag column per group, in lexicon order (one wide projection)."""
     return [lexicon_flag(text, g, terms, mode) for g, terms in lexicon.items()]
+
+
+RUNS_COL = "__runs"
+MATCH_COL = "__matched"
+
+
+def terms_by_width(lexicon: Mapping[str, Sequence[str]]) -> dict[int, list[str]]:
+    out: dict[int, set] = {}
+    for terms in lexicon.values():
+        for t in terms:
+            out.setdefault(term_width(t), set()).add(t.lower())
+    return {w: sorted(ts) for w, ts in sorted(out.items())}
+
+
+def matched_terms(run_arr: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
+    """Distinct lexicon terms present as whole words: one hash-set
+    intersection per term width over the run n-grams of the text."""
+    parts = [F.array_intersect(run_grams(run_arr, w), F.array(*[F.lit(t) for t in ts])) for w, ts in terms_by_width(lexicon).items()]
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def flags_from_matches(lexicon: Mapping[str, Sequence[str]]) -> list[Column]:
+    """One 0/1 flag per group from the (small) array of matched terms."""
+    m = F.col(MATCH_COL)
+    return [
+        F.coalesce(F.arrays_overlap(m, F.array(*[F.lit(t.lower()) for t in terms])), F.lit(False)).cast("int").alias(g)
+        for g, terms in lexicon.items()
+    ]

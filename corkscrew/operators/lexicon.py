@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import MATCH_COL, RUNS_COL, flags_from_matches, matched_terms, runs
 from ..functions.text import lexicon_flags as flag_columns
 
 
@@ -17,12 +18,21 @@ def lexicon_flags(
     mode: str = "word",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Add one flag per group in a single projection (narrow, no shuffle).
+    """Add one flag per group (narrow, no shuffle).
 
     ``mode`` is ``word`` (whole words, used for training and serving),
     ``substring`` or ``group_name``; see ``functions.text.lexicon_flag``.
+    In word mode the text is split into runs once, the terms present are
+    found with one hash-set intersection per term width, and each group
+    flag is an overlap test on that small array (40 regex scans of the
+    whole text would cost far more, and a wide projection of large-array
+    tests falls out of generated code).
     """
-    return df.select(*[F.col(c) for c in keep], *flag_columns(text_col, lexicon, mode))
+    if mode != "word":
+        return df.select(*[F.col(c) for c in keep], *flag_columns(text_col, lexicon, mode))
+    with_runs = df.select(*[F.col(c) for c in keep], runs(text_col).alias(RUNS_COL))
+    matched = with_runs.select(*[F.col(c) for c in keep], matched_terms(F.col(RUNS_COL), lexicon).alias(MATCH_COL))
+    return matched.select(*[F.col(c) for c in keep], *flags_from_matches(lexicon))
 
 
 def lexicon_counts(flags: DataFrame, groups: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import lexicon_flags as flag_columns
+from ..operators.lexicon import lexicon_flags
 from ..operators.audit import category_audit
 from ..operators.common import literal_table
 from ..operators.lookup import lookup_default
@@ -52,7 +52,7 @@ def q_table_csv(spark, sf_dir):
 
 def _part_dense(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    flags = part.select("p_partkey", *flag_columns("p_name", PART_LEX, "word"))
+    flags = lexicon_flags(part, "p_name", PART_LEX, "word", keep=["p_partkey"])
     path = scratch_path(spark, "part-dense")
     writers.write_dense(flags, list(PART_LEX), path, order_by="p_partkey")
     return path

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import lexicon_flags as flag_columns
 from ..functions.text import whole_word_pattern
+from ..operators.lexicon import lexicon_flags
 from ..operators import metrics, selection
 from ..operators.detection import task_type_df
 from ..operators.models import classification_registry, fit_pipeline, make_pipeline, regression_registry
@@ -33,8 +33,8 @@ LANG_TE = f"SELECT * FROM ({LANG_SQL}) WHERE {BUCKET.format(id='id')} < 2000"
 
 def lang_flags(spark, sf_dir):
     """Documents as a text-classification set: 7 lexicon flags -> language."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), *flag_columns("text", EXTRA_GROUPS, "word"), F.col("lang").alias("target"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("target"))
+    return lexicon_flags(d, "text", EXTRA_GROUPS, "word", keep=["id", "target"]).select("id", *FEATS, "target")
 
 
 def quality_flags(spark, sf_dir):
