@@ -74,8 +74,10 @@ def recommend(
     """
     nn = neighbours(rec, requests, k, qid_col, text_col)
     id_col = rec.tfidf.id_col
-    # candidates are at most k per request: join the metadata to them, broadcast when small
-    cand = broadcast_if_small(nn, BROADCAST_MAX_ROWS).join(rec.meta, id_col)
+    # candidates are at most k per request: that bound (not a count of the
+    # candidates, which would run the search twice) decides the broadcast
+    bound = requests.count() * k
+    cand = broadcast_if_small(nn, BROADCAST_MAX_ROWS, known_rows=bound).join(rec.meta, id_col)
     cand = lookup_default(cand, colors, "variety", "color", out="bottle_color")
     wishes = requests.select(qid_col, F.col(wish_col).alias("_wish"))
     cand = cand.join(wishes, qid_col)

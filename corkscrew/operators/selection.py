@@ -21,6 +21,7 @@ from . import metrics
 from .cleaning import Preprocessor
 from .detection import MULTILABEL, REGRESSION, detect_task_type
 from .models import Spec, fit_pipeline, make_pipeline, registry
+from ..session import cut_lineage
 from .sampling import holdout_split, plain_sample, sample_ratio, stratified_sample
 
 LEADERBOARD_SCHEMA = (
@@ -174,7 +175,7 @@ def predict(df: DataFrame, model_dir: str, keep: Sequence[str] = ("id",)) -> Dat
 
 def fit(
     df: DataFrame, target: str | Sequence[str], features: Sequence[str] | None = None, dataset: str = "data",
-    mode: str = "stable", n_draws: int = 1, parallelism: int = 2, out_dir: str | None = None,
+    mode: str = "stable", n_draws: int = 1, parallelism: int = 4, out_dir: str | None = None,
     id_col: str = "id", detect_mode: str = "documented", models: Sequence[str] | None = None,
 ) -> dict:
     """Load -> detect -> clean -> search -> refit -> save. Returns the run summary."""
@@ -184,7 +185,10 @@ def fit(
     if task == MULTILABEL:
         return fit_multilabel(df, targets, features, dataset, mode, n_draws, parallelism, out_dir, id_col, models)
     y = targets[0]
-    data = df.withColumn(y, F.col(y).cast("double" if task == REGRESSION else "string"))
+    keep = ([id_col] if id_col in df.columns else []) + features + [y]
+    # one materialised copy of the narrow training table (reliable checkpoint):
+    # cleaning statistics, the search and the refit all read it several times
+    data = cut_lineage(df.select(*keep).withColumn(y, F.col(y).cast("double" if task == REGRESSION else "string")))
     pre = Preprocessor(features=features, passthrough=[id_col, y]).fit(data)
     clean = pre.transform(data).cache()
     board = run_models(clean, pre.output_columns, y, task, dataset, mode, n_draws, parallelism, id_col=id_col, models=models).cache()

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import vectorizer_tokens
+from ..session import cut_lineage
 
 
 @functools.lru_cache(maxsize=None)
@@ -93,6 +94,9 @@ def fit_tfidf(
     )
     top = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
     vocab = top.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
+    # at most max_features rows: materialise once (reliable checkpoint) so the
+    # size checks and joins downstream do not re-tokenise the whole corpus
+    vocab = cut_lineage(vocab)
     return TfidfModel(vocab=vocab, index=weigh(tf, vocab, id_col), n_docs=n_docs, stop=stop, id_col=id_col)
 
 
