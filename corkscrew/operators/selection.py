@@ -8,7 +8,6 @@ pool (``parallelism``), as ``TrainValidationSplit`` does.
 from __future__ import annotations
 
 import json
-import traceback
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 

@@ -11,7 +11,6 @@ checkpoint folder records which files were already consumed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators.recommend import Recommender, recommend
