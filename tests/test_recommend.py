@@ -75,3 +75,17 @@ def test_response_shape(spark, rec, colors):
     resp = respond(ans).first()
     assert resp["category"] == "Inconnu (Couleur non garantie)"
     assert resp["bottle"]["description"].endswith("...") and resp["bottle"]["price"] == 0.0
+
+
+def test_salted_join_equals_broadcast_join(spark, rec):
+    """Forcing the large-request path (salted shuffle join) gives the same neighbours."""
+    from corkscrew.operators.knn import knn_cosine
+    from corkscrew.operators.tfidf import transform_tfidf
+
+    r = reqs(spark, [(1, "pepper smoke", None), (2, "citrus honey", None), (3, "zzzz", None), (4, "oak cherry", None)])
+    qw = transform_tfidf(rec.tfidf, r, "request_id", "features")
+    ids = rec.meta.select("id")
+    small = knn_cosine(qw, rec.tfidf.index, r.select("request_id"), ids, 4)
+    salted = knn_cosine(qw, rec.tfidf.index, r.select("request_id"), ids, 4, broadcast_max_rows=0, salt=3)
+    assert sorted(tuple(x) for x in small.collect()) == sorted(tuple(x) for x in salted.collect())
+    assert small.count() == 16
