@@ -16,7 +16,9 @@ equal pieces are broken by id, piece and checksum.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,8 +32,8 @@ from pyspark.sql import types as T
 from . import text as X
 from .spark import STEP_BYTES, settle, ship, worker_state
 
-#: Entries of a worker's word cache; the older half goes when it is full.
-CACHE_WORDS = 400_000
+#: Entries of a worker's word cache; words beyond it are tokenized each time.
+CACHE_WORDS = 600_000
 
 
 class WordIds(dict):
@@ -39,64 +41,71 @@ class WordIds(dict):
 
     The tokenizer's normaliser and splitter never join across white space, so
     a text's ids are those of its words one after the other. Words repeat, so
-    their ids are kept; the vocabulary, its merges and its splitting rules are
-    the tokenizer's own.
+    their ids are kept. Words of characters below U+0250 (nothing there
+    composes, and letters are the same in every Unicode version) are split
+    here and given to the tokenizer's model part by part; texts with other
+    characters go through the whole tokenizer, word by word.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.old: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
         self.parts: dict[str, bytes] = {}
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.rare: dict[str, bytes] = {}
+        low = [chr(c) for c in range(0x250)]
+        letters, numbers = ("".join(c for c in low if unicodedata.category(c)[0] == kind) for kind in "LN")
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in keep]
-        self.alphabet = {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.simple = self._is_simple()
-
-    def _is_simple(self) -> bool:
-        """Does the short cut give the tokenizer's own ids on probing words?"""
-        probes = ["Word's", "naïve,", "ÀÉ12x", "a%%%b", "'LL", "ß", "x\x7fy", "½²", "İ", "ÿĀſ", "don't", "...", "'", "mm'd9"]
-        return all(self._short(w) == self._whole(w) for w in probes)
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in keep)}
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        # \x1c-\x1f end a word for str.split but not for the tokenizer
+        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *specials]
+        self.high = re.compile("[\u0250-\U0010ffff]").search
+        probes = "Word's naïve, ÀÉ12x a%%%b 'LL ß x\x7fy ½² İ ÿĀſ don't ... ' mm'd9 ¿Qué? ŉ ǰǅ"
+        self.plain = self._short_text(probes) == self._whole(probes)
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _short(self, word: str) -> bytes:
-        out = []
-        for part in self.split(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                found = [t.id for t in self.model.tokenize(part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.alphabet))]
-                if len(self.parts) >= CACHE_WORDS // 2:
-                    self.parts.clear()
-                ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _short_text(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def _part(self, part: str) -> bytes:
+        coded = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.alphabet)
+        ids = b"".join([self.packed[t.id] for t in self.tokenize(coded)])
+        if len(self.parts) < CACHE_WORDS // 2:
+            self.parts[part] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            # below U+0250 there is nothing to compose, and letters are the same in every Unicode version
-            plain = self.simple and max(word) < "ɐ" and not any(s in word for s in self.specials)
-            ids = self._short(word) if plain else self._whole(word)
-        if len(word) <= 64:  # long ones hardly repeat
-            if len(self) >= CACHE_WORDS // 2:
-                self.old = dict(self)
-                self.clear()
+        low, parts = word.lower(), self.parts
+        if low.isalpha():
+            ids = parts.get(low) or self._part(low)
+        else:
+            ids = b"".join([parts.get(x) or self._part(x) for x in self.split(low)])
+        if len(self) < CACHE_WORDS and len(word) <= 64:  # frequent words come early; long ones hardly repeat
             self[word] = ids
         return ids
 
+    def _rare(self, word: str) -> bytes:
+        if not self.high(word):
+            return self[word]
+        ids = self.rare.get(word)
+        if ids is None:
+            ids = self._whole(word)
+            if len(self.rare) < CACHE_WORDS // 4:
+                self.rare[word] = ids
+        return ids
+
     def text(self, text: str) -> bytes:
-        # \x1c-\x1f end a word for str.split but not for the tokenizer
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if not self.plain or any([x in text for x in self.odd]):
             return self._whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if self.high(text):
+            return b"".join(map(self._rare, text.split()))
+        return self._short_text(text)
 
 
 def word_ids(path: str) -> WordIds:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corkscrew.session import table
 
-from . import packing, quality, simhash, substring, toxicity
+from . import chat, packing, quality, simhash, substring, topk, toxicity, urls
 from .spark import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,27 @@ def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
+@query
+def op2_exact_topk(spark, sf_dir):
+    rows = topk.quantize(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, rows.where(F.col("id") % 50 == 0), k=5)
+
+
+URL_RULES = [
+    urls.Rule("allow", "com/"),
+    urls.Rule("block", "example.com/en/"),
+    urls.Rule("allow", "www.example.com/en/"),
+    urls.Rule("block", "net/es/"),
+    urls.Rule("block", "net/fr/"),
+]
+
+
+@query
+def op3_url_filter(spark, sf_dir):
+    out = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "blocked_score")
+
+
 @query
 def op4_quality_rules(spark, sf_dir):
     out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,6 +74,14 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op7_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+
+
 @query
 def op8_substring_dedup(spark, sf_dir):
     out = substring.remove_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
