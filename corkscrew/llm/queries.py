@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corkscrew.session import table
 
-from . import chat, packing, quality, simhash, substring, topk, toxicity, urls
+from . import chat, ngram_lm, packing, quality, sentencepiece_fst, simhash, substring, topk, toxicity, urls
 from .spark import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,16 @@ def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
+@query
+def op1_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = sentencepiece_fst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = sentencepiece_fst.decode(ids, model)
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 @query
 def op2_exact_topk(spark, sf_dir):
     rows = topk.quantize(table(spark, sf_dir, "embeddings"))
@@ -88,6 +98,11 @@ def op8_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op9_lm_score(spark, sf_dir):
+    return ngram_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

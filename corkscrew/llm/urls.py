@@ -25,6 +25,34 @@ from . import text as X
 from .spark import STEP_BYTES, ship
 
 
+# Words of hosts that the small labelled table blocks or allows.
+BLOCKED_WORDS = (
+    "adult ads bet bets betting bonus casino cheap click clickbait dating escort farm free gamble "
+    "hack jackpot loan lottery lucky malware meds nude pharma pills poker porn prize replica "
+    "sex slots spam toplist track tracker viagra warez webcam win winner xxx x"
+).split()
+ALLOWED_WORDS = (
+    "academy archive art atlas blog book books calendar city college community cooking docs edu "
+    "forum garden gazette guide health history home journal lab library local m magazine maps "
+    "museum music nature news open paper park press radio recipes research review school "
+    "science shop society sport stories travel university weather wiki work www"
+).split()
+
+
+def labelled_table() -> list[tuple[str, str, bool]]:
+    """The small labelled URL table: (host, path, blocked) rows made of the
+    words above, alone and in pairs, over the same endings and paths."""
+    paths = ["/", "/en/1", "/fr/27", "/de/358/", "/es/4.html", ""]
+    rows = []
+    for words, blocked in ((BLOCKED_WORDS, True), (ALLOWED_WORDS, False)):
+        for i, a in enumerate(words):
+            b = words[(7 * i + 3) % len(words)]
+            for j, name in enumerate((f"{a}-{b}", f"{b}-{a}") if blocked else (a, f"{a}{b}", f"{b}.{a}", f"blog.{a}", f"m.{a}")):
+                for k, end in enumerate(("com", "net", "org")):
+                    rows.append((f"{name}.example.{end}", paths[(i + 2 * j + k) % len(paths)], blocked))
+    return rows
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str  # allow or block
@@ -145,12 +173,12 @@ def predict(split: DataFrame, model: UrlModel) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame | None = None, *, url: str = "url", **fit_args) -> DataFrame:
     """``pages`` with host, path, rule, ``blocked_score`` and ``verdict``.
 
-    Without a ``labelled`` table (host, path, blocked), the urls that the
-    rules decide are the labelled ones.
+    ``labelled`` has the columns host, path, blocked; ``labelled_table`` is
+    taken unless it is given.
     """
     ruled = by_rules(parts(pages, url), rules)
     if labelled is None:
-        labelled = ruled.where(F.col("rule").isNotNull()).select("host", "path", (F.col("rule_verdict") == "block").alias("blocked"))
+        labelled = pages.sparkSession.createDataFrame(labelled_table(), "host string, path string, blocked boolean")
     out = predict(ruled, fit(labelled, **fit_args))
     own = F.when(F.col("blocked_score") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumn("verdict", F.coalesce("rule_verdict", own)).drop("rule_verdict")
