@@ -200,7 +200,7 @@ def _scored(b: _Block, row: dict, order: int, min_count: int, alpha: float, toke
         seen = full >= min_count
         log[last[seen]] = np.log(full[seen] / b.count[n - 1][first[seen]])
     n_docs = len(b.bounds) - 1
-    total = np.bincount(b.owner, weights=log, minlength=n_docs)
+    total = np.bincount(b.owner, weights=log, minlength=n_docs).astype(float)  # without tokens numpy counts in integers
     n_tokens = np.diff(b.bounds)
     ids, known = np.frombuffer(row["ids"][: 8 * n_docs], "<i8"), np.frombuffer(row["ids"][8 * n_docs :], np.uint8) == 1
     none = n_tokens == 0
