@@ -34,6 +34,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Shares of the text's bytes that serve as features beside the words.
 SHAPES = ("upper", "digit", "symbol", "space")
+#: Chi-square (one degree of freedom) that chance passes once in a thousand.
+SIGNIFICANT = 10.83
 
 
 @dataclass
@@ -100,7 +102,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> np.ndarray
 
 
 def _select(owner: np.ndarray, h: np.ndarray, y: np.ndarray, min_texts: int, size: int) -> np.ndarray:
-    """Words in ``min_texts`` texts at least with the largest chi-square for any category."""
+    """Words in ``min_texts`` texts at least with the largest chi-square for
+    any category, if that is significant (``SIGNIFICANT``)."""
     vocab, code, df = np.unique(h, return_inverse=True, return_counts=True)
     n, best = len(y), np.zeros(len(vocab))
     for col in y.T:
@@ -108,9 +111,9 @@ def _select(owner: np.ndarray, h: np.ndarray, y: np.ndarray, min_texts: int, siz
         if 0 < p < 1:
             hit = np.bincount(code, weights=col[owner], minlength=len(vocab))
             best = np.maximum(best, (hit - df * p) ** 2 / (df * p * (1 - p) * np.maximum(1 - df / n, 1e-9)))
-    best[df < min_texts] = -1
+    best[df < min_texts] = 0
     keep = np.argsort(-best, kind="stable")[:size]
-    return np.sort(vocab[keep[best[keep] >= 0]])
+    return np.sort(vocab[keep[best[keep] >= SIGNIFICANT]])
 
 
 def fit(
@@ -124,8 +127,8 @@ def fit(
     folds: int = 3,
     vocabulary: int = 600,
     min_texts: int = 4,
-    l2: float = 1e-4,
-    steps: int = 300,
+    l2: float = 1e-5,
+    steps: int = 400,
 ) -> Chain:
     """Fit the chain on at most ``sample_rows`` labelled rows.
 
@@ -168,7 +171,7 @@ def fit(
     h = lists.flatten().to_numpy().view(np.uint64)
     y = np.array(rows["y"].to_pylist(), float)
     vocab = _select(owner, h, y, min_texts, vocabulary)
-    x = _matrix(owner, h, np.array(rows["shape"].to_pylist(), float), vocab).astype(np.float32)
+    x = _matrix(owner, h, np.array(rows["shape"].to_pylist(), float), vocab)
     fold = np.arange(n) % folds
     out = []
     for i, name in enumerate(categories):
@@ -184,13 +187,19 @@ def fit(
     return Chain(vocab, out)
 
 
+def _known(owner: np.ndarray, h: np.ndarray, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, vocabulary number) of the words that the vocabulary holds."""
+    if not len(vocab):
+        return owner[:0], owner[:0]
+    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+    hit = vocab[at] == h
+    return owner[hit], at[hit]
+
+
 def _matrix(owner: np.ndarray, h: np.ndarray, shape: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(shape), len(vocab) + len(SHAPES)))
+    x = np.zeros((len(shape), len(vocab) + len(SHAPES)), np.float32)
     x[:, len(vocab) :] = shape
-    if len(vocab):
-        at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-        hit = vocab[at] == h
-        x[owner[hit], at[hit]] = 1
+    x[_known(owner, h, vocab)] = 1
     return x
 
 
@@ -206,12 +215,13 @@ def predict(docs: DataFrame, chain: Chain, *, text: str = "text", suffix: str =
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for lo, hi in X.row_slices(column, STEP_BYTES):
-                x = _matrix(*_features(*X.utf8(column.slice(lo, hi - lo))), chain.vocabulary)
-                probs = []
+                owner, h, dense = _features(*X.utf8(column.slice(lo, hi - lo)))
+                row, at = _known(owner, h, chain.vocabulary)
                 for c in chain.categories:
-                    p = _sigmoid(x @ c.weights[:-1] + c.weights[-1])
-                    probs.append(pa.array(p))
-                    x = np.hstack([x, p[:, None]])
+                    words, rest = c.weights[: len(chain.vocabulary)], c.weights[len(chain.vocabulary) : -1]
+                    p = _sigmoid(np.bincount(row, weights=words[at], minlength=hi - lo) + dense @ rest + c.weights[-1])
+                    dense = np.hstack([dense, p[:, None]])
+                probs = [pa.array(dense[:, len(SHAPES) + i]) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *probs], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
