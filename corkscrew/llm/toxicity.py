@@ -84,21 +84,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> np.ndarray
     if share in (0.0, 1.0):
         w[-1] = 35 if share else -35
         return w
-    xb = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    v = np.ones(xb.shape[1]) / np.sqrt(xb.shape[1])
+    # one precision throughout: a mixed product would copy the matrix at every step
+    xb = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    y, w = y.astype(np.float32), w.astype(np.float32)
+    v = np.full(xb.shape[1], 1 / np.sqrt(xb.shape[1]), np.float32)
     for _ in range(20):  # largest curvature by power iteration
         v = xb.T @ (xb @ v)
         v /= np.linalg.norm(v) or 1.0
-    rate = 1 / (0.25 * np.linalg.norm(xb @ v) ** 2 * 1.05 / len(x) + l2)
-    reg = np.full(len(w), l2)
+    rate = np.float32(1 / (0.25 * float(np.linalg.norm(xb @ v)) ** 2 * 1.05 / len(x) + l2))
+    reg = np.full(len(w), l2, np.float32)
     reg[-1] = 0
     ahead, t = w, 1.0
     for _ in range(steps):
         new = ahead - rate * (xb.T @ (_sigmoid(xb @ ahead) - y) / len(x) + reg * ahead)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = new + (t - 1) / t_new * (new - w)
+        ahead = new + np.float32((t - 1) / t_new) * (new - w)
         w, t = new, t_new
-    return w
+    return w.astype(float)
 
 
 def _select(owner: np.ndarray, h: np.ndarray, y: np.ndarray, min_texts: int, size: int) -> np.ndarray:
