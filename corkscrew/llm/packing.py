@@ -33,7 +33,7 @@ from . import text as X
 from .spark import STEP_BYTES, settle, ship, worker_state
 
 #: Entries of a worker's word cache; words beyond it are tokenized each time.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 
 
 class WordIds(dict):

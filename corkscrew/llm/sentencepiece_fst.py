@@ -39,8 +39,8 @@ from .spark import STEP_BYTES, ship, worker_state
 
 SPACE = "▁"
 #: Entries of a worker's tables; beyond them paths are found anew each time.
-CACHE_WORDS = 500_000
-CACHE_PAIRS = 500_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 

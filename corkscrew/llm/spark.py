@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corkscrew.session import scratch_path
 
 #: Text per vectorised step; bounds a worker's memory whatever the batch holds.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def ship(package: str = "corkscrew.llm") -> None:
