@@ -39,7 +39,7 @@ from .spark import STEP_BYTES, ship, worker_state
 
 SPACE = "▁"
 #: Entries of a worker's tables; beyond them paths are found anew each time.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 350_000
 CACHE_PAIRS = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -94,6 +94,7 @@ class PieceModel:
         self.unknown = next(i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN)
         self.open = {p[:n] for p in self.score for n in range(1, len(p) + 1)}  # the lexicon's states
         self.worst = min(self.score.values(), default=0.0) - 10
+        self.inner = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         # a word's start is a single state if no piece crosses it
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.score)
         self.output = [p.replace(SPACE, " ").encode() if t == NORMAL else b"" for p, _, t in pieces]
@@ -130,33 +131,72 @@ class PieceModel:
     # -- shortest path through the composition with one normalised stretch
 
     def path(self, text: str) -> list[str]:
-        n, lexicon, states, bpe = len(text), self.score, self.open, self.kind == BPE
-        cost: list[float | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        cost[0] = 0.0
+        return self._only_path(text) if self.kind == BPE else self._cheapest_path(text)
+
+    def _arcs(self, text: str, i: int) -> list[int]:
+        """Ends of the lexicon's arcs from place ``i``, short to long."""
+        states, lexicon, n = self.open, self.score, len(text)
+        ends, j = [i + 1], i + 1  # one character always passes: byte fallback
+        while text[i:j] in states and j < n:
+            j += 1
+            if text[i:j] in lexicon:
+                ends.append(j)
+        return ends
+
+    def _cheapest_path(self, text: str) -> list[str]:
+        n, lexicon, worst = len(text), self.score, self.worst
+        cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
         for i in range(n):
-            here = cost[i]
-            if here is None:
+            for j in self._arcs(text, i):
+                weight = cost[i] - lexicon.get(text[i:j], worst)
+                if weight < cost[j]:
+                    cost[j], back[j] = weight, i
+        return self._walk(text, back)
+
+    def _only_path(self, text: str) -> list[str]:
+        """The composition is unfolded depth first, long arcs first. A place is
+        entered once: one path of finite weight leads to it."""
+        n, back, entered = len(text), [0] * (len(text) + 1), {0}
+        stack, stable, known = [(0, 0, self._arcs(text, 0))], self._stable, self.pairs
+        while stack:
+            before, i, ends = stack[-1]
+            if not ends:
+                stack.pop()
                 continue
-            last = text[back[i] : i]
-            for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                go = piece in states
-                score = lexicon.get(piece)
-                if score is None and j == i + 1:
-                    score = self.worst  # byte fallback
-                if score is not None:
-                    weight = here if bpe else here - score
-                    if (cost[j] is None or weight < cost[j]) and (not bpe or i == 0 or self._stable(last, piece)):
-                        cost[j], back[j] = weight, i
-                if not go:
-                    break
-        out, j = [], n
+            j = ends.pop()
+            if j in entered:
+                continue
+            if i:
+                pair = text[before:i], text[i:j]
+                good = known.get(pair)
+                if not (stable(*pair) if good is None else good):
+                    continue
+            back[j] = i
+            if j == n:
+                break
+            entered.add(j)
+            stack.append((i, j, self._arcs(text, j)))
+        return self._walk(text, back)
+
+    @staticmethod
+    def _walk(text: str, back: list[int]) -> list[str]:
+        out, j = [], len(text)
         while j:
             out.append(text[back[j] : j])
             j = back[j]
         return out[::-1]
 
+    def cut(self, text: str) -> list[str]:
+        """Parts of a stretch between characters that stand together in no
+        piece: every path has a state there, and no pair across it merges."""
+        inner, lo, out = self.inner, 0, []
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in inner:
+                out.append(text[lo:i])
+                lo = i
+        out.append(text[lo:])
+        return out
+
     def ids_of(self, text: str) -> bytes:
         ids: list[int] = []
         for piece in self.path(text):
@@ -167,20 +207,29 @@ class PieceModel:
                 ids += [self.byte[b] for b in piece.encode()]
             else:
                 ids.append(self.unknown)
-        if not self.byte:  # neighbouring unknowns are one
-            ids = [x for k, x in enumerate(ids) if not (k and x == self.unknown == ids[k - 1])]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _stretch(self, text: str) -> bytes:
+    def _part(self, text: str) -> bytes:
         ids = self.words.get(text)
         if ids is None:
             ids = self.ids_of(text)
-            if len(text) <= 64 and len(self.words) < CACHE_WORDS // 4:
+            if len(text) <= 64 and len(self.words) < CACHE_WORDS:
                 self.words[text] = ids
         return ids
 
+    def _stretch(self, text: str) -> bytes:
+        return b"".join(map(self._part, self.cut(text)))
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian uint32 bytes."""
+        raw = self._encode(text)
+        if self.byte or not raw:
+            return raw
+        ids = np.frombuffer(raw, "<u4")  # without byte fallback, neighbouring unknowns are one
+        stay = np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))
+        return ids[stay].tobytes()
+
+    def _encode(self, text: str) -> bytes:
         if self.trim:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
@@ -188,7 +237,7 @@ class PieceModel:
         if self.dummy:
             text = " " + text
         if not self.by_word:
-            return self.ids_of(text.replace(" ", SPACE))
+            return self._stretch(text.replace(" ", SPACE))
         out = []
         for k, line in enumerate(text.split("\n")):
             if k:
@@ -211,10 +260,10 @@ class _AfterSpace(dict):
     """Ids of a word with one space before it."""
 
     def __init__(self, model: PieceModel):
-        self.ids_of = model.ids_of
+        self.stretch = model._stretch
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.ids_of(SPACE + word)
+        ids = self.stretch(SPACE + word)
         if len(self) < CACHE_WORDS and len(word) <= 64:
             self[word] = ids
         return ids
