@@ -19,7 +19,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_
     ``known_rows`` skips the count when the caller already has a proven
     bound (a parameter list, a top-N result).
     """
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
+    n = known_rows if known_rows is not None else df.count()
     return F.broadcast(df) if n <= max_rows else df
 
 

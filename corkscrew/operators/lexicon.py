@@ -41,6 +41,6 @@ def lexicon_counts(flags: DataFrame, groups: Sequence[str]) -> DataFrame:
     One aggregate over all flag columns, then a ``stack`` to long form.
     """
     sums = flags.agg(*[F.sum(F.col(g)).cast("bigint").alias(g) for g in groups])
-    pairs = ", ".join(f"'{g}', `{g}`" for g in groups)
-    long = sums.selectExpr(f"stack({len(groups)}, {pairs}) AS (`group`, documents)")
+    pairs = [x for g in groups for x in (F.lit(g), F.col("`" + g.replace("`", "``") + "`"))]
+    long = sums.select(F.stack(F.lit(len(groups)), *pairs).alias("group", "documents"))
     return long.where(F.col("documents") > 0)

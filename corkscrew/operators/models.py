@@ -227,7 +227,6 @@ class Spec:
     closed: bool = False  # closed-form model on plain columns
     defaults: dict = field(default_factory=dict)
     ranges: dict = field(default_factory=dict)  # name -> (low, high, integer?)
-    quadratic: bool = False  # cost grows with rows^2: left out on large data
 
 
 def _ovr(est, n_classes: int):

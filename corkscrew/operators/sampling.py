@@ -35,8 +35,11 @@ def with_split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: int = 4
 
 
 def plain_sample(df: DataFrame, id_col: str, ratio: float, seed: int = 42) -> DataFrame:
-    """Unstratified sample: rows whose bucket is below ``ratio``."""
-    return df.where(hash_bucket(id_col, seed) < int(round(ratio * BUCKETS)))
+    """Unstratified sample: rows whose 60-bit draw is below ``ratio`` (no
+    ratio above 1e-18 is rounded to nothing)."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    draw = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    return df.where(draw < int(round(ratio * 2**60)))
 
 
 def sample_ratio(n_rows: int, ratio: float, cap: int) -> float:

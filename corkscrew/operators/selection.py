@@ -21,14 +21,15 @@ from .cleaning import Preprocessor
 from .detection import MULTILABEL, REGRESSION, detect_task_type
 from .models import Spec, fit_pipeline, make_pipeline, registry
 from ..session import cut_lineage
-from .sampling import holdout_split, plain_sample, sample_ratio, stratified_sample
+from .sampling import holdout_split, plain_sample, stratified_sample
+from ..sources.readers import path_exists
 
 LEADERBOARD_SCHEMA = (
     "dataset string, mode string, model string, params map<string,string>, "
     "accuracy double, macro_f1 double, r2 double, error string"
 )
-# Quadratic-cost models are left out above these sizes (as the original does).
-MAX_CELLS, MAX_ROWS = 500_000, 10_000
+# Share of the rows that the model search works on, by mode (1: all of them).
+SEARCH_SHARE = {"stable": 0.3, "explo": 1.0}
 
 
 def draw_params(spec: Spec, n_draws: int, seed: int = 42) -> list[dict]:
@@ -61,24 +62,28 @@ def random_search(
     for params in draw_params(spec, n_draws, seed):
         model = fit_pipeline(make_pipeline(name, spec, params, features, target, n_classes), train)
         sc = evaluate(model, valid, target, task_type)
-        if best is None or (sc[metric] is not None and sc[metric] > best[1][metric]):
+        if best is None or (sc[metric] is not None and (best[1][metric] is None or sc[metric] > best[1][metric])):
             best = (params, sc)
     return best
 
 
 def run_models(
     df: DataFrame, features: Sequence[str], target: str, task_type: str, dataset: str = "data",
-    mode: str = "stable", n_draws: int = 1, parallelism: int = 2, sample: float = 0.3, cap: int = 50_000,
+    mode: str = "stable", n_draws: int = 1, parallelism: int = 2, sample: float | None = None, cap: int = 50_000,
     id_col: str = "id", models: Sequence[str] | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Leaderboard of every registry model on a holdout split of a (stratified) sample.
+    """Leaderboard of every registry model on a holdout split of a sample.
+
+    ``sample``: share of the rows, ``SEARCH_SHARE`` of the mode unless given.
+    ``cap``: most rows of a classifier's stratified sample; a regression's
+    sample has no cap. The winner is refitted on all rows in either case.
 
     A model that fails becomes a row with its error and no score.
     """
     spark = df.sparkSession
-    n = df.count()
+    sample = SEARCH_SHARE.get(mode, 1.0) if sample is None else sample
     if task_type == REGRESSION:
-        sub = plain_sample(df, id_col, sample_ratio(n, sample, cap), seed + 1) if sample < 1 else df
+        sub = plain_sample(df, id_col, sample, seed + 1) if sample < 1 else df
     else:
         sub = stratified_sample(df, id_col, target, sample, cap, seed + 1) if sample < 1 else df
     train, valid = holdout_split(sub, id_col, 0.2, seed)
@@ -87,9 +92,6 @@ def run_models(
     specs = registry(task_type, mode)
     if models:
         specs = {k: v for k, v in specs.items() if k in models}
-    n_sub = train.count()
-    if n_sub > MAX_ROWS or n_sub * len(features) > MAX_CELLS:
-        specs = {k: v for k, v in specs.items() if not v.quadratic}
 
     def one(item):
         name, spec = item
@@ -176,13 +178,18 @@ def fit(
     df: DataFrame, target: str | Sequence[str], features: Sequence[str] | None = None, dataset: str = "data",
     mode: str = "stable", n_draws: int = 1, parallelism: int = 4, out_dir: str | None = None,
     id_col: str = "id", detect_mode: str = "documented", models: Sequence[str] | None = None,
+    sample: float | None = None, cap: int = 50_000,
 ) -> dict:
-    """Load -> detect -> clean -> search -> refit -> save. Returns the run summary."""
+    """Load -> detect -> clean -> search -> refit -> save. Returns the run summary.
+
+    ``sample`` and ``cap`` bound the rows of the model search as in
+    ``run_models``; cleaning and the refit see all rows.
+    """
     targets = [target] if isinstance(target, str) else list(target)
     features = list(features or [c for c in df.columns if c not in targets and c != id_col])
     task = detect_task_type(df, targets, detect_mode)
     if task == MULTILABEL:
-        return fit_multilabel(df, targets, features, dataset, mode, n_draws, parallelism, out_dir, id_col, models)
+        return fit_multilabel(df, targets, features, dataset, mode, n_draws, parallelism, out_dir, id_col, models, sample, cap)
     y = targets[0]
     keep = ([id_col] if id_col in df.columns else []) + features + [y]
     # one materialised copy of the narrow training table (reliable checkpoint):
@@ -190,7 +197,7 @@ def fit(
     data = cut_lineage(df.select(*keep).withColumn(y, F.col(y).cast("double" if task == REGRESSION else "string")))
     pre = Preprocessor(features=features, passthrough=[id_col, y]).fit(data)
     clean = pre.transform(data).cache()
-    board = run_models(clean, pre.output_columns, y, task, dataset, mode, n_draws, parallelism, id_col=id_col, models=models).cache()
+    board = run_models(clean, pre.output_columns, y, task, dataset, mode, n_draws, parallelism, sample, cap, id_col, models).cache()
     metric = score_column(task)
     winner = best_model(board, metric).first()
     summary = {"dataset": dataset, "task_type": task, "leaderboard": board, "n_models_tested": board.count()}
@@ -203,12 +210,12 @@ def fit(
     return summary
 
 
-def fit_multilabel(df, targets, features, dataset, mode, n_draws, parallelism, out_dir, id_col, models=None) -> dict:
+def fit_multilabel(df, targets, features, dataset, mode, n_draws, parallelism, out_dir, id_col, models=None, sample=None, cap=50_000) -> dict:
     """One binary model per label column; a row is right only when every label is."""
     rows = []
     for t in targets:
         sub = fit(df.drop(*[x for x in targets if x != t]), t, features, f"{dataset}:{t}", mode, n_draws, parallelism,
-                  f"{out_dir}/{t}" if out_dir else None, id_col, "as_run", models)
+                  f"{out_dir}/{t}" if out_dir else None, id_col, "as_run", models, sample, cap)
         rows.append(sub)
     return {"dataset": dataset, "task_type": MULTILABEL, "per_label": rows}
 
@@ -228,9 +235,9 @@ def fit_many(
 ) -> DataFrame:
     """Fit several data sets; ones already in the results table are skipped and
     an error becomes a result row, so a rerun resumes where it stopped."""
-    try:
+    if path_exists(spark, results_path):
         done = spark.read.parquet(results_path).select("dataset")
-    except Exception:  # noqa: BLE001 - no results yet
+    else:
         done = spark.createDataFrame([], "dataset string")
     todo = spark.createDataFrame([(d[0],) for d in datasets], "dataset string").join(done, "dataset", "left_anti")
     todo_names = {r["dataset"] for r in todo.collect()}  # one row per requested data set

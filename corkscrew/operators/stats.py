@@ -69,14 +69,6 @@ def distinct_and_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return per_value.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), best["value"].alias("mode"))
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
-    """Exact distinct non-null values per column."""
-    if not cols:
-        return {}
-    row = df.agg(*[F.count_distinct(_q(c)).alias(c) for c in cols]).first()
-    return {c: int(row[c]) for c in cols}
-
-
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: mean, population std, min, max, max |x| (one aggregate)."""
     aggs = []
@@ -87,8 +79,8 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.max(F.abs(x)).alias(f"abs{i}"),
         ]
     wide = df.agg(*aggs)
-    rows = ", ".join(f"'{c}', mean{i}, std{i}, min{i}, max{i}, abs{i}" for i, c in enumerate(cols))
-    return wide.selectExpr(f"stack({len(cols)}, {rows}) AS (column, mean, std, min, max, max_abs)")
+    rows = [x for i, c in enumerate(cols) for x in (F.lit(c), *(F.col(f"{k}{i}") for k in ("mean", "std", "min", "max", "abs")))]
+    return wide.select(F.stack(F.lit(len(cols)), *rows).alias("column", "mean", "std", "min", "max", "max_abs"))
 
 
 def rank_within(

@@ -358,7 +358,7 @@ def q_holdout(spark, sf_dir):
 @register(
     "smp_plain",
     "SELECT l_orderkey, l_linenumber FROM lineitem WHERE "
-    "(CAST(('0x' || substr(md5('42:' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)), 1, 8)) AS BIGINT) % 10000) < 3000",
+    "CAST(('0x' || substr(md5('42:' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)), 1, 15)) AS BIGINT) < 345876451382054080",
 )
 def q_plain(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")

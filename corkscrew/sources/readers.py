@@ -22,7 +22,7 @@ CORRUPT = "_corrupt"
 INT_TOKEN = r"^[+-]?[0-9]+$"
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -152,7 +152,8 @@ def read_sparse(spark: SparkSession, path: str, lines: DataFrame | None = None)
     """
     lines = lines if lines is not None else indexed_lines(spark, path)
     ent = sparse_entries(spark, path, lines)
-    width = (ent.agg(F.max("idx")).first()[0] or -1) + 1
+    top = ent.agg(F.max("idx")).first()[0]
+    width = 0 if top is None else top + 1
     per_row = ent.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "val"))).alias("m"))
     rows = lines.select("row_id").join(per_row, "row_id", "left")
     return rows.select(
@@ -193,7 +194,7 @@ def sniff_format_df(lines: DataFrame, probe: int = 20) -> DataFrame:
 
 def read_features(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
     """Feature file in any of the three formats (``auto`` sniffs it)."""
-    if not _path_exists(spark, path):
+    if not path_exists(spark, path):
         raise FileNotFoundError(path)
     lines = indexed_lines(spark, path).cache()
     fmt = sniff_format(spark, path, lines=lines) if fmt == "auto" else fmt
@@ -222,7 +223,7 @@ def align(features: DataFrame, labels: DataFrame) -> DataFrame:
 def read_json_map(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
     """A flat JSON object as a two-column table; a missing file gives an empty table."""
     schema = f"{key} string, {value} string"
-    if not _path_exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     whole = spark.read.text(path, wholetext=True)
     m = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))

@@ -104,3 +104,19 @@ def test_ridge_gram_matches_numpy(spark):
     assert m.coef["weights"][1] == pytest.approx(list(w), rel=1e-6)
     pred = m.transform(df).select("y", "prediction").collect()
     assert sum(r["y"] == r["prediction"] for r in pred) / len(pred) > 0.9
+
+
+def test_plain_sample_keeps_rows_at_tiny_ratios(spark):
+    from corkscrew.operators.sampling import plain_sample
+
+    ids = spark.range(400_000)
+    assert 0 < plain_sample(ids, "id", 2.5e-5).count() < 60
+    assert abs(plain_sample(ids, "id", 0.3).count() - 120_000) < 2_000
+
+
+def test_statistics_of_names_with_apostrophes(spark):
+    from corkscrew.operators.stats import moments
+
+    df = spark.createDataFrame([(1.0,), (3.0,)], ["L'Aventure"])
+    row = moments(df, ["L'Aventure"]).first()
+    assert (row["column"], row["mean"], row["max_abs"]) == ("L'Aventure", 2.0, 3.0)

@@ -116,3 +116,11 @@ def test_dense_writer_round_trip(spark, tmp):
     path = writers.write_dense(df, ["a", "b"], f"{tmp}/m", order_by="id")
     back = readers.read_dense(spark, path).orderBy("row_id").collect()
     assert [(r["f0"], r["f1"]) for r in back] == [(float(i % 2), float((i + 1) % 2)) for i in range(50)]
+
+
+def test_sparse_file_whose_largest_index_is_zero(spark, tmp):
+    from corkscrew.sources.readers import read_sparse
+
+    with open(f"{tmp}/x.data", "w") as f:
+        f.write("0:1.5\n0:2\n")
+    assert [tuple(r) for r in read_sparse(spark, f"{tmp}/x.data").orderBy("row_id").collect()] == [(0, 1.5), (1, 2.0)]
