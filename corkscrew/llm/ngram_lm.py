@@ -21,6 +21,7 @@ are scored, and counted, each; ``mean_log_score`` is null without tokens.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,19 +31,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .spark import settle, ship
+from .spark import STEP_BYTES, settle, ship
 
 BLOCK_BYTES = 8 << 20
-BLOCK = "block long, counts boolean, asks boolean, ids binary, bounds binary, vocab binary, words binary"
+BLOCK = "block long, counts boolean, asks boolean, tokens long, ids binary, bounds binary, vocab binary, words binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """uint32 values byte plane by byte plane (the high planes compress away)."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """uint32 values byte plane by byte plane, deflated."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def _unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending uint64 values as steps, byte plane by byte plane: the high
+    planes of hashes from one narrow range are nearly all zero."""
+    step = np.diff(x, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unsteps(raw: bytes) -> np.ndarray:
+    step = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    return np.cumsum(step, dtype=np.uint64)
 
 
 def blocks(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", counts: bool = True, asks: bool = True) -> DataFrame:
@@ -50,15 +63,20 @@ def blocks(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", count
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, hi in X.row_slices(batch.column(1), BLOCK_BYTES):
-                data, off = X.utf8(batch.column(1).slice(lo, hi - lo))
-                start, end, bounds = X.words(data, off)
-                vocab, words = np.unique(X.span_hashes(data, start, end), return_inverse=True)
+                column, hashes, bounds = batch.column(1).slice(lo, hi - lo), [], [np.zeros(1, np.int64)]
+                for a, b in X.row_slices(column, STEP_BYTES // 2):  # the hashing needs many times the text
+                    data, off = X.utf8(column.slice(a, b - a))
+                    start, end, part = X.words(data, off)
+                    hashes.append(X.span_hashes(data, start, end))
+                    bounds.append(part[1:] + bounds[-1][-1])
+                vocab, words = np.unique(np.concatenate(hashes), return_inverse=True)
+                bounds = np.concatenate(bounds)
                 ids = batch.column(0).slice(lo, hi - lo)
                 known = np.asarray(ids.is_valid())
                 raw = np.asarray(ids.fill_null(0)).astype("<i8").tobytes() + known.astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x]) for x in (number, counts, asks, raw, bounds.astype("<i8").tobytes(), vocab.tobytes(), _planes(words))],
-                    names=["block", "counts", "asks", "ids", "bounds", "vocab", "words"],
+                    [pa.array([x]) for x in (number, counts, asks, len(words), raw, bounds.astype("<i8").tobytes(), _steps(vocab), _planes(words))],
+                    names=["block", "counts", "asks", "tokens", "ids", "bounds", "vocab", "words"],
                 )
                 number += 1
 
@@ -70,7 +88,7 @@ class _Block:
 
     def __init__(self, row: dict, buckets: int):
         self.bounds = np.frombuffer(row["bounds"], "<i8")
-        self.hash = np.frombuffer(row["vocab"], np.uint64)[_unplanes(row["words"])] if row["words"] else np.zeros(0, np.uint64)
+        self.hash = _unsteps(row["vocab"])[_unplanes(row["words"])]
         self.owner = X.owners(self.bounds)
         self.buckets = buckets
         self.count: dict[int, np.ndarray] = {}  # order -> count of the n-gram that starts at each token (0: not asked)
@@ -121,7 +139,7 @@ def _asked(table: DataFrame, n: int, buckets: int, min_count: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row["block"])), pa.array([row["counts"]] * len(full)), pa.array([row["asks"]] * len(full)),
-                            pa.array([distinct[cut[j] : cut[j + 1]].tobytes() for j in full]), pa.array([_planes(times[cut[j] : cut[j + 1]]) for j in full]),
+                            pa.array([_steps(distinct[cut[j] : cut[j + 1]]) for j in full]), pa.array([_planes(times[cut[j] : cut[j + 1]]) for j in full]),
                         ],
                         names=["bucket", "block", "counts", "asks", "grams", "times"],
                     )
@@ -134,7 +152,7 @@ def _answered(asked: DataFrame, n: int) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         got = rows.to_pylist()
-        grams = [np.frombuffer(r["grams"], np.uint64) for r in got]
+        grams = [_unsteps(r["grams"]) for r in got]
         distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
         times = np.concatenate([_unplanes(r["times"]).astype(np.int64) * r["counts"] for r in got])
         total = np.bincount(inverse, weights=times, minlength=len(distinct)).astype(np.int64)
@@ -172,7 +190,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, *, id_col: str = "do
     for n in range(1, order + 1):
         known = with_answers(table) if n > 1 else table.withColumn("answers", none)
         answers = answers.unionByName(settle(_answered(_asked(known, n, buckets, min_count), n), f"lm-answers-{n}"))
-    tokens = table.where("counts").select((F.length("words") / 4).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 1
+    tokens = table.where("counts").agg(F.sum("tokens")).first()[0] or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

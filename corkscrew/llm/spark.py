@@ -26,7 +26,7 @@ def tune(spark: SparkSession) -> None:
     """Arrow batches of bounded size, and shuffle files dropped once the
     statement that made them has ended (results go to written tables)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
