@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corkscrew.session import table
 
 from . import chat, ngram_lm, packing, quality, sentencepiece_fst, simhash, substring, topk, toxicity, urls
-from .spark import tune
+from .spark import relax, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,7 +21,10 @@ TOXIC_CATEGORIES = ("low_quality", "toxic")
 def query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tune(spark)
-        return fn(spark, sf_dir)
+        try:
+            return fn(spark, sf_dir)
+        finally:
+            relax(spark)
 
     QUERIES[fn.__name__] = run
     return fn

@@ -30,6 +30,11 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def relax(spark: SparkSession) -> None:
+    """Keep shuffle files again: other queries of the session may reuse theirs."""
+    spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage,
     survives lost executors and frees the shuffle files behind it."""
