@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corkscrew.llm import packing, quality, simhash, substring, toxicity
 from corkscrew.llm.queries import TOXIC_CATEGORIES, toxicity_labels, word_bpe
-from corkscrew.llm.spark import settle, tune
+from corkscrew.llm.spark import relax, settle, tune
 from corkscrew.session import table
 
 
@@ -70,6 +70,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    try:
+        for name, stage in STAGES:
+            docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    finally:
+        relax(spark)
     return docs
