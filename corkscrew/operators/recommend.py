@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .common import BROADCAST_MAX_ROWS, broadcast_if_small
+from .common import broadcast_if_small
 from .knn import knn_cosine
 from .lookup import color_allows, lookup_default
 from .review import META_COLUMNS, default_columns, drop_missing, with_title
@@ -46,14 +46,7 @@ def neighbours(rec: Recommender, requests: DataFrame, k: int = fixed.KNN_QUERY_K
     """(request_id, rank, id, distance) for the ``k`` nearest records."""
     id_col = rec.tfidf.id_col
     qw = transform_tfidf(rec.tfidf, requests, qid_col, text_col)
-    return knn_cosine(qw, rec.tfidf.index, requests.select(qid_col), rec.meta.select(id_col), k, qid_col, id_col, **kw)
-
-
-def _bottle(prefix: str = "") -> Column:
-    return F.struct(
-        F.col("rank"), F.col("id"), F.col("distance"), F.col("title"), F.col("variety"),
-        F.col("description"), F.col("points"), F.col("price"), F.col("bottle_color"),
-    )
+    return knn_cosine(qw, rec.tfidf.by_id, requests.select(qid_col), rec.meta.select(id_col), k, qid_col, id_col, **kw)
 
 
 def recommend(
@@ -75,28 +68,25 @@ def recommend(
     nn = neighbours(rec, requests, k, qid_col, text_col)
     id_col = rec.tfidf.id_col
     # candidates are at most k per request: that bound (not a count of the
-    # candidates, which would run the search twice) decides the broadcast
-    bound = requests.count() * k
-    cand = broadcast_if_small(nn, BROADCAST_MAX_ROWS, known_rows=bound).join(rec.meta, id_col)
+    # candidates, which would run the search twice) decides the broadcasts
+    n_requests = requests.count()
+    cand = broadcast_if_small(nn, known_rows=n_requests * k).join(rec.meta.select(id_col, "variety"), id_col)
     cand = lookup_default(cand, colors, "variety", "color", out="bottle_color")
     wishes = requests.select(qid_col, F.col(wish_col).alias("_wish"))
     cand = cand.join(wishes, qid_col)
     ok = color_allows("_wish", "bottle_color", unknown)
-    best = cand.groupBy(qid_col).agg(
-        F.min(F.when(ok, _bottle())).alias("_fit"),
-        F.min(_bottle()).alias("_near"),
-    )
-    chosen = F.col("_fit") if not fallback else F.coalesce(F.col("_fit"), F.col("_near"))
-    status = (
-        F.when(F.col("_fit").isNotNull(), F.lit(fixed.STATUS_OPTIMAL))
-        .otherwise(F.lit(fixed.STATUS_FALLBACK if fallback else fixed.STATUS_NONE))
-    )
-    out = best.select(qid_col, status.alias("status"), chosen.alias("_b"))
-    return out.select(
-        qid_col,
-        "status",
-        *[F.col("_b")[c].alias(c) for c in ["rank", "id", "distance", "title", "variety", "description", "points", "price", "bottle_color"]],
-    )
+    pick = F.struct("rank", id_col, "distance", "bottle_color")
+    best = cand.groupBy(qid_col).agg(F.min(F.when(ok, pick)).alias("_fit"), F.min(pick).alias("_near"))
+    chosen = F.coalesce(F.col("_fit"), F.col("_near")) if fallback else F.col("_fit")
+    status = F.when(F.col("_fit").isNotNull(), F.lit(fixed.STATUS_OPTIMAL)).otherwise(F.lit(fixed.STATUS_FALLBACK))
+    picks = best.select(qid_col, status.alias("status"), chosen.alias("_b")).where(F.col("_b").isNotNull()).select(qid_col, "status", "_b.*")
+    # texts of the chosen record only
+    texts = rec.meta.select(id_col, "title", "variety", "description", "points", "price")
+    out = texts.join(broadcast_if_small(picks, known_rows=n_requests), id_col)
+    if not fallback:
+        out = requests.select(qid_col).distinct().join(out, qid_col, "left")
+        out = out.withColumn("status", F.coalesce("status", F.lit(fixed.STATUS_NONE)))
+    return out.select(qid_col, "status", "rank", id_col, "distance", "title", "variety", "description", "points", "price", "bottle_color")
 
 
 def respond(answers: DataFrame, categories: DataFrame | None = None, qid_col: str = "request_id") -> DataFrame:

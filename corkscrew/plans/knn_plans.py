@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import NON_WORD_RUN
-from ..operators.common import literal_table
+from ..operators.common import broadcast_if_small, literal_table
 from ..operators.knn import knn_cosine
 from ..operators.lookup import color_allows, lookup_default
 from ..operators.recommend import fit_recommender, neighbours, recommend, respond
@@ -157,7 +157,7 @@ def q_knn_zero_fill(spark, sf_dir):
         F.col("p_partkey").alias("request_id"), F.col("p_name").alias("features")
     )
     qw = transform_tfidf(rec.tfidf, part, "request_id", "features")
-    return knn_cosine(qw, rec.tfidf.index, part.select("request_id"), rec.meta.select("id"), K_QUERY)
+    return knn_cosine(qw, rec.tfidf.by_id, part.select("request_id"), rec.meta.select("id"), K_QUERY)
 
 
 @register(
@@ -168,7 +168,8 @@ def q_knn_zero_fill(spark, sf_dir):
 )
 def q_join_metadata(spark, sf_dir):
     rec = _recommender(spark, sf_dir)
-    nn = neighbours(rec, requests(spark, sf_dir), K_QUERY)
+    reqs = requests(spark, sf_dir)
+    nn = broadcast_if_small(neighbours(rec, reqs, K_QUERY), known_rows=reqs.count() * K_QUERY)
     return nn.join(rec.meta.select("id", "title", "variety", "points", "price"), "id")
 
 
@@ -202,8 +203,8 @@ def _cand_sql() -> str:
 def q_color_filter(spark, sf_dir):
     rec = _recommender(spark, sf_dir)
     reqs = requests(spark, sf_dir)
-    nn = neighbours(rec, reqs, K_QUERY)
-    cand = lookup_default(nn.join(rec.meta, "id"), _colors(spark), "variety", "color", out="bottle_color")
+    nn = broadcast_if_small(neighbours(rec, reqs, K_QUERY), known_rows=reqs.count() * K_QUERY)
+    cand = lookup_default(nn.join(rec.meta.select("id", "variety"), "id"), _colors(spark), "variety", "color", out="bottle_color")
     cand = cand.join(reqs.select("request_id", F.col("color").alias("wish")), "request_id")
     return cand.select(
         "request_id", "rank", "id", "bottle_color", "wish",

@@ -22,8 +22,12 @@ def answer_batch(rec: Recommender, colors: DataFrame, sink_dir: str, k: int, unk
     """foreachBatch body: recommend for one micro-batch and write it under its batch id."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        ans = recommend(rec, batch, colors, k, unknown, fallback)
-        ans.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
+        batch = batch.persist()  # counted and searched: read once
+        try:
+            ans = recommend(rec, batch, colors, k, unknown, fallback)
+            ans.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return run
 
