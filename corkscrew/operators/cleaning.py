@@ -21,7 +21,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,10 +143,9 @@ def fit_stats(
     imputed = df.select(*[v.alias(c) for c, v in impute_columns(s).items()])
     if winsorize and not s.high_dim and s.num_cols:
         qs = exact_quantiles(imputed, s.num_cols, [0.05, 0.95])
-        nd = {c: n for c, n in _distinct_numeric(imputed, s.num_cols).items()}
         for c in s.num_cols:
             q05, q95 = qs[c]
-            if nd.get(c, 0) > 1 and q05 is not None and q95 - q05 > 0:
+            if q05 is not None and q95 - q05 > 0:  # so more than one value
                 r = q95 - q05
                 s.clip[c] = [q05 - 1.5 * r, q95 + 1.5 * r]
         if s.clip:
@@ -176,19 +175,18 @@ def fit_stats(
     return s
 
 
-def _distinct_numeric(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
-    row = df.agg(*[F.count_distinct(_q(c)).alias(c) for c in cols]).first()
-    return {c: int(row[c]) for c in cols}
+def apply_stats(df: DataFrame, s: CleanStats, keep: Sequence[str] = (), scaled: bool = True, plain_prefix: str | None = None) -> DataFrame:
+    """Impute -> (winsorise) -> encode -> drop constants -> scale (unless not ``scaled``), as projections.
 
-
-def apply_stats(df: DataFrame, s: CleanStats, keep: Sequence[str] = ()) -> DataFrame:
-    """Impute -> (winsorise) -> encode -> drop constants -> scale, as projections."""
+    ``plain_prefix``: the unscaled columns follow under this prefix.
+    """
     keep = list(keep)
     imputed = df.select(*[_q(c) for c in keep], *[v.alias(c) for c, v in impute_columns(s).items()])
     if s.clip:
         imputed = imputed.withColumns(winsorize_columns(s))
     enc = encode(imputed, s, keep)
-    return enc.select(*[_q(c) for c in keep], *scale_columns(s))
+    plain = [_q(c).alias(f"{plain_prefix}{c}") for c in s.kept] if plain_prefix else []
+    return enc.select(*[_q(c) for c in keep], *(scale_columns(s) if scaled else [_q(c) for c in s.kept]), *plain)
 
 
 class _StatsParams(Params):
@@ -211,16 +209,21 @@ class Preprocessor(Estimator, _StatsParams, DefaultParamsReadable, DefaultParams
         return PreprocessorModel(stats_json=json.dumps(asdict(s)), passthrough=self.getOrDefault(self.passthrough))
 
 
-class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """Transformer: applies the learnt statistics as one projection."""
+class PreprocessorModel(Model, MLReadable, MLWritable):
+    """Transformer: applies the learnt statistics as one projection.
+
+    Saving copies the code dictionaries beside the metadata, so a saved model
+    needs nothing from the folder that it was fitted in.
+    """
 
     stats_json = Param(Params._dummy(), "stats_json", "learnt statistics", TypeConverters.toString)
     passthrough = Param(Params._dummy(), "passthrough", "columns carried unchanged", TypeConverters.toListString)
+    scaled = Param(Params._dummy(), "scaled", "apply the last step, scaling", TypeConverters.toBoolean)
 
-    def __init__(self, stats_json: str = "{}", passthrough: Sequence[str] = ()):
+    def __init__(self, stats_json: str = "{}", passthrough: Sequence[str] = (), scaled: bool = True):
         super().__init__()
-        self._setDefault(stats_json="{}", passthrough=[])
-        self._set(stats_json=stats_json, passthrough=list(passthrough))
+        self._setDefault(stats_json="{}", passthrough=[], scaled=True)
+        self._set(stats_json=stats_json, passthrough=list(passthrough), scaled=scaled)
 
     @property
     def stats(self) -> CleanStats:
@@ -230,9 +233,49 @@ class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     def output_columns(self) -> list[str]:
         return list(self.stats.kept)
 
+    def unscaled(self) -> PreprocessorModel:
+        """The same cleaning without scaling, for models of counts and flags."""
+        return PreprocessorModel(self.getOrDefault(self.stats_json), self.getOrDefault(self.passthrough), scaled=False)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         keep = [c for c in self.getOrDefault(self.passthrough) if c in df.columns]
-        return apply_stats(df, self.stats, keep)
+        return apply_stats(df, self.stats, keep, self.getOrDefault(self.scaled))
+
+    def write(self) -> MLWriter:
+        return _PreprocessorWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _PreprocessorReader(cls)
+
+
+class _PreprocessorWriter(MLWriter):
+    def __init__(self, model: PreprocessorModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        spark = self.sparkSession
+        DefaultParamsWriter.saveMetadata(self.model, path, spark)
+        stats = self.model.stats
+        for i, c in enumerate(stats.high_card):
+            spark.read.parquet(stats.dictionaries[c][0]).write.parquet(f"{path}/codes/{i}")
+
+
+class _PreprocessorReader(MLReader):
+    def __init__(self, cls: type):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> PreprocessorModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.cls()
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        stats = model.stats
+        for i, c in enumerate(stats.high_card):
+            stats.dictionaries[c][0] = f"{path}/codes/{i}"
+        return model._set(stats_json=json.dumps(asdict(stats)))
 
 
 def split_target(columns: Sequence[str], target: str | Sequence[str] | None = None) -> tuple[list[str], list[str]]:

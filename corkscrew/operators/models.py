@@ -227,35 +227,43 @@ class Spec:
     closed: bool = False  # closed-form model on plain columns
     defaults: dict = field(default_factory=dict)
     ranges: dict = field(default_factory=dict)  # name -> (low, high, integer?)
+    unscaled: bool = False  # learns from counts and flags, not from standardised columns
 
 
 def _ovr(est, n_classes: int):
     return est if n_classes <= 2 else OneVsRest(classifier=est)
 
 
+def penalty(params: dict, n_rows: int) -> float:
+    """Spark's penalty on the mean loss for a strength on the summed loss:
+    1 / (C n) for ``C``, alpha / n for ``alpha``."""
+    n = max(1, n_rows)
+    return 1.0 / (float(params["C"]) * n) if "C" in params else float(params["alpha"]) / n
+
+
 def classification_registry(mode: str = "stable") -> dict[str, Spec]:
     reg = {
-        "LogisticRegression": Spec(lambda p, k: LogisticRegression(maxIter=100, regParam=p.get("regParam", 0.0), elasticNetParam=0.0),
-                                   "classification", linear=True, defaults={"regParam": 0.0}, ranges={"regParam": (1e-4, 1.0, False)}),
+        "LogisticRegression": Spec(lambda p, k: LogisticRegression(maxIter=100, regParam=p["penalty"], elasticNetParam=0.0),
+                                   "classification", linear=True, defaults={"C": 1.0}, ranges={"C": (0.01, 10.0, False)}),
         "RidgeClassifier": Spec(None, "classification", closed=True, defaults={"kind": "ridge", "alpha": 1.0}, ranges={"alpha": (0.01, 10.0, False)}),
-        "LinearSVC": Spec(lambda p, k: _ovr(LinearSVC(maxIter=100, regParam=p.get("regParam", 0.0)), k),
-                          "classification", linear=True, defaults={"regParam": 0.0}, ranges={"regParam": (1e-4, 1.0, False)}),
-        "MultinomialNB": Spec(None, "classification", closed=True, defaults={"kind": "multinomial", "alpha": 1.0}, ranges={"alpha": (0.01, 2.0, False)}),
-        "BernoulliNB": Spec(None, "classification", closed=True, defaults={"kind": "bernoulli", "alpha": 1.0}, ranges={"alpha": (0.01, 2.0, False)}),
+        "LinearSVC": Spec(lambda p, k: _ovr(LinearSVC(maxIter=100, regParam=p["penalty"]), k),
+                          "classification", linear=True, defaults={"C": 1.0}, ranges={"C": (0.01, 10.0, False)}),
+        "MultinomialNB": Spec(None, "classification", closed=True, unscaled=True, defaults={"kind": "multinomial", "alpha": 1.0}, ranges={"alpha": (0.01, 2.0, False)}),
+        "BernoulliNB": Spec(None, "classification", closed=True, unscaled=True, defaults={"kind": "bernoulli", "alpha": 1.0}, ranges={"alpha": (0.01, 2.0, False)}),
         "RandomForestClassifier": Spec(lambda p, k: RandomForestClassifier(numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 30)), seed=42),
                                        "classification", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 30, True)}),
         "ExtraTreesClassifier": Spec(lambda p, k: RandomForestClassifier(numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 30)), bootstrap=False, seed=42),
                                      "classification", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 30, True)}),
-        "GBTClassifier": Spec(lambda p, k: _ovr(GBTClassifier(maxIter=int(p.get("maxIter", 20)), stepSize=p.get("stepSize", 0.1), maxDepth=int(p.get("maxDepth", 6)), seed=42), k),
-                              "classification", defaults={"maxIter": 20, "stepSize": 0.1, "maxDepth": 6}, ranges={"maxIter": (10, 50, True), "maxDepth": (2, 8, True), "stepSize": (0.01, 0.3, False)}),
+        "GBTClassifier": Spec(lambda p, k: _ovr(GBTClassifier(maxIter=int(p.get("maxIter", 100)), stepSize=p.get("stepSize", 0.1), maxDepth=int(p.get("maxDepth", 6)), seed=42), k),
+                              "classification", defaults={"maxIter": 100, "stepSize": 0.1, "maxDepth": 6}, ranges={"maxIter": (10, 100, True), "maxDepth": (2, 8, True), "stepSize": (0.01, 0.3, False)}),
     }
     if mode == "explo":
         reg.update({
             "MLPClassifier": Spec(None, "classification", linear=True, defaults={"hidden": 100, "maxIter": 200}),
-            "BaggingClassifier": Spec(lambda p, k: RandomForestClassifier(numTrees=10, featureSubsetStrategy="all", seed=42),
-                                      "classification", defaults={}),
+            "BaggingClassifier": Spec(lambda p, k: RandomForestClassifier(numTrees=int(p.get("numTrees", 10)), maxDepth=int(p.get("maxDepth", 30)), featureSubsetStrategy="all", seed=42),
+                                      "classification", defaults={"numTrees": 10, "maxDepth": 30}),
             "AdaBoostClassifier": Spec(lambda p, k: _ovr(GBTClassifier(maxIter=50, stepSize=1.0, maxDepth=1, seed=42), k), "classification", defaults={}),
-            "ComplementNB": Spec(lambda p, k: NaiveBayes(modelType="complement", smoothing=p.get("alpha", 1.0)), "classification", defaults={"alpha": 1.0}),
+            "ComplementNB": Spec(lambda p, k: NaiveBayes(modelType="complement", smoothing=p.get("alpha", 1.0)), "classification", unscaled=True, defaults={"alpha": 1.0}),
             "DummyClassifier": Spec(None, "classification", closed=True, defaults={"kind": "prior"}),
         })
     return reg
@@ -264,21 +272,24 @@ def classification_registry(mode: str = "stable") -> dict[str, Spec]:
 def regression_registry(mode: str = "stable") -> dict[str, Spec]:
     reg = {
         "LinearRegression": Spec(lambda p, k: LinearRegression(solver="normal", standardization=False), "regression", defaults={}),
-        "Ridge": Spec(lambda p, k: LinearRegression(solver="normal", regParam=p.get("regParam", 0.01), elasticNetParam=0.0, standardization=False),
-                      "regression", defaults={"regParam": 0.01}, ranges={"regParam": (1e-4, 1.0, False)}),
-        "Lasso": Spec(lambda p, k: LinearRegression(regParam=p.get("regParam", 0.01), elasticNetParam=1.0, standardization=False),
-                      "regression", defaults={"regParam": 0.01}, ranges={"regParam": (1e-4, 1.0, False)}),
-        "ElasticNet": Spec(lambda p, k: LinearRegression(regParam=p.get("regParam", 0.01), elasticNetParam=0.5, standardization=False),
-                           "regression", defaults={"regParam": 0.01}, ranges={"regParam": (1e-4, 1.0, False)}),
-        "HuberRegressor": Spec(lambda p, k: LinearRegression(loss="huber", epsilon=1.35, regParam=0.0001), "regression", defaults={}),
+        "Ridge": Spec(lambda p, k: LinearRegression(solver="normal", regParam=p["penalty"], elasticNetParam=0.0, standardization=False),
+                      "regression", defaults={"alpha": 1.0}, ranges={"alpha": (0.01, 10.0, False)}),
+        "Lasso": Spec(lambda p, k: LinearRegression(regParam=p.get("regParam", 0.1), elasticNetParam=1.0, standardization=False),
+                      "regression", defaults={"regParam": 0.1}, ranges={"regParam": (1e-4, 1.0, False)}),
+        "ElasticNet": Spec(lambda p, k: LinearRegression(regParam=p.get("regParam", 0.1), elasticNetParam=0.5, standardization=False),
+                           "regression", defaults={"regParam": 0.1}, ranges={"regParam": (1e-4, 1.0, False)}),
         "DecisionTreeRegressor": Spec(lambda p, k: DecisionTreeRegressor(maxDepth=int(p.get("maxDepth", 10)), seed=42),
                                       "regression", defaults={"maxDepth": 10}, ranges={"maxDepth": (2, 20, True)}),
-        "RandomForestRegressor": Spec(lambda p, k: RandomForestRegressor(numTrees=int(p.get("numTrees", 50)), maxDepth=int(p.get("maxDepth", 10)), seed=42),
-                                      "regression", defaults={"numTrees": 50, "maxDepth": 10}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 20, True)}),
-        "GBTRegressor": Spec(lambda p, k: GBTRegressor(maxIter=int(p.get("maxIter", 20)), maxDepth=int(p.get("maxDepth", 5)), seed=42),
-                             "regression", defaults={"maxIter": 20, "maxDepth": 5}, ranges={"maxIter": (10, 50, True), "maxDepth": (2, 8, True)}),
-        "DummyRegressor": Spec(None, "regression", closed=True, defaults={"kind": "mean"}),
+        "RandomForestRegressor": Spec(lambda p, k: RandomForestRegressor(numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 30)), seed=42),
+                                      "regression", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 20, True)}),
+        "GBTRegressor": Spec(lambda p, k: GBTRegressor(maxIter=int(p.get("maxIter", 100)), maxDepth=int(p.get("maxDepth", 5)), seed=42),
+                             "regression", defaults={"maxIter": 100, "maxDepth": 5}, ranges={"maxIter": (10, 100, True), "maxDepth": (2, 8, True)}),
     }
+    if mode == "explo":
+        reg.update({
+            "HuberRegressor": Spec(lambda p, k: LinearRegression(loss="huber", epsilon=1.35, regParam=0.0001), "regression", defaults={}),
+            "DummyRegressor": Spec(None, "regression", closed=True, defaults={"kind": "mean"}),
+        })
     return reg
 
 
@@ -286,9 +297,15 @@ def registry(task_type: str, mode: str = "stable") -> dict[str, Spec]:
     return regression_registry(mode) if task_type == "regression" else classification_registry(mode)
 
 
-def make_pipeline(name: str, spec: Spec, params: dict, features: Sequence[str], target: str, n_classes: int) -> Pipeline:
-    """Stages from plain columns to a ``prediction`` column in the target's own values."""
+def make_pipeline(name: str, spec: Spec, params: dict, features: Sequence[str], target: str, n_classes: int, n_rows: int = 1) -> Pipeline:
+    """Stages from plain columns to a ``prediction`` column in the target's own values.
+
+    ``n_rows``, the number of training rows, turns a strength on the summed
+    loss into Spark's on the mean loss (``penalty``).
+    """
     features = list(features)
+    if "C" in params or "alpha" in params:
+        params = {**params, "penalty": penalty(params, n_rows)}
     if spec.closed:
         kind = params.get("kind", spec.defaults.get("kind"))
         est = ClosedFormClassifier(inputCols=features, labelCol=target, predictionCol="prediction", kind=kind, alpha=params.get("alpha", 1.0))

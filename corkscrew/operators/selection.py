@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import metrics
-from .cleaning import Preprocessor
+from .cleaning import Preprocessor, apply_stats
 from .detection import MULTILABEL, REGRESSION, detect_task_type
 from .models import Spec, fit_pipeline, make_pipeline, registry
 from ..session import cut_lineage
@@ -30,6 +30,9 @@ LEADERBOARD_SCHEMA = (
 )
 # Share of the rows that the model search works on, by mode (1: all of them).
 SEARCH_SHARE = {"stable": 0.3, "explo": 1.0}
+# Parameter sets tried per model: the defaults and seeded draws.
+N_DRAWS = 50
+PLAIN = "__plain_"
 
 
 def draw_params(spec: Spec, n_draws: int, seed: int = 42) -> list[dict]:
@@ -54,13 +57,16 @@ def evaluate(model, valid: DataFrame, target: str, task_type: str) -> dict:
 
 def random_search(
     name: str, spec: Spec, train: DataFrame, valid: DataFrame, features: Sequence[str], target: str,
-    task_type: str, n_classes: int, n_draws: int = 1, seed: int = 42, metric: str | None = None,
+    task_type: str, n_classes: int, n_draws: int = N_DRAWS, seed: int = 42, metric: str | None = None, fixed_params: dict | None = None,
 ) -> tuple[dict, dict]:
-    """Best (params, scores) over the drawn parameter sets, scored on ``valid``."""
+    """Best (params, scores) over the drawn parameter sets, scored on ``valid``;
+    ``fixed_params`` hold in all of them, and models without ranges are fitted once."""
+    n_rows = train.count()
     metric = metric or ("r2" if task_type == REGRESSION else "accuracy")
     best = None
-    for params in draw_params(spec, n_draws, seed):
-        model = fit_pipeline(make_pipeline(name, spec, params, features, target, n_classes), train)
+    for params in draw_params(spec, n_draws if spec.ranges else 1, seed):
+        params.update(fixed_params or {})
+        model = fit_pipeline(make_pipeline(name, spec, params, features, target, n_classes, n_rows), train)
         sc = evaluate(model, valid, target, task_type)
         if best is None or (sc[metric] is not None and (best[1][metric] is None or sc[metric] > best[1][metric])):
             best = (params, sc)
@@ -69,8 +75,9 @@ def random_search(
 
 def run_models(
     df: DataFrame, features: Sequence[str], target: str, task_type: str, dataset: str = "data",
-    mode: str = "stable", n_draws: int = 1, parallelism: int = 2, sample: float | None = None, cap: int = 50_000,
-    id_col: str = "id", models: Sequence[str] | None = None, seed: int = 42,
+    mode: str = "stable", n_draws: int = N_DRAWS, parallelism: int = 2, sample: float | None = None, cap: int = 50_000,
+    id_col: str = "id", models: Sequence[str] | None = None, seed: int = 42, overrides: dict[str, dict] | None = None,
+    unscaled: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Leaderboard of every registry model on a holdout split of a sample.
 
@@ -78,6 +85,10 @@ def run_models(
     ``cap``: most rows of a classifier's stratified sample; a regression's
     sample has no cap. The winner is refitted on all rows in either case.
 
+    ``overrides``: parameters by model that hold in place of the registry's.
+    ``unscaled``: gives the same rows without scaling, for models that learn
+    from counts and flags (``df`` itself unless given).
+
     A model that fails becomes a row with its error and no score.
     """
     spark = df.sparkSession
@@ -96,7 +107,8 @@ def run_models(
     def one(item):
         name, spec = item
         try:
-            params, sc = random_search(name, spec, train, valid, features, target, task_type, n_classes, n_draws, seed)
+            tr, va = (unscaled(train), unscaled(valid)) if spec.unscaled and unscaled else (train, valid)
+            params, sc = random_search(name, spec, tr, va, features, target, task_type, n_classes, n_draws, seed, fixed_params=(overrides or {}).get(name))
             return (dataset, mode, name, {k: str(v) for k, v in params.items()}, sc.get("accuracy"), sc.get("macro_f1"), sc.get("r2"), None)
         except Exception as e:  # noqa: BLE001 - a failed model is a result row
             return (dataset, mode, name, {}, None, None, None, f"{type(e).__name__}: {e}".splitlines()[0][:500])
@@ -137,6 +149,7 @@ def refit_and_save(
     feats = list(features)
     if clean:
         pre = Preprocessor(features=feats, passthrough=[c for c in df.columns if c not in feats]).fit(df)
+        pre = pre.unscaled() if spec.unscaled else pre
         stages.append(pre)
         feats = pre.output_columns
         data = pre.transform(df)
@@ -145,7 +158,7 @@ def refit_and_save(
     if n_classes is None:
         n_classes = 0 if task_type == REGRESSION else df.select(target).distinct().count()
     typed = {k: _typed(v) for k, v in params.items()}
-    model = fit_pipeline(make_pipeline(model_name, spec, typed, feats, target, n_classes), data)
+    model = fit_pipeline(make_pipeline(model_name, spec, typed, feats, target, n_classes, data.count()), data)
     full = PipelineModel(stages=stages + list(model.stages))
     if out_dir:
         full.write().overwrite().save(f"{out_dir}/pipeline")
@@ -176,28 +189,35 @@ def predict(df: DataFrame, model_dir: str, keep: Sequence[str] = ("id",)) -> Dat
 
 def fit(
     df: DataFrame, target: str | Sequence[str], features: Sequence[str] | None = None, dataset: str = "data",
-    mode: str = "stable", n_draws: int = 1, parallelism: int = 4, out_dir: str | None = None,
+    mode: str = "stable", n_draws: int = N_DRAWS, parallelism: int = 4, out_dir: str | None = None,
     id_col: str = "id", detect_mode: str = "documented", models: Sequence[str] | None = None,
-    sample: float | None = None, cap: int = 50_000,
+    sample: float | None = None, cap: int = 50_000, overrides: dict[str, dict] | None = None,
 ) -> dict:
     """Load -> detect -> clean -> search -> refit -> save. Returns the run summary.
 
     ``sample`` and ``cap`` bound the rows of the model search as in
-    ``run_models``; cleaning and the refit see all rows.
+    ``run_models``; cleaning and the refit see all rows. Models of counts and
+    flags search and refit on the cleaned columns without scaling.
     """
     targets = [target] if isinstance(target, str) else list(target)
     features = list(features or [c for c in df.columns if c not in targets and c != id_col])
     task = detect_task_type(df, targets, detect_mode)
     if task == MULTILABEL:
-        return fit_multilabel(df, targets, features, dataset, mode, n_draws, parallelism, out_dir, id_col, models, sample, cap)
+        return fit_multilabel(df, targets, features, dataset, mode, n_draws, parallelism, out_dir, id_col, models, sample, cap, overrides)
     y = targets[0]
     keep = ([id_col] if id_col in df.columns else []) + features + [y]
     # one materialised copy of the narrow training table (reliable checkpoint):
     # cleaning statistics, the search and the refit all read it several times
     data = cut_lineage(df.select(*keep).withColumn(y, F.col(y).cast("double" if task == REGRESSION else "string")))
     pre = Preprocessor(features=features, passthrough=[id_col, y]).fit(data)
-    clean = pre.transform(data).cache()
-    board = run_models(clean, pre.output_columns, y, task, dataset, mode, n_draws, parallelism, sample, cap, id_col, models).cache()
+    cols = pre.output_columns
+    own = [c for c in (id_col, y) if c in data.columns]
+    clean = apply_stats(data, pre.stats, own, plain_prefix=PLAIN).cache()
+
+    def plain(d: DataFrame) -> DataFrame:
+        return d.select(*own, *[F.col(f"`{PLAIN}{c}`").alias(c) for c in cols])
+
+    board = run_models(clean, cols, y, task, dataset, mode, n_draws, parallelism, sample, cap, id_col, models, overrides=overrides, unscaled=plain).cache()
     metric = score_column(task)
     winner = best_model(board, metric).first()
     summary = {"dataset": dataset, "task_type": task, "leaderboard": board, "n_models_tested": board.count()}
@@ -210,12 +230,12 @@ def fit(
     return summary
 
 
-def fit_multilabel(df, targets, features, dataset, mode, n_draws, parallelism, out_dir, id_col, models=None, sample=None, cap=50_000) -> dict:
+def fit_multilabel(df, targets, features, dataset, mode, n_draws, parallelism, out_dir, id_col, models=None, sample=None, cap=50_000, overrides=None) -> dict:
     """One binary model per label column; a row is right only when every label is."""
     rows = []
     for t in targets:
         sub = fit(df.drop(*[x for x in targets if x != t]), t, features, f"{dataset}:{t}", mode, n_draws, parallelism,
-                  f"{out_dir}/{t}" if out_dir else None, id_col, "as_run", models, sample, cap)
+                  f"{out_dir}/{t}" if out_dir else None, id_col, "as_run", models, sample, cap, overrides)
         rows.append(sub)
     return {"dataset": dataset, "task_type": MULTILABEL, "per_label": rows}
 

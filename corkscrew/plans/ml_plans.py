@@ -8,6 +8,7 @@ from ..functions.text import whole_word_pattern
 from ..operators.lexicon import lexicon_flags
 from ..operators import metrics, selection
 from ..operators.detection import task_type_df
+from ..operators.cleaning import split_target
 from ..operators.models import classification_registry, fit_pipeline, make_pipeline, regression_registry
 from ..operators.sampling import holdout_split
 from ..session import scratch_path, table
@@ -122,7 +123,7 @@ LINE_TE = f"SELECT * FROM ({LINE_SQL}) WHERE {BUCKET.format(id='id')} < 2000"
 )
 def q_dummy_reg(spark, sf_dir):
     tr, te = _split(line_set(spark, sf_dir))
-    spec = regression_registry()["DummyRegressor"]
+    spec = regression_registry("explo")["DummyRegressor"]
     model = fit_pipeline(make_pipeline("DummyRegressor", spec, dict(spec.defaults), ["l_quantity"], "l_extendedprice", 0), tr)
     return model.transform(te).select("id", F.round("prediction", 6).alias("prediction"))
 
@@ -255,6 +256,15 @@ def q_task_type(spark, sf_dir):
 # ----------------------------------------------------------- rows-only models
 
 
+# What the queries below state in place of the registry's defaults: fewer
+# boosting rounds, smaller regression forests.
+BUDGET = {
+    "GBTClassifier": {"maxIter": 20},
+    "GBTRegressor": {"maxIter": 20},
+    "RandomForestRegressor": {"numTrees": 50, "maxDepth": 10},
+}
+
+
 def _predict_with(name: str, spark, sf_dir, task: str = "classification", mode: str = "explo"):
     if task == "regression":
         data, feats, target = line_set(spark, sf_dir), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"
@@ -265,7 +275,7 @@ def _predict_with(name: str, spark, sf_dir, task: str = "classification", mode:
         spec = classification_registry(mode)[name]
         k = 4
     tr, te = _split(data)
-    model = fit_pipeline(make_pipeline(name, spec, dict(spec.defaults), feats, target, k), tr)
+    model = fit_pipeline(make_pipeline(name, spec, {**spec.defaults, **BUDGET.get(name, {})}, feats, target, k, tr.count()), tr)
     return model.transform(te).select("id", F.col("prediction").cast("string" if task != "regression" else "double"))
 
 
@@ -311,15 +321,15 @@ def q_search(spark, sf_dir):
 
 @register("ml_leaderboard")
 def q_leaderboard(spark, sf_dir):
-    """Every stable classifier on the language set; failures are rows with an error."""
-    return selection.run_models(lang_flags(spark, sf_dir), FEATS, "target", "multi-classification", "documents.lang", sample=1.0)
+    """Every stable classifier on the language set, one parameter set each; failures are rows with an error."""
+    return selection.run_models(lang_flags(spark, sf_dir), FEATS, "target", "multi-classification", "documents.lang", n_draws=1, sample=1.0, overrides=BUDGET)
 
 
 @register("e2e_fit")
 def q_fit(spark, sf_dir):
-    """Detect -> clean -> search -> refit -> save; the leaderboard of the run."""
+    """Detect -> clean -> search (two parameter sets a model) -> refit -> save; the leaderboard of the run."""
     out = scratch_path(spark, "fit")
-    s = selection.fit(lang_flags(spark, sf_dir), "target", FEATS, "documents.lang", out_dir=out)
+    s = selection.fit(lang_flags(spark, sf_dir), "target", FEATS, "documents.lang", n_draws=2, out_dir=out, overrides=BUDGET)
     return s["leaderboard"]
 
 
@@ -332,7 +342,7 @@ def q_refit_save(spark, sf_dir):
     return spark.read.parquet(f"{out}/meta")
 
 
-@register("ml_predict")
+@register("ml_predict", _nb_sql("bernoulli").replace(LANG_TR, LANG_SQL).replace(LANG_TE, LANG_SQL) + "SELECT id, prediction FROM pred")
 def q_predict(spark, sf_dir):
     """Save a fitted pipeline, load it back and score every document."""
     out = scratch_path(spark, "predict")
@@ -341,6 +351,14 @@ def q_predict(spark, sf_dir):
     return selection.predict(data.drop("target"), out)
 
 
+@register("prj_target", "SELECT doc_id AS x_doc_id, quality AS y_target_quality, toxic AS y_target_toxic FROM labels")
+def q_target(spark, sf_dir):
+    """Columns named target... are the targets, all others features."""
+    named = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("target_quality"), F.col("toxic").alias("target_toxic"))
+    feats, targets = split_target(named.columns)
+    return named.select(*[F.col(c).alias(f"x_{c}") for c in feats], *[F.col(c).alias(f"y_{c}") for c in targets])
+
+
 @register("ml_multilabel")
 def q_multilabel(spark, sf_dir):
     """quality and toxic: one binary model per label, subset accuracy on the holdout."""
@@ -362,7 +380,7 @@ def q_fit_many(spark, sf_dir):
         ("documents.lang", lambda: lang_flags(spark, sf_dir), "target"),
         ("labels.quality", lambda: quality_flags(spark, sf_dir).drop("toxic"), "quality"),
     ]
-    kw = {"models": ["BernoulliNB", "DummyClassifier", "LogisticRegression"], "mode": "explo"}
+    kw = {"models": ["BernoulliNB", "DummyClassifier", "LogisticRegression"], "mode": "explo", "n_draws": 2}
     selection.fit_many(spark, sets, path, **kw)
     return selection.fit_many(spark, sets, path, **kw)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import NON_WORD_RUN, ascii_words, drop_words, whole_word_pattern
 from ..operators.lexicon import lexicon_counts, lexicon_flags
-from ..operators.vocab import audit_words, known_words, vocab_audit, word_frequencies
+from ..operators.vocab import audit_words, drop_known, known_words, vocab_audit, word_frequencies
 from ..session import table
 from .registry import register, sql_list
 from .standins import STANDIN_LEXICON
@@ -123,3 +123,14 @@ AUDIT_KNOWN = known_words(LEX, "synonyms")
 )
 def q_vocab_audit(spark, sf_dir):
     return vocab_audit(table(spark, sf_dir, "documents"), "text", known=AUDIT_KNOWN)
+
+
+@register(
+    "join_known_anti",
+    f"SELECT word, count(*) AS frequency FROM ({words_sql('AND word NOT IN ' + STOP_SQL)}) "
+    f"WHERE word NOT IN {sql_list(AUDIT_KNOWN)} GROUP BY word",
+)
+def q_known_anti(spark, sf_dir):
+    """Counts of the words outside the lexicon."""
+    freq = word_frequencies(audit_words(table(spark, sf_dir, "documents"), "text"))
+    return drop_known(freq, AUDIT_KNOWN)

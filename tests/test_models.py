@@ -82,7 +82,7 @@ def test_stratified_sample_keeps_every_class(data):
 
 def test_leaderboard_failure_row_and_topn(spark, data):
     board = selection.run_models(data, FEATS, "target", "multi-classification", "lang", mode="explo",
-                                 models=["DummyClassifier", "BernoulliNB"], sample=1.0)
+                                 models=["DummyClassifier", "BernoulliNB"], sample=1.0, n_draws=2)
     bad = spark.createDataFrame([("lang", "explo", "Broken", {}, None, None, None, "boom")], selection.LEADERBOARD_SCHEMA)
     board = board.unionByName(bad)
     top = [r["model"] for r in selection.top_models(board, 5).orderBy("rank").collect()]
@@ -120,3 +120,39 @@ def test_statistics_of_names_with_apostrophes(spark):
     df = spark.createDataFrame([(1.0,), (3.0,)], ["L'Aventure"])
     row = moments(df, ["L'Aventure"]).first()
     assert (row["column"], row["mean"], row["max_abs"]) == ("L'Aventure", 2.0, 3.0)
+
+
+def test_fit_has_no_failed_naive_bayes(data):
+    """Naive Bayes learns from unscaled flags, so no model of the run fails."""
+    names = ["MultinomialNB", "BernoulliNB", "ComplementNB", "DummyClassifier"]
+    out = selection.fit(data, "target", FEATS, "lang", mode="explo", n_draws=1, models=names)
+    rows = {r["model"]: r for r in out["leaderboard"].collect()}
+    assert set(rows) == set(names)
+    assert all(r["error"] is None and r["accuracy"] is not None for r in rows.values())
+
+
+def test_saved_pipeline_holds_its_dictionaries(spark, tmp):
+    """More than ten values, some with apostrophes: the saved model reads nothing
+    from the folder it was fitted in."""
+    rows = [(i, f"L'Aven{i % 17}ture", float(i % 5), "ab"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, name string, x double, target string")
+    full = selection.refit_and_save(df, ["name", "x"], "target", "multi-classification", "RidgeClassifier", {"kind": "ridge"}, tmp)
+    from pyspark.ml import PipelineModel
+
+    back = PipelineModel.load(f"{tmp}/pipeline")
+    path, size = back.stages[0].stats.dictionaries["name"]
+    assert path.startswith(f"{tmp}/pipeline") and size == 17
+    assert spark.read.parquet(path).count() == 17
+    want = full.transform(df).select("id", "prediction").collect()
+    assert sorted(back.transform(df).select("id", "prediction").collect()) == sorted(want)
+
+
+def test_registry_strengths_and_modes():
+    from corkscrew.operators.models import penalty, regression_registry
+
+    assert penalty({"C": 2.0}, 50) == 0.01
+    assert penalty({"alpha": 1.0}, 50) == 0.02
+    assert classification_registry()["GBTClassifier"].defaults["maxIter"] == 100
+    assert regression_registry()["RandomForestRegressor"].defaults == {"numTrees": 100, "maxDepth": 30}
+    assert "HuberRegressor" not in regression_registry()
+    assert "HuberRegressor" in regression_registry("explo")
