@@ -23,8 +23,10 @@ def ship(package: str = "corkscrew.llm") -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of bounded size, and shuffle files dropped once the
-    statement that made them has ended (results go to written tables)."""
+    """Batches of bounded size (a scan of 4,096 texts at once, the default,
+    holds tens of MB a column), and shuffle files dropped once the statement
+    that made them has ended (results go to written tables)."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
