@@ -20,8 +20,13 @@ PART_LEX = {g: EXTRA_GROUPS[g] for g in ("warm", "cool", "size")}
 
 
 def _reviews_csv(spark, sf_dir):
+    """Reviews as CSV, and again with one, two and three fields too many."""
     path = scratch_path(spark, "reviews-csv")
-    writers.write_table_csv(reviews(spark, sf_dir), path)
+    good, empty, extra = reviews(spark, sf_dir), F.lit(None).cast("string"), F.lit("extra")
+    writers.write_table_csv(good, path)
+    for tail in ([extra], [empty, extra], [empty, empty, empty]):
+        bad = good.select("*", *[c.alias(f"more{i}") for i, c in enumerate(tail)])
+        writers.write_table_csv(bad, path, mode="append")
     return path
 
 
@@ -31,7 +36,8 @@ def _reviews_csv(spark, sf_dir):
 )
 def q_csv(spark, sf_dir):
     """Review table written as CSV (quoted texts with newlines and quotes),
-    read back with the skip-bad reader and number coercion."""
+    read back with the skip-bad reader and number coercion; the rows with
+    too many fields beside them are skipped."""
     path = _reviews_csv(spark, sf_dir)
     cols = ["id", "winery", "variety", "description", "points", "price"]
     back = readers.read_csv_skip_bad(spark, path, cols, multi_line=True)

@@ -20,6 +20,8 @@ from ..functions import fixed
 OVERFLOW = "_overflow"
 CORRUPT = "_corrupt"
 INT_TOKEN = r"^[+-]?[0-9]+$"
+PAIR_TOKEN = r"^[+-]?[0-9]+:[^:]+$"
+END_MARK = "\u0001end"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -48,8 +50,11 @@ def read_csv_skip_bad(
     record column. Spark flags every row whose field count differs from
     that schema, so a row of exactly header + 1 fields is the only one
     left unflagged: rows are dropped when unflagged or when the overflow
-    field is filled. Short rows are kept (``DROPMALFORMED`` would lose
-    them). Empty fields become null. ``multi_line`` is only needed when
+    field is filled. A row with an empty overflow field can still be longer:
+    if its record holds that many separators, it is parsed again with an end
+    mark behind it, which a row of too many fields pushes out of the schema.
+    Short rows are kept (``DROPMALFORMED`` would lose them). Empty fields
+    become null. ``multi_line`` is only needed when
     quoted fields hold newlines; it stops splitting single files, so many
     part files keep the read parallel.
     """
@@ -67,7 +72,15 @@ def read_csv_skip_bad(
         .option("enforceSchema", True)
         .csv(path)
     )
-    kept = raw.where(F.col(CORRUPT).isNotNull() & F.col(OVERFLOW).isNull())
+    record = F.regexp_replace(F.col(CORRUPT), r"[\r\n]+$", "")
+    n_seps = F.length(record) - F.length(F.replace(record, F.lit(sep), F.lit("")))
+    reread = F.from_csv(
+        F.concat(record, F.lit(sep + END_MARK)), ", ".join(f"c{i} string" for i in range(len(columns) + 1)),
+        {"sep": sep, "quote": '"', "escape": '"'},
+    )
+    fits = F.array_contains(F.array(*[F.coalesce(reread[f"c{i}"], F.lit("")) for i in range(len(columns) + 1)]), END_MARK)
+    short = F.when(n_seps > len(columns) * len(sep), fits).otherwise(True)
+    kept = raw.where(F.col(CORRUPT).isNotNull() & F.col(OVERFLOW).isNull()).where(short)
     return kept.select(*[F.when(F.col(c) == "", None).otherwise(F.col(c)).alias(c) for c in columns])
 
 
@@ -168,24 +181,31 @@ def read_text_lines(spark: SparkSession, path: str, lines: DataFrame | None = No
     return lines.select("row_id", F.col("line").alias("description"))
 
 
-def sniff_format(spark: SparkSession, path: str, probe: int = 20, lines: DataFrame | None = None) -> str:
-    """``sparse`` when ':' occurs in the first ``probe`` non-blank lines,
-    ``dense`` when every token of every line is a number, else ``text``."""
+def sniff_format(spark: SparkSession, path: str, lines: DataFrame | None = None) -> str:
+    """``sparse``, ``dense``, ``text`` or ``empty``, decided on all lines."""
     lines = lines if lines is not None else indexed_lines(spark, path)
-    return sniff_format_df(lines, probe).first()[0]
+    return sniff_format_df(lines).first()[0]
+
 
+def sniff_format_df(lines: DataFrame) -> DataFrame:
+    """The chosen format as a one-row DataFrame (one aggregate over the lines).
 
-def sniff_format_df(lines: DataFrame, probe: int = 20) -> DataFrame:
-    """The chosen format as a one-row DataFrame (one aggregate over the lines)."""
+    ``sparse`` when every line has an ``index:number`` token, or every token of
+    every line a ':'; ``dense`` when every token of every line is a number;
+    else ``text``.
+    """
     numeric = F.forall(_tokens(), lambda t: t.try_cast("double").isNotNull())
+    pair = F.exists(_tokens(), lambda t: t.rlike(PAIR_TOKEN) & F.substring_index(t, ":", -1).try_cast("double").isNotNull())
+    colon = F.forall(_tokens(), lambda t: t.contains(":"))
     stats = lines.agg(
-        F.max(F.when((F.col("row_id") < probe) & F.col("line").contains(":"), 1).otherwise(0)).alias("has_colon"),
+        F.min(pair.cast("int")).alias("all_pairs"),
+        F.min(colon.cast("int")).alias("all_colons"),
         F.min(numeric.cast("int")).alias("all_numeric"),
         F.count(F.lit(1)).alias("n"),
     )
     fmt = (
         F.when(F.col("n") == 0, F.lit("empty"))
-        .when(F.col("has_colon") == 1, F.lit("sparse"))
+        .when((F.col("all_pairs") == 1) | (F.col("all_colons") == 1), F.lit("sparse"))
         .when(F.col("all_numeric") == 1, F.lit("dense"))
         .otherwise(F.lit("text"))
     )
@@ -196,7 +216,7 @@ def read_features(spark: SparkSession, path: str, fmt: str = "auto") -> DataFram
     """Feature file in any of the three formats (``auto`` sniffs it)."""
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    lines = indexed_lines(spark, path).cache()
+    lines = indexed_lines(spark, path)
     fmt = sniff_format(spark, path, lines=lines) if fmt == "auto" else fmt
     if fmt == "sparse":
         return read_sparse(spark, path, lines)

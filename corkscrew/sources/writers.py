@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 BOM = "﻿"
 
 
-def _csv_writer(df: DataFrame, header: bool, sep: str = ","):
+def _csv_writer(df: DataFrame, header: bool, sep: str = ",", mode: str = "overwrite"):
     return (
-        df.write.mode("overwrite")
+        df.write.mode(mode)
         .option("header", header)
         .option("sep", sep)
         .option("quote", '"')
@@ -27,9 +27,9 @@ def _csv_writer(df: DataFrame, header: bool, sep: str = ","):
     )
 
 
-def write_table_csv(df: DataFrame, path: str) -> str:
+def write_table_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Table to CSV with a header, doubled quotes inside quoted fields."""
-    _csv_writer(df, header=True).csv(path)
+    _csv_writer(df, header=True, mode=mode).csv(path)
     return path
 
 

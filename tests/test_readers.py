@@ -18,6 +18,9 @@ CSV = (
     "5,Dom E,Gamay,Too many,85,10,extra\n"
     "6,Dom F,Riesling,Short row\n"
     "7,Dom G,Malbec,Trailing empty extra,80,9,\n"
+    '8,Dom H,Malbec,"Empty, then a filled extra",80,9,,x\n'
+    "9,Dom I,Malbec,Three empty extras,80,9,,,\n"
+    '10,Dom J,Tannat,"Many, many, many, many, ""quoted"", commas",81,9\n'
 )
 
 
@@ -25,14 +28,15 @@ def test_csv_skip_bad(spark, tmp):
     p = write(f"{tmp}/reviews.csv", CSV)
     df = readers.read_csv_skip_bad(spark, p)
     rows = {int(r["id"]): r for r in df.collect()}
-    assert sorted(rows) == [1, 2, 3, 4, 6]  # over-long rows 5 and 7 skipped
+    assert sorted(rows) == [1, 2, 3, 4, 6, 10]  # over-long rows 5, 7, 8 and 9 skipped
+    assert rows[10]["description"] == 'Many, many, many, many, "quoted", commas'
     assert rows[1]["description"] == 'Rich, round "big" wine'
     assert rows[2]["winery"] is None and rows[2]["price"] is None
     assert rows[6]["points"] is None and rows[6]["price"] is None  # short row padded
     clean = clean_reviews(df).orderBy(F.col("id").cast("int"))
     got = [(int(r["id"]), r["title"], r["points"], r["price"]) for r in clean.collect()]
     # no title column: winery filler, variety '' in the title; rows without description / variety dropped
-    assert got == [(1, "Dom A Merlot", 87, 12.5), (2, "Inconnu Syrah", 0, 0.0), (6, "Dom F Riesling", 0, 0.0)]
+    assert got == [(1, "Dom A Merlot", 87, 12.5), (2, "Inconnu Syrah", 0, 0.0), (6, "Dom F Riesling", 0, 0.0), (10, "Dom J Tannat", 81, 9.0)]
 
 
 def test_title_kept_when_present(spark):
@@ -77,6 +81,16 @@ def test_text_fallback(spark, tmp):
     assert got == ["Crème brûlée, toasty", "spaced"]
 
 
+def test_prose_with_colons_is_text(spark, tmp):
+    p = write(f"{tmp}/c.data", "Nose: plum, at 12:30 sharp\n" + "Plain prose without any\n" * 3)
+    assert readers.sniff_format(spark, p) == "text"
+
+
+def test_late_line_decides_the_format(spark, tmp):
+    p = write(f"{tmp}/l.data", "1 2 3\n" * 30 + "1 two 3\n")
+    assert readers.sniff_format(spark, p) == "text"
+
+
 def test_labels_and_align(spark, tmp):
     feats = write(f"{tmp}/x.data", "1 0\n0 1\n1 1\n")
     lab = write(f"{tmp}/x.solution", 'red,1\n""\nwhite\nrose\n')
