@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from corkscrew.operators import metrics, selection
 from corkscrew.operators.detection import detect_task_type
-from corkscrew.operators.models import ClosedFormClassifier, classification_registry, fit_pipeline, make_pipeline
+from corkscrew.operators.models import ClosedFormClassifier, classification_registry, fit_pipeline, make_pipeline, regression_registry
 from corkscrew.operators.sampling import holdout_split, stratified_sample
 from corkscrew.plans.ml_plans import FEATS, lang_flags
-from conftest import SF_MID
+from conftest import SF_MID, SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,19 @@ def test_models_beat_dummy(split):
         assert a >= dummy, name
 
 
+def test_regressors_beat_the_mean(spark):
+    rows = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    data = rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_extendedprice", "l_discount", "l_tax", net.alias("net")).cache()
+    tr, te = holdout_split(data, "id")
+    feats, reg = ["l_extendedprice", "l_discount", "l_tax"], regression_registry("explo")
+    small = {"RandomForestRegressor": {"numTrees": 10, "maxDepth": 8}, "GBTRegressor": {"maxIter": 10}}
+    for name in ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "DecisionTreeRegressor", "RandomForestRegressor", "GBTRegressor"]:
+        spec = reg[name]
+        model = fit_pipeline(make_pipeline(name, spec, {**spec.defaults, **small.get(name, {})}, feats, "net", 0, tr.count()), tr)
+        assert selection.evaluate(model, te, "net", "regression")["r2"] > 0.8, name
+
+
 def test_forest_repeatable(split):
     tr, te = split
     spec = classification_registry()["RandomForestClassifier"]
