@@ -1,6 +1,6 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-    S(w | u v) = c(u v w) / c(u v)   if c(u v w) >= min_count
+    S(w | u v) = c(u v w) / c(u v)   if c(u v w) >= min_count (1: every n-gram found)
                = alpha * S(w | v)    otherwise;  S(w) = c(w) / N
 
 Tables:
@@ -11,9 +11,8 @@ Tables:
   hash ranges (``bucket``);
 * count table of a bucket: sums over blocks, joined back to the rows that asked.
 
-A frequent n-gram is one entry per block, so no key is hot. An n-gram can
-reach ``min_count`` only if both (n-1)-grams in it do; others are not asked
-for, which loses nothing. Scores are summed per document.
+A frequent n-gram is one entry per block, so no key is hot. Every n-gram is
+counted and asked for. Scores are summed per document.
 
 Defined results: null or empty texts have no tokens and score 0; repeated rows
 are scored, and counted, each; ``mean_log_score`` is null without tokens.
@@ -91,17 +90,14 @@ class _Block:
         self.hash = _unsteps(row["vocab"])[_unplanes(row["words"])]
         self.owner = X.owners(self.bounds)
         self.buckets = buckets
-        self.count: dict[int, np.ndarray] = {}  # order -> count of the n-gram that starts at each token (0: not asked)
+        self.count: dict[int, np.ndarray] = {}  # order -> count of the n-gram that starts at each token (0: none starts there)
 
-    def grams(self, n: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, distinct hashes, number of each start's hash, times) of the n-grams to ask for."""
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, distinct hashes, number of each start's hash, times) of all n-grams."""
         if len(self.hash) < n:
             at = np.zeros(0, np.int64)
         else:
             at = np.flatnonzero(X.inside_text(self.owner, n))
-            if n > 1:
-                below = self.count[n - 1] >= min_count
-                at = at[below[at] & below[at + 1]]
         h = X.window_hashes(self.hash, n)[at] if len(at) else np.zeros(0, np.uint64)
         distinct, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
         return at, distinct, inverse, times
@@ -111,8 +107,8 @@ class _Block:
         edge = np.array([(i << 64) // self.buckets for i in range(1, self.buckets)], np.uint64)
         return np.concatenate([[0], np.searchsorted(distinct, edge), [len(distinct)]])
 
-    def learn(self, n: int, answers: list[dict], min_count: int) -> None:
-        at, distinct, inverse, _ = self.grams(n, min_count)
+    def learn(self, n: int, answers: list[dict]) -> None:
+        at, distinct, inverse, _ = self.grams(n)
         cut = self.cuts(distinct)
         found = np.zeros(len(distinct), np.int64)
         for a in answers:
@@ -122,7 +118,7 @@ class _Block:
         self.count[n][at] = found[inverse]
 
 
-def _asked(table: DataFrame, n: int, buckets: int, min_count: int) -> DataFrame:
+def _asked(table: DataFrame, n: int, buckets: int) -> DataFrame:
     """n-gram rows of all blocks: (bucket, block, counts, asks, grams, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +126,7 @@ def _asked(table: DataFrame, n: int, buckets: int, min_count: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 b = _Block(row, buckets)
-                for k in range(1, n):
-                    b.learn(k, row["answers"], min_count)
-                _, distinct, _, times = b.grams(n, min_count)
+                _, distinct, _, times = b.grams(n)
                 cut = b.cuts(distinct)
                 full = np.flatnonzero(np.diff(cut))
                 if len(full):
@@ -164,7 +158,7 @@ def _answered(asked: DataFrame, n: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, "block long, n int, bucket int, found binary")
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", order: int = 3, min_count: int = 2, alpha: float = 0.4, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", order: int = 3, min_count: int = 1, alpha: float = 0.4, buckets: int | None = None) -> DataFrame:
     """(id, n_tokens, log_score, mean_log_score) of each row of ``docs`` under
     the n-gram counts of ``corpus`` (``docs`` itself unless given).
 
@@ -178,7 +172,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, *, id_col: str = "do
         table = blocks(docs, id_col=id_col, text=text)
     else:
         own = blocks(docs, id_col=id_col, text=text, counts=False).withColumn("block", F.col("block") * 2)
-        table = own.unionByName(blocks(corpus, id_col=id_col, text=text, asks=True).withColumn("block", F.col("block") * 2 + 1))
+        table = own.unionByName(blocks(corpus, id_col=id_col, text=text, asks=False).withColumn("block", F.col("block") * 2 + 1))
     table = settle(table, "lm-blocks")
     answers = spark.createDataFrame([], "block long, n int, bucket int, found binary")
     none = F.array().cast("array<struct<n:int,bucket:int,found:binary>>")
@@ -188,8 +182,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, *, id_col: str = "do
         return rows.join(got, "block", "left").withColumn("answers", F.coalesce("answers", none))
 
     for n in range(1, order + 1):
-        known = with_answers(table) if n > 1 else table.withColumn("answers", none)
-        answers = answers.unionByName(settle(_answered(_asked(known, n, buckets, min_count), n), f"lm-answers-{n}"))
+        answers = answers.unionByName(settle(_answered(_asked(table, n, buckets), n), f"lm-answers-{n}"))
     tokens = table.where("counts").agg(F.sum("tokens")).first()[0] or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +191,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, *, id_col: str = "do
                 row = batch.slice(i, 1).to_pylist()[0]
                 b = _Block(row, buckets)
                 for k in range(1, order + 1):
-                    b.learn(k, row["answers"], min_count)
+                    b.learn(k, row["answers"])
                 yield _scored(b, row, order, min_count, alpha, tokens)
 
     return with_answers(table.where("asks" if corpus is None else "not counts")).mapInArrow(run, "id long, n_tokens long, log_score double, mean_log_score double").withColumnRenamed("id", id_col)

@@ -288,3 +288,12 @@ def test_lm_query(spark, sf):
     df = QUERIES["op9_lm_score"](spark, sf)
     assert df.select(F.sum("n_tokens")).first()[0] == sum(n for n, _ in truth.values())
     check_lm(df, truth)
+
+
+def test_lm_uses_ngrams_found_once(spark, sf):
+    texts = ["a b c d", "a b x", "c a b", "p q r"]
+    check_lm(ngram_lm.score(documents(spark, texts)), lm_truth(texts, texts, least=1))
+    check_lm(ngram_lm.score(documents(spark, ["a b c", "p q x"]), documents(spark, texts)), lm_truth(["a b c", "p q x"], texts, least=1))
+    rows = {r["doc_id"]: r["text"] for r in table(spark, sf).collect()}
+    ids = sorted(rows)
+    check_lm(QUERIES["op9_lm_score"](spark, sf), dict(zip(ids, lm_truth([rows[i] for i in ids], rows.values(), least=1))))
