@@ -33,16 +33,19 @@ from . import text as X
 from .spark import STEP_BYTES, settle, ship
 
 BLOCK_BYTES = 8 << 20
+#: Tokens a hash range may hold on average; more text makes more ranges.
+RANGE_TOKENS = 4_000_000
 BLOCK = "block long, counts boolean, asks boolean, tokens long, ids binary, bounds binary, vocab binary, words binary"
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """uint32 values byte plane by byte plane, deflated."""
-    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def _planes(x: np.ndarray, kind: str = "<u4") -> bytes:
+    """Integers byte plane by byte plane, deflated: uint32 for what one block
+    bounds, int64 (``<i8``) for sums over the corpus."""
+    return zlib.compress(np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, int(kind[-1])).T).tobytes(), 1)
 
 
-def _unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+def _unplanes(raw: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(int(kind[-1]), -1).T).view(kind).reshape(-1)
 
 
 def _steps(x: np.ndarray) -> bytes:
@@ -113,7 +116,7 @@ class _Block:
         found = np.zeros(len(distinct), np.int64)
         for a in answers:
             if a["n"] == n:
-                found[cut[a["bucket"]] : cut[a["bucket"] + 1]] = _unplanes(a["found"])
+                found[cut[a["bucket"]] : cut[a["bucket"] + 1]] = _unplanes(a["found"], "<i8")
         self.count[n] = np.zeros(len(self.hash), np.int64)
         self.count[n][at] = found[inverse]
 
@@ -149,10 +152,11 @@ def _answered(asked: DataFrame, n: int) -> DataFrame:
         grams = [_unsteps(r["grams"]) for r in got]
         distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
         times = np.concatenate([_unplanes(r["times"]).astype(np.int64) * r["counts"] for r in got])
-        total = np.bincount(inverse, weights=times, minlength=len(distinct)).astype(np.int64)
-        found = np.minimum(total, 2**32 - 1)[inverse]
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, inverse, times)  # in integers: no rounding, no limit below a long's
+        found = total[inverse]
         to = np.cumsum([len(g) for g in grams])
-        out = [(r["block"], n, r["bucket"], _planes(found[b - len(g) : b])) for r, g, b in zip(got, grams, to) if r["asks"]]
+        out = [(r["block"], n, r["bucket"], _planes(found[b - len(g) : b], "<i8")) for r, g, b in zip(got, grams, to) if r["asks"]]
         return pa.table({c: pa.array([o[i] for o in out], kind) for i, (c, kind) in enumerate((("block", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("found", pa.binary())))})
 
     return asked.groupBy("bucket").applyInArrow(run, "block long, n int, bucket int, found binary")
@@ -163,17 +167,19 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, *, id_col: str = "do
     the n-gram counts of ``corpus`` (``docs`` itself unless given).
 
     ``min_count`` holds for n-grams of two words and more; a word the corpus
-    lacks counts as half a token. ``buckets``: hash ranges of the count tables.
+    lacks counts as half a token. ``buckets``: hash ranges of the count tables (as many as the tokens need,
+    64 and the shuffle partitions at least).
     """
     ship()
     spark = docs.sparkSession
-    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if corpus is None:
         table = blocks(docs, id_col=id_col, text=text)
     else:
         own = blocks(docs, id_col=id_col, text=text, counts=False).withColumn("block", F.col("block") * 2)
         table = own.unionByName(blocks(corpus, id_col=id_col, text=text, asks=False).withColumn("block", F.col("block") * 2 + 1))
     table = settle(table, "lm-blocks")
+    size = table.agg(F.sum("tokens")).first()[0] or 0
+    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_TOKENS))
     answers = spark.createDataFrame([], "block long, n int, bucket int, found binary")
     none = F.array().cast("array<struct<n:int,bucket:int,found:binary>>")
 

@@ -297,3 +297,15 @@ def test_lm_uses_ngrams_found_once(spark, sf):
     rows = {r["doc_id"]: r["text"] for r in table(spark, sf).collect()}
     ids = sorted(rows)
     check_lm(QUERIES["op9_lm_score"](spark, sf), dict(zip(ids, lm_truth([rows[i] for i in ids], rows.values(), least=1))))
+
+
+def test_lm_counts_beyond_32_bits(spark):
+    import numpy as np
+
+    gram, bounds = np.array([77], np.uint64), np.array([0, 1], "<i8").tobytes()
+    asked = [(0, block, True, True, ngram_lm._steps(gram), ngram_lm._planes(np.array([3_000_000_000]))) for block in (1, 2)]
+    df = spark.createDataFrame(asked, "bucket int, block long, counts boolean, asks boolean, grams binary, times binary")
+    answers = [r.asDict() for r in ngram_lm._answered(df, 1).where("block = 1").collect()]
+    b = ngram_lm._Block({"bounds": bounds, "vocab": ngram_lm._steps(gram), "words": ngram_lm._planes(np.array([0]))}, 1)
+    b.learn(1, answers)
+    assert b.count[1].tolist() == [6_000_000_000]
