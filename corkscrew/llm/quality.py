@@ -29,14 +29,15 @@ class QualityRules:
     """Limits of the rules.
 
     ``coverage``: n-gram length -> largest share of word characters that may
-    lie inside n-grams seen before in the text. ``line_coverage``: the same
+    lie inside n-grams seen before in the text (the published repetition
+    limits, 0.15 for 5-grams to 0.10 for 10-grams). ``line_coverage``: the same
     for lines seen before. ``min_words`` and ``repeat_percent`` form the base
     rule on 3-word windows.
     """
 
     min_words: int = 50
     repeat_percent: int = 50
-    coverage: dict[int, float] = field(default_factory=lambda: {5: 0.35, 6: 0.33, 7: 0.31, 8: 0.29, 9: 0.27, 10: 0.25})
+    coverage: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
     line_coverage: float = 0.30
 
 

@@ -101,6 +101,19 @@ def test_quality_rejects_repetition_and_keeps_prose(spark):
     assert kept == [True, False]
 
 
+def test_quality_rejects_passages_pasted_twice(spark):
+    def pasted(share):  # ``share`` of 400 words in two copies of each of two passages, the first included
+        size = int(400 * share) // 4
+        one, two = (" ".join(f"{c}{i:03}" for i in range(size)) for c in "pq")
+        rest = [f"r{i:03}" for i in range(400 - 4 * size)]
+        a, b = len(rest) // 3, 2 * len(rest) // 3
+        return " ".join([one, *rest[:a], two, *rest[a:b], one, two, *rest[b:]])
+
+    rows = quality.judge(documents(spark, [pasted(s) for s in (0.0, 0.1, 0.22, 0.3, 0.4)])).orderBy("doc_id").collect()
+    assert [r["base_failed"] for r in rows] == [False] * 5
+    assert [r["kept"] for r in rows] == [True, True, False, False, False]
+
+
 # -- SimHash
 
 
