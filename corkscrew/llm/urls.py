@@ -39,17 +39,28 @@ ALLOWED_WORDS = (
 ).split()
 
 
+# Made-up names, allowed as well: a name that the table does not know is no reason to block.
+NEUTRAL_WORDS = [
+    ("b br d f g k l m n p r s st t th v".split())[i % 16] + "aeiou"[i % 5] + ("ld n r nder ther m ven".split())[i % 7] for i in range(40)
+]
+# Shapes and endings of the hosts in that table, the same for both classes.
+SHAPES = ("{a}", "{a}{b}", "{a}-{b}", "{b}.{a}", "www.{a}", "m.{a}", "blog.{a}", "m.{a}-{b}", "blog.{a}{b}")
+ENDINGS = ("example.com", "example.net", "example.org", "com", "net", "org", "info", "sample.io")
+
+
 def labelled_table() -> list[tuple[str, str, bool]]:
     """The small labelled URL table: (host, path, blocked) rows made of the
-    words above, alone and in pairs, over the same endings and paths."""
+    words above, alone, joined, hyphenated and behind the same first labels,
+    over the same endings and paths for both classes."""
     paths = ["/", "/en/1", "/fr/27", "/de/358/", "/es/4.html", ""]
     rows = []
-    for words, blocked in ((BLOCKED_WORDS, True), (ALLOWED_WORDS, False)):
+    for words, blocked in ((BLOCKED_WORDS, True), (ALLOWED_WORDS, False), (NEUTRAL_WORDS, False)):
         for i, a in enumerate(words):
             b = words[(7 * i + 3) % len(words)]
-            for j, name in enumerate((f"{a}-{b}", f"{b}-{a}") if blocked else (a, f"{a}{b}", f"{b}.{a}", f"blog.{a}", f"m.{a}")):
-                for k, end in enumerate(("com", "net", "org")):
-                    rows.append((f"{name}.example.{end}", paths[(i + 2 * j + k) % len(paths)], blocked))
+            for j, shape in enumerate(SHAPES):
+                for k in range(3):
+                    end = ENDINGS[(i + j + 3 * k) % len(ENDINGS)]
+                    rows.append((f"{shape.format(a=a, b=b)}.{end}", paths[(i + 2 * j + k) % len(paths)], blocked))
     return rows
 
 

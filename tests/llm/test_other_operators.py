@@ -172,6 +172,15 @@ def test_url_model_on_held_out_hosts(spark):
     assert [r["blocked_score"] > 0 for r in urls.predict(probe, model).collect()] == [True, True, False, False]
 
 
+def test_url_model_does_not_go_by_shape(spark):
+    model = urls.fit(spark.createDataFrame(urls.labelled_table(), "host string, path string, blocked boolean"))
+    blocked = ["casino.example.net", "m.casino.example.net", "blog.viagra.example.net", "porn.example.org", "pokerbonus.example.com", "slots.casino.example.org", "www.viagra.test.de"]
+    clean = ["city-library.example.org", "garden-recipes.example.net", "m.music-school.example.com", "history-museum.test.de", "weather.example.org", "blog.travel.example.net"]
+    probe = spark.createDataFrame([(i, h, "/en/5") for i, h in enumerate(blocked + clean)], "i int, host string, path string")
+    got = {r["host"]: r["blocked_score"] > 0 for r in urls.predict(probe, model).collect()}
+    assert got == {h: h in blocked for h in blocked + clean}
+
+
 def test_url_model_without_two_classes(spark):
     empty = spark.createDataFrame([], "host string, path string, blocked boolean")
     one = spark.createDataFrame([("a", "/", True)], "host string, path string, blocked boolean")
