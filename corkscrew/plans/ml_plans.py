@@ -257,15 +257,6 @@ def q_task_type(spark, sf_dir):
 # ------------------------------------------------------------- MLlib models
 
 
-# What the queries below state in place of the registry's defaults: fewer
-# boosting rounds, smaller regression forests.
-BUDGET = {
-    "GBTClassifier": {"maxIter": 20},
-    "GBTRegressor": {"maxIter": 20},
-    "RandomForestRegressor": {"numTrees": 50, "maxDepth": 10},
-}
-
-
 def _predict_with(name: str, spark, sf_dir, task: str = "classification", mode: str = "explo"):
     if task == "regression":
         data, feats, target = line_set(spark, sf_dir), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"
@@ -276,7 +267,7 @@ def _predict_with(name: str, spark, sf_dir, task: str = "classification", mode:
         spec = classification_registry(mode)[name]
         k = 4
     tr, te = _split(data)
-    model = fit_pipeline(make_pipeline(name, spec, {**spec.defaults, **BUDGET.get(name, {})}, feats, target, k, tr.count()), tr)
+    model = fit_pipeline(make_pipeline(name, spec, dict(spec.defaults), feats, target, k, tr.count()), tr)
     return tr, model.transform(te).select("id", F.col(target).alias("label"), F.col("prediction").cast("string" if task != "regression" else "double"))
 
 
@@ -338,25 +329,25 @@ for _key, _name, _task in [
 
 @register("ml_search")
 def q_search(spark, sf_dir):
-    """Seeded random search (3 draws) for a forest on the language set."""
+    """Seeded random search (``N_DRAWS`` draws) for a forest on the language set."""
     tr, te = _split(lang_flags(spark, sf_dir))
     spec = classification_registry()["RandomForestClassifier"]
-    params, sc = selection.random_search("RandomForestClassifier", spec, tr, te, FEATS, "target", "multi-classification", 4, n_draws=3)
+    params, sc = selection.random_search("RandomForestClassifier", spec, tr, te, FEATS, "target", "multi-classification", 4)
     return spark.createDataFrame([({k: str(v) for k, v in params.items()}, sc["accuracy"], sc["macro_f1"])],
                                  "params map<string,string>, accuracy double, macro_f1 double")
 
 
 @register("ml_leaderboard")
 def q_leaderboard(spark, sf_dir):
-    """Every stable classifier on the language set, one parameter set each; failures are rows with an error."""
-    return selection.run_models(lang_flags(spark, sf_dir), FEATS, "target", "multi-classification", "documents.lang", n_draws=1, sample=1.0, overrides=BUDGET)
+    """Every stable classifier on the language set, ``N_DRAWS`` parameter sets each; failures are rows with an error."""
+    return selection.run_models(lang_flags(spark, sf_dir), FEATS, "target", "multi-classification", "documents.lang", sample=1.0)
 
 
 @register("e2e_fit")
 def q_fit(spark, sf_dir):
-    """Detect -> clean -> search (two parameter sets a model) -> refit -> save; the leaderboard of the run."""
+    """Detect -> clean -> search (``N_DRAWS`` parameter sets a model) -> refit -> save; the leaderboard of the run."""
     out = scratch_path(spark, "fit")
-    s = selection.fit(lang_flags(spark, sf_dir), "target", FEATS, "documents.lang", n_draws=2, out_dir=out, overrides=BUDGET)
+    s = selection.fit(lang_flags(spark, sf_dir), "target", FEATS, "documents.lang", out_dir=out)
     return s["leaderboard"]
 
 
@@ -416,7 +407,7 @@ def q_fit_many(spark, sf_dir):
         ("documents.lang", lambda: lang_flags(spark, sf_dir), "target"),
         ("labels.quality", lambda: quality_flags(spark, sf_dir).drop("toxic"), "quality"),
     ]
-    kw = {"models": ["BernoulliNB", "DummyClassifier", "LogisticRegression"], "mode": "explo", "n_draws": 2}
+    kw = {"models": ["BernoulliNB", "DummyClassifier", "LogisticRegression"], "mode": "explo"}
     selection.fit_many(spark, sets, path, **kw)
     return selection.fit_many(spark, sets, path, **kw)
 

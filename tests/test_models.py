@@ -169,3 +169,29 @@ def test_registry_strengths_and_modes():
     assert regression_registry()["RandomForestRegressor"].defaults == {"numTrees": 100, "maxDepth": 30}
     assert "HuberRegressor" not in regression_registry()
     assert "HuberRegressor" in regression_registry("explo")
+
+
+def test_queries_use_the_registry_defaults_and_draws(spark, monkeypatch):
+    from corkscrew.plans import ml_plans
+    from corkscrew.plans.registry import QUERIES
+
+    seen = {}
+
+    class Seen(Exception):
+        pass
+
+    def note(*args, **kw):
+        seen["args"], seen["kw"] = args, kw
+        raise Seen
+
+    monkeypatch.setattr(ml_plans, "make_pipeline", note)
+    for key, spec in [("mdl_boost_cls", classification_registry("explo")["GBTClassifier"]), ("mdl_boost_reg", regression_registry("explo")["GBTRegressor"]),
+                      ("mdl_forest_reg", regression_registry("explo")["RandomForestRegressor"])]:
+        with pytest.raises(Seen):
+            QUERIES[key](spark, SF_SMALL)
+        assert seen["args"][2] == spec.defaults, key
+    for key, name in [("ml_search", "random_search"), ("ml_leaderboard", "run_models"), ("e2e_fit", "fit"), ("ml_fit_many", "fit_many")]:
+        monkeypatch.setattr(selection, name, note)
+        with pytest.raises(Seen):
+            QUERIES[key](spark, SF_SMALL)
+        assert seen["kw"].get("n_draws", selection.N_DRAWS) == selection.N_DRAWS and not seen["kw"].get("overrides"), key
