@@ -1,4 +1,5 @@
-"""Substring dedup by relative Lempel-Ziv factors.
+"""Substring dedup by anchor and window hashes, in place of relative Lempel-Ziv
+parsing: no factors are matched greedily, and hashes are not checked on words.
 
 Every 20-word window that also starts earlier in the corpus (smaller id, or
 same document and earlier start) is a duplicate; words in such windows go.
@@ -12,7 +13,8 @@ that anchor, with the first place of each.
 
 1. Factors: an occurrence whose whole context was seen earlier is a long
    factor; all windows in it are duplicates. Neighbouring ones with the same
-   source and shift join greedily into one factor (``factors``).
+   source and shift can be joined into one factor (``factors``, not called by
+   the queries, which need the windows only).
 2. Factor boundaries: where an anchor occurs in several contexts, the first
    occurrence of each context is checked window by window against the others.
 
