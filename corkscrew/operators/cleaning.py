@@ -10,7 +10,7 @@ Steps (in order): impute (median for numbers, most frequent value for
 the rest) -> encode (one 0/1 column per value when a column has at most
 10 values, else the value's position in sorted order, unseen -> -1) ->
 drop constant columns -> scale ((x - mean) / population std, or x / max|x|
-above 1000 columns).
+above ``high_dim_cols`` columns, if that is set).
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ from .stats import (
 )
 
 LOW_CARD_MAX = 10
-HIGH_DIM_COLS = 1000
 
 
 def _q(c: str) -> Column:
@@ -122,11 +121,16 @@ def fit_stats(
     features: Sequence[str],
     winsorize: bool = False,
     feature_kinds: dict | None = None,
+    high_dim_cols: int | None = None,
 ) -> CleanStats:
-    """Learn every statistic of the cleaning on ``df`` (the training rows)."""
+    """Learn every statistic of the cleaning on ``df`` (the training rows).
+
+    ``high_dim_cols``: above so many feature columns nothing is winsorised and
+    x / max|x| replaces standardising (the reference: 1000); off unless given.
+    """
     spark = df.sparkSession
     features = list(features)
-    s = CleanStats(high_dim=len(features) > HIGH_DIM_COLS)
+    s = CleanStats(high_dim=high_dim_cols is not None and len(features) > high_dim_cols)
     if feature_kinds:
         s.num_cols = [c for c in features if feature_kinds.get(c, "").strip().lower() == "numerical"]
         s.cat_cols = [c for c in features if c not in s.num_cols]
@@ -193,19 +197,21 @@ class _StatsParams(Params):
     features = Param(Params._dummy(), "features", "feature columns", TypeConverters.toListString)
     passthrough = Param(Params._dummy(), "passthrough", "columns carried unchanged (id, target)", TypeConverters.toListString)
     winsorize = Param(Params._dummy(), "winsorize", "clip numbers to [p5 - 1.5r, p95 + 1.5r]", TypeConverters.toBoolean)
+    highDimCols = Param(Params._dummy(), "highDimCols", "feature columns above which x / max|x| replaces standardising and winsorising is off (unset: never)", TypeConverters.toInt)
 
 
 class Preprocessor(Estimator, _StatsParams, DefaultParamsReadable, DefaultParamsWritable):
     """Estimator: learns the cleaning statistics on the training rows."""
 
-    def __init__(self, features: Sequence[str] = (), passthrough: Sequence[str] = (), winsorize: bool = False):
+    def __init__(self, features: Sequence[str] = (), passthrough: Sequence[str] = (), winsorize: bool = False, highDimCols: int | None = None):
         super().__init__()
         self._setDefault(features=[], passthrough=[], winsorize=False)
-        self._set(features=list(features), passthrough=list(passthrough), winsorize=winsorize)
+        self._set(features=list(features), passthrough=list(passthrough), winsorize=winsorize, highDimCols=highDimCols)
 
     def _fit(self, df: DataFrame) -> PreprocessorModel:
         feats = self.getOrDefault(self.features) or [c for c in df.columns if c not in self.getOrDefault(self.passthrough)]
-        s = fit_stats(df, feats, self.getOrDefault(self.winsorize))
+        limit = self.getOrDefault(self.highDimCols) if self.isDefined(self.highDimCols) else None
+        s = fit_stats(df, feats, self.getOrDefault(self.winsorize), high_dim_cols=limit)
         return PreprocessorModel(stats_json=json.dumps(asdict(s)), passthrough=self.getOrDefault(self.passthrough))
 
 

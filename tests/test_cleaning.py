@@ -105,3 +105,11 @@ def test_profile_and_quality(spark, mixed):
     assert prof["n1"] == ("Numerical", 10, 2) and prof["c_low"][0] == "Categorical"
     q = quality_report(mixed, mixed, FEATS, FEATS[:4]).first()
     assert q["missing_before"] == 4 and q["drop_ratio"] == pytest.approx(0.2) and q["quality_score"] == 94.0
+
+
+def test_size_switch_is_a_parameter(mixed):
+    assert not fit_stats(mixed, FEATS).high_dim
+    wide = fit_stats(mixed, FEATS, winsorize=True, high_dim_cols=3)
+    assert wide.high_dim and not wide.clip and set(wide.center.values()) == {0.0}
+    assert Preprocessor(features=FEATS, highDimCols=3).fit(mixed).stats.high_dim
+    assert not Preprocessor(features=FEATS).fit(mixed).stats.high_dim
