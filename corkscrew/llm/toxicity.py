@@ -77,35 +77,38 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> np.ndarray:
-    """Ridge logistic regression by accelerated gradient steps; last weight is the intercept."""
-    share = y.mean() if len(y) else 0.0
-    w = np.zeros(x.shape[1] + 1)
+def _logistic(row: np.ndarray, col: np.ndarray, size: int, dense: np.ndarray, y: np.ndarray, l2: float, steps: int) -> np.ndarray:
+    """Ridge logistic regression by accelerated gradient steps on the pairs
+    (text, word) and the dense columns behind the ``size`` words; last weight
+    is the intercept."""
+    n = len(y)
+    share = y.mean() if n else 0.0
+    w = np.zeros(size + dense.shape[1] + 1)
     if share in (0.0, 1.0):
         w[-1] = 35 if share else -35
         return w
-    # one precision throughout: a mixed product would copy the matrix at every step
-    xb = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
-    y, w = y.astype(np.float32), w.astype(np.float32)
-    v = np.full(xb.shape[1], 1 / np.sqrt(xb.shape[1]), np.float32)
+    rest = np.hstack([dense, np.ones((n, 1))])
+    forward = lambda u: np.bincount(row, weights=u[:size][col], minlength=n) + rest @ u[size:]
+    back = lambda r: np.concatenate([np.bincount(col, weights=r[row], minlength=size), rest.T @ r])
+    v = np.full(len(w), 1 / np.sqrt(len(w)))
     for _ in range(20):  # largest curvature by power iteration
-        v = xb.T @ (xb @ v)
+        v = back(forward(v))
         v /= np.linalg.norm(v) or 1.0
-    rate = np.float32(1 / (0.25 * float(np.linalg.norm(xb @ v)) ** 2 * 1.05 / len(x) + l2))
-    reg = np.full(len(w), l2, np.float32)
+    rate = 1 / (0.25 * float(np.linalg.norm(forward(v))) ** 2 * 1.05 / n + l2)
+    reg = np.full(len(w), l2)
     reg[-1] = 0
     ahead, t = w, 1.0
     for _ in range(steps):
-        new = ahead - rate * (xb.T @ (_sigmoid(xb @ ahead) - y) / len(x) + reg * ahead)
+        new = ahead - rate * (back(_sigmoid(forward(ahead)) - y) / n + reg * ahead)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = new + np.float32((t - 1) / t_new) * (new - w)
+        ahead = new + (t - 1) / t_new * (new - w)
         w, t = new, t_new
-    return w.astype(float)
+    return w
 
 
-def _select(owner: np.ndarray, h: np.ndarray, y: np.ndarray, min_texts: int, size: int) -> np.ndarray:
-    """Words in ``min_texts`` texts at least with the largest chi-square for
-    any category, if that is significant (``SIGNIFICANT``)."""
+def _select(owner: np.ndarray, h: np.ndarray, y: np.ndarray, min_texts: int) -> np.ndarray:
+    """Every word in ``min_texts`` texts at least whose chi-square is
+    significant (``SIGNIFICANT``) for any category."""
     vocab, code, df = np.unique(h, return_inverse=True, return_counts=True)
     n, best = len(y), np.zeros(len(vocab))
     for col in y.T:
@@ -114,8 +117,7 @@ def _select(owner: np.ndarray, h: np.ndarray, y: np.ndarray, min_texts: int, siz
             hit = np.bincount(code, weights=col[owner], minlength=len(vocab))
             best = np.maximum(best, (hit - df * p) ** 2 / (df * p * (1 - p) * np.maximum(1 - df / n, 1e-9)))
     best[df < min_texts] = 0
-    keep = np.argsort(-best, kind="stable")[:size]
-    return np.sort(vocab[keep[best[keep] >= SIGNIFICANT]])
+    return vocab[best >= SIGNIFICANT]
 
 
 def fit(
@@ -127,7 +129,6 @@ def fit(
     text: str = "text",
     sample_rows: int = 8000,
     folds: int = 3,
-    vocabulary: int = 600,
     min_texts: int = 4,
     l2: float = 1e-5,
     steps: int = 400,
@@ -136,7 +137,8 @@ def fit(
 
     The rows with the smallest hash of their id are taken: the same rows at
     every run, unrelated to their order. Rows without an id or a label take
-    no part; an id labelled twice counts with its largest labels.
+    no part; an id labelled twice counts with its largest labels, an id on several rows of
+    ``docs`` with its smallest text.
     """
     ship()
     ids = (
@@ -147,7 +149,8 @@ def fit(
         .orderBy(F.xxhash64(F.col(id_col)), id_col)
         .limit(sample_rows)
     )
-    sample = docs.select(id_col, text).join(F.broadcast(ids), id_col)  # at most sample_rows rows
+    found = docs.select(id_col, text).join(F.broadcast(ids), id_col)
+    sample = found.groupBy(id_col, *categories).agg(F.min(text).alias(text)).select(id_col, text, *categories)  # at most sample_rows rows
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("y", T.ArrayType(T.DoubleType())), T.StructField("shape", T.ArrayType(T.DoubleType())), T.StructField("words", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,20 +175,24 @@ def fit(
     owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
     h = lists.flatten().to_numpy().view(np.uint64)
     y = np.array(rows["y"].to_pylist(), float)
-    vocab = _select(owner, h, y, min_texts, vocabulary)
-    x = _matrix(owner, h, np.array(rows["shape"].to_pylist(), float), vocab)
+    vocab = _select(owner, h, y, min_texts)
+    row, at = _known(owner, h, vocab)
+    dense = np.array(rows["shape"].to_pylist(), float)
     fold = np.arange(n) % folds
     out = []
     for i, name in enumerate(categories):
-        w = _logistic(x, y[:, i], l2, steps)
+        w = _logistic(row, at, len(vocab), dense, y[:, i], l2, steps)
         out.append(Category(name, w))
         if i + 1 < len(categories):
+            score = lambda u: _sigmoid(np.bincount(row, weights=u[: len(vocab)][at], minlength=n) + dense @ u[len(vocab) : -1] + u[-1])
             held = np.empty(n)
             for f in range(folds):
                 test = fold == f
-                part = w if test.all() else _logistic(x[~test], y[~test, i], l2, steps)
-                held[test] = _sigmoid(x[test] @ part[:-1] + part[-1])
-            x = np.hstack([x, held[:, None].astype(np.float32)])
+                number = np.cumsum(~test) - 1  # of the texts that are left
+                left = ~test[row]
+                part = w if test.all() else _logistic(number[row[left]], at[left], len(vocab), dense[~test], y[~test, i], l2, steps)
+                held[test] = score(part)[test]
+            dense = np.hstack([dense, held[:, None]])
     return Chain(vocab, out)
 
 
@@ -198,13 +205,6 @@ def _known(owner: np.ndarray, h: np.ndarray, vocab: np.ndarray) -> tuple[np.ndar
     return owner[hit], at[hit]
 
 
-def _matrix(owner: np.ndarray, h: np.ndarray, shape: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(shape), len(vocab) + len(SHAPES)), np.float32)
-    x[:, len(vocab) :] = shape
-    x[_known(owner, h, vocab)] = 1
-    return x
-
-
 def predict(docs: DataFrame, chain: Chain, *, text: str = "text", suffix: str = "_p") -> DataFrame:
     """Add one probability column per category (``<category>_p``) to ``docs``;
     clashing columns are replaced."""

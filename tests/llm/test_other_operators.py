@@ -344,6 +344,21 @@ def test_toxicity_held_out(spark):
     assert len(chain.categories[1].weights) == len(chain.categories[0].weights) + 1
 
 
+def test_toxicity_keeps_every_significant_word(spark):
+    # 700 words of low quality, one set in each such text, and a toxic word weaker than all of them
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        low, toxic = i % 2, i % 5 == 0
+        words = [f"l{j}" for j in range(700)] if low else [f"g{j}" for j in range(5)]
+        rows.append((i, " ".join(words + (["grob"] if toxic and rng.random() < 0.6 else [])), low, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, low_quality int, toxic int")
+    chain = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "low_quality", "toxic"), TOXIC_CATEGORIES)
+    assert len(chain.vocabulary) == 706
+    probe = spark.createDataFrame([(1, "g0 g1 g2 g3 g4 grob"), (2, "g0 g1 g2 g3 g4")], "doc_id long, text string")
+    assert [r["toxic_p"] > 0.5 for r in toxicity.predict(probe, chain).orderBy("doc_id").collect()] == [True, False]
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (3, "a b", "c"), (3, "a b", "c"), (None, "x", "c")], "doc_id long, text string, toxic_p string")
     labels = spark.createDataFrame([(1, 0.0, None), (2, 0.0, 0.0), (3, 0.0, 1.0), (3, 0.0, 0.0), (None, 1.0, 1.0)], "doc_id long, low_quality double, toxic double")
