@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corkscrew.session import table
 
-from . import chat, ngram_lm, packing, quality, sentencepiece_fst, simhash, substring, topk, toxicity, urls
-from .spark import relax, tune
+from . import alignment, chat, jaccard, ngram_lm, packing, quality, sentencepiece_fst, simhash, substring, topk, toxicity, urls, vector_codes
+from .spark import relax, settle, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,3 +112,55 @@ def op10_toxicity(spark, sf_dir):
     chain = toxicity.fit(docs, toxicity_labels(spark, sf_dir), TOXIC_CATEGORIES)
     scored = toxicity.predict(docs, chain)
     return scored.select("doc_id", "low_quality_p", "toxic_p", (F.col("toxic_p") >= 0.5).alias("toxic"))
+
+
+@query
+def op11_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+
+
+def codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """The learning rounds of op12 in plain SQL, every part against every entry."""
+    step = "len(v) // {n}".format(n=parts)
+    sql = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"parts AS MATERIALIZED (SELECT r, p, list_slice(v, p * ({step}) + 1, (p + 1) * ({step})) AS x FROM kept, range({parts}) t(p))",
+        f"book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        sql.append(f"d{k} AS (SELECT r, a.p, x, e, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM parts a JOIN book{k} b ON a.p = b.p)")
+        sql.append(f"near{k} AS MATERIALIZED (SELECT r, p, first(x) AS x, min(d) AS d, arg_min(e, struct_pack(d := d, e := e)) AS e FROM d{k} GROUP BY r, p)")
+        if k < rounds:
+            sql.append(f"flat{k} AS (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM near{k})")
+            sql.append(f"mean{k} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(CAST(y AS HUGEINT)) / count(*)) AS m FROM flat{k} GROUP BY p, e, i) GROUP BY p, e)")
+            sql.append(f"book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m ON m.p = b.p AND m.e = b.e)")
+    sql.append(f"coded AS (SELECT r, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r)")
+    sql.append(f"sha AS (SELECT sha256(string_agg(list_aggregate(list_transform(c, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), 'string_agg', ','), ',' ORDER BY p, e)) AS s FROM book{rounds})")
+    return (
+        "WITH " + ", ".join(sql) + " SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, "
+        "sha.s AS codebooks_sha256 FROM coded JOIN kept USING (r), sha"
+    )
+
+
+ORACLE["op12_vector_codes"] = codes_sql()
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    coded = settle(coded, "codes")
+    # written first, so that Spark knows its size: broadcast if small, else shuffled
+    per_label = settle(coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "same"), "codes-labels")
+    out = coded.join(per_label, F.col("label").eqNullSafe(F.col("same")))
+    code = F.concat_ws("", F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
+    sha = F.lit(books.sha256() if books else None).cast("string")
+    return out.select("vec_id", code.alias("code"), "error", "label_error", sha.alias("codebooks_sha256"))
+
+
+@query
+def op13_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
