@@ -26,8 +26,8 @@ set represents, so a group of copies is never joined with itself.
    first (stars), which joins groups of near copies with few comparisons.
    What still lies in different components meets further stars, and in the
    end every remaining pair from different components. Pairs must agree in
-   size, then in ``head`` (more differences there than linked sets have in
-   all means no link), then in the whole sets. So no link is lost but those
+   size, then in ``sample``, the head in 32 bits (more differences there than
+   linked sets have in all means no link), then in the whole sets. So no link is lost but those
    inside a component that other links already join.
 
 Defined results: null, empty or wordless texts have no shingles and their own
@@ -54,6 +54,8 @@ from .spark import STEP_BYTES, settle, ship
 
 #: Most frequent tokens a counting pass may find.
 FREQUENT_ROWS = 500_000
+#: Signatures (one long each) that are broadcast; more are joined by a shuffle.
+BROADCAST_SIGNATURES = 2_000_000
 #: End of the lowest eighth of the (signed) hash range.
 HEAD_END = -(1 << 63) + (1 << 61)
 #: Rare tokens that one bucket of frequent tokens stands for, about.
@@ -100,8 +102,16 @@ def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(doc, np.arange(len(off))), value
 
 
+def _shorten(head: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct leading 32 bits of each text's ascending ``head``, offsets)."""
+    value = (head >> 29).astype(np.int32)  # the three highest bits are the same in all of them
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    keep = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]) if len(value) else np.zeros(0, bool)
+    return value[keep], np.concatenate([[0], np.cumsum(keep)])[off]
+
+
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(sid, h1, h2, n, head, tail) of rows (sid, h1, h2, text)."""
+    """(sid, h1, h2, n, sample, head, tail) of rows (sid, h1, h2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,12 +119,13 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
                 off, value = shingle_sets(batch.column(3).slice(lo, hi - lo), shingle)
                 low = value < HEAD_END
                 seen = np.concatenate([[0], np.cumsum(low)])[off]
+                sample, sample_off = _shorten(value[low], seen)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(lo, hi - lo).columns[:3], pa.array(np.diff(off).astype(np.int32)), _lists(seen, value[low]), _lists(off - seen, value[~low])],
-                    names=["sid", "h1", "h2", "n", "head", "tail"],
+                    [*batch.slice(lo, hi - lo).columns[:3], pa.array(np.diff(off).astype(np.int32)), _lists(sample_off, sample), _lists(seen, value[low]), _lists(off - seen, value[~low])],
+                    names=["sid", "h1", "h2", "n", "sample", "head", "tail"],
                 )
 
-    return rows.mapInArrow(run, "sid long, h1 long, h2 long, n int, head array<long>, tail array<long>")
+    return rows.mapInArrow(run, "sid long, h1 long, h2 long, n int, sample array<int>, head array<long>, tail array<long>")
 
 
 def _ceil_share(n, percent: int):
@@ -242,30 +253,35 @@ def _shared(a: str, b: str) -> F.Column:
     return F.size(F.array_intersect(a, b)).cast("long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct (a, b) that link."""
-    total = (F.col("na") + F.col("nb")).cast("long")
+def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b) with both sets' ``columns``; only sets in some pair are moved."""
+    ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "jaccard-ends")
+    some = settle(sets.select("sid", "n", *columns).join(ends, "sid", "left_semi"), "jaccard-some")
+    rows = pairs
+    for side in "ab":
+        rows = rows.join(some.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *columns)]), side)
+    return rows
 
-    def with_sets(rows: DataFrame, *columns: str) -> DataFrame:
-        for side in "ab":
-            own = sets.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-            rows = own.join(rows, side)
-        return rows
 
-    # |x ^ y| <= (100 - p) / (100 + p) * (|x| + |y|) for a link
-    apart = F.size("head_a") + F.size("head_b") - 2 * _shared("head_a", "head_b")
-    near = with_sets(pairs, "head").where((100 + percent) * apart <= (100 - percent) * total)
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct (a, b) that link."""
+    total = (F.col("n_a") + F.col("n_b")).cast("long")
+    # |x ^ y| <= (100 - p) / (100 + p) * (|x| + |y|) for a link; shortened hashes can only hide differences
+    apart = F.size("sample_a") + F.size("sample_b") - 2 * _shared("sample_a", "sample_b")
+    near = _with_sets(pairs, sets, "sample").where((100 + percent) * apart <= (100 - percent) * total)
     near = settle(near.select("a", "b").distinct(), "jaccard-near")
     same = _shared("head_a", "head_b") + _shared("tail_a", "tail_b")
-    return with_sets(near, "head", "tail").where((100 + percent) * same >= percent * total).select("a", "b").distinct()
+    return _with_sets(near, sets, "head", "tail").where((100 + percent) * same >= percent * total).select("a", "b").distinct()
 
 
 def links(sets: DataFrame, *, percent: int = 85, least: int = 32, passes: int = 3, stars: int = 4) -> DataFrame:
     """Links (a, b) between set ids that keep every component."""
     frequent = frequent_tokens(sets, percent=percent, least=least, passes=passes)
     post = settle(postings(sets, frequent, percent), "jaccard-postings")
-    shared = post.groupBy("sig").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x < y").select("sig")
-    post = settle(post.join(shared, "sig"), "jaccard-groups")
+    shared = settle(post.groupBy("sig").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x < y").select("sig"), "jaccard-shared")
+    if shared.count() <= BROADCAST_SIGNATURES:
+        shared = F.broadcast(shared)
+    post = settle(post.join(shared, "sig", "left_semi"), "jaccard-groups")
     found = None
     roots = None
     for turn in range(stars + 1):
