@@ -128,30 +128,6 @@ def tokenizer_pair(byte_bpe: bytes, piece_model: bytes) -> TokenizerPair:
     return state[key]
 
 
-def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A space put before each non-empty text, and where its stretches start.
-
-    Returns the new bytes, the starts (with the total length at the end) and
-    ``bounds``: text ``d`` owns stretches ``bounds[d]:bounds[d + 1]``.
-    """
-    has = np.diff(off) > 0
-    shift = np.cumsum(has)
-    out = np.full(len(data) + int(shift[-1] if len(shift) else 0), 0x20, np.uint8)
-    out[np.arange(len(data)) + np.repeat(shift, np.diff(off))] = data
-    new = off + np.concatenate([[0], shift])
-    first = np.zeros(len(out) + 1, bool)
-    first[new[:-1][has]] = True
-    space = out == 0x20
-    after = np.append(out[1:], 0x20)
-    visible = (after > 0x20) & (after < 0x7F) | (after > 0xC2) & ((after < 0xE1) | (after > 0xE3))
-    alone = np.concatenate([[False], ~space[:-1]]) & space & visible
-    last = new[1:][has] - 1
-    alone[last] = False
-    first[:-1] |= alone
-    start = np.flatnonzero(first[:-1])
-    return out, np.append(start, len(out)), np.searchsorted(start, new)
-
-
 @dataclass
 class Tokens:
     """Token ids of a batch and the byte offsets where they end; text ``d``
@@ -181,12 +157,10 @@ def _gather(parts: list[bytes], which: np.ndarray, owner_bounds: np.ndarray, sta
 def tokenize(column: pa.Array, pair: TokenizerPair) -> tuple[Tokens, Tokens]:
     """Tokens of A and B of each text; texts that do not round-trip have none."""
     data, off = X.utf8(column)
-    raw, start, bounds = stretches(data, off)
+    raw, start, bounds = X.stretches(data, off)
     n = len(start) - 1
-    strings = pa.LargeStringArray.from_buffers(n, pa.py_buffer(start.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
-    coded = strings.dictionary_encode()
-    which = coded.indices.to_numpy()
-    found = pair.tokens(coded.dictionary.to_pylist())
+    which, distinct = X.distinct_strings(raw, start)
+    found = pair.tokens(distinct)
     owner = X.owners(bounds)
     wrong = np.zeros(len(off) - 1, bool)
     if n:

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -103,6 +104,10 @@ class PieceModel:
         self.output[self.unknown] = " ⁇ ".encode()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
+        self.output_size = np.array([len(x) for x in self.output], np.int64)
+        self.output_start = np.cumsum(self.output_size) - self.output_size
+        self.output_bytes = np.frombuffer(b"".join(self.output), np.uint8)
         self.after_space = _AfterSpace(self)
 
     # -- pair acceptor
@@ -251,6 +256,53 @@ class PieceModel:
                 out += map(self.after_space.__getitem__, words[1:])
         return b"".join(out)
 
+    def encode_batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin): each distinct stretch
+        between single spaces takes its path once, ids are put in place by number."""
+        if self.dummy and self.by_word and self.byte and not self.trim:
+            data, start, bounds = X.stretches(*X.utf8(column))
+            which, distinct = X.distinct_strings(data, start)
+            known = self.stretches
+            parts = []
+            for s in distinct:
+                ids = known.get(s)
+                if ids is None:
+                    ids = self.encode(s[1:])
+                    if len(s) <= 64 and len(known) < CACHE_WORDS:
+                        known[s] = ids
+                parts.append(ids)
+        else:
+            parts = [self.encode(t or "") for t in column.to_pylist()]
+            which, bounds = np.arange(len(parts)), np.arange(len(parts) + 1)
+        flat = np.frombuffer(b"".join(parts), "<i4")
+        many = np.array([len(p) // 4 for p in parts], np.int64)
+        size = many[which]
+        end = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(int(end[-1])) + np.repeat((np.cumsum(many) - many)[which] - end[:-1], size)
+        return flat[place], end[bounds]
+
+    def decode_batch(self, lists: pa.Array) -> pa.Array:
+        """Texts of id lists, put together from the pieces' bytes."""
+        if lists.null_count:
+            lists = lists.fill_null(pa.scalar([], lists.type))
+        ids, off = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        size = self.output_size[ids]
+        end = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(int(end[-1])) + np.repeat(self.output_start[ids] - end[:-1], size)
+        data, start = self.output_bytes[place], end[off - off[0]]
+        if self.dummy:  # the space put before a text
+            first = start[:-1][np.diff(start) > 0]
+            drop = first[data[first] == 0x20]
+            stay = np.ones(len(data), bool)
+            stay[drop] = False
+            data, start = data[stay], start - np.searchsorted(drop, start)
+        out = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(start.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # ids whose bytes are no UTF-8
+            return pa.array([self.decode(x) for x in lists.to_pylist()], pa.string())
+        return out.cast(pa.string())
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy and text[:1] == " " else text
@@ -287,10 +339,8 @@ def encode(docs: DataFrame, model: str, *, text: str = "text", out: str = "ids")
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for lo, hi in X.row_slices(column, STEP_BYTES):
-                raw = [None if t is None else m.encode(t) for t in column.slice(lo, hi - lo).to_pylist()]
-                size = np.array([len(r) // 4 if r is not None else 0 for r in raw])
-                flat = pa.array(np.frombuffer(b"".join([r for r in raw if r]), "<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat, mask=pa.array([r is None for r in raw]))
+                flat, end = m.encode_batch(column.slice(lo, hi - lo))
+                ids = pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(flat), mask=column.slice(lo, hi - lo).is_null())
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, ids], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
@@ -307,7 +357,8 @@ def decode(docs: DataFrame, model: str, *, ids: str = "ids", out: str = "decoded
             column = batch.column(batch.schema.get_field_index(ids))
             for lo in range(0, max(len(column), 1), 256):
                 part = batch.slice(lo, 256)
-                texts = [None if x is None else m.decode(x) for x in column.slice(lo, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+                texts = m.decode_batch(column.slice(lo, 256))
+                texts = pc.if_else(column.slice(lo, 256).is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))

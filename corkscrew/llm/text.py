@@ -145,3 +145,36 @@ def repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
     return later, twice
+
+
+def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A space put before each non-empty text, and where its stretches start:
+    at spaces that stand alone between two other characters, the second of
+    them visible.
+
+    Returns the new bytes, the starts (with the total length at the end) and
+    ``bounds``: text ``d`` owns stretches ``bounds[d]:bounds[d + 1]``.
+    """
+    has = np.diff(off) > 0
+    shift = np.cumsum(has)
+    out = np.full(len(data) + int(shift[-1] if len(shift) else 0), 0x20, np.uint8)
+    out[np.arange(len(data)) + np.repeat(shift, np.diff(off))] = data
+    new = off + np.concatenate([[0], shift])
+    first = np.zeros(len(out) + 1, bool)
+    first[new[:-1][has]] = True
+    space = out == 0x20
+    after = np.append(out[1:], 0x20)
+    visible = (after > 0x20) & (after < 0x7F) | (after > 0xC2) & ((after < 0xE1) | (after > 0xE3))
+    alone = np.concatenate([[False], ~space[:-1]]) & space & visible
+    last = new[1:][has] - 1
+    alone[last] = False
+    first[:-1] |= alone
+    start = np.flatnonzero(first[:-1])
+    return out, np.append(start, len(out)), np.searchsorted(start, new)
+
+
+def distinct_strings(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """(number of each string ``data[start[i]:start[i + 1]]`` among the distinct ones, these)."""
+    strings = pa.LargeStringArray.from_buffers(len(start) - 1, pa.py_buffer(start.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    coded = strings.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()

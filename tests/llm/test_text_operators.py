@@ -251,7 +251,7 @@ def test_factors_join_spans_of_one_source(spark):
 # -- LM scores
 
 
-def lm_truth(docs, corpus, alpha=0.4, least=2):
+def lm_truth(docs, corpus, alpha=0.4, least=1):
     c = {n: Counter() for n in (1, 2, 3)}
     for t in corpus:
         w = WORD.findall(t or "")
