@@ -19,6 +19,23 @@ def macro_f1(pred: DataFrame, label: str = "label", prediction: str = "predictio
     """Unweighted mean over classes (seen as label or prediction) of per-class F1;
     a class with no true positive scores 0."""
     pairs = pred.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return _macro_f1(pairs)
+
+
+def weighted(pred: DataFrame, weight: str, task_type: str, label: str = "label", prediction: str = "prediction") -> dict:
+    """``score`` of rows that stand for ``weight`` rows each."""
+    w = F.col(weight)
+    if task_type == "regression":
+        y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+        mean = pred.agg(F.sum(y * w) / F.sum(w)).first()[0]
+        s = pred.agg(F.sum(w * (y - p) * (y - p)).alias("res"), F.sum(w * (y - F.lit(mean)) * (y - F.lit(mean))).alias("tot")).first()
+        return {"r2": 1.0 - s["res"] / s["tot"] if s["tot"] else None}
+    pairs = pred.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.sum(w).alias("n"))
+    row = _macro_f1(pairs).crossJoin(pairs.agg((F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))).first()
+    return {"accuracy": row["accuracy"], "macro_f1": row["macro_f1"]}
+
+
+def _macro_f1(pairs: DataFrame) -> DataFrame:
     as_label = pairs.groupBy(F.col("y").alias("cls")).agg(
         F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("tp"),
         F.sum(F.when(F.col("y") != F.col("p"), F.col("n")).otherwise(0)).alias("fn"),

@@ -18,10 +18,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     NaiveBayes,
@@ -35,6 +35,10 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import blocks, fit_on, total
+from .metric_knn import MetricKnn
+from .trees import TreeEnsemble, class_number
+
 SCORE_DIGITS = 9
 
 
@@ -61,11 +65,12 @@ class _ClosedParams(Params):
     inputCols = Param(Params._dummy(), "inputCols", "feature columns", TypeConverters.toListString)
     labelCol = Param(Params._dummy(), "labelCol", "label column", TypeConverters.toString)
     predictionCol = Param(Params._dummy(), "predictionCol", "prediction column", TypeConverters.toString)
-    kind = Param(Params._dummy(), "kind", "multinomial | bernoulli | ridge | prior | mean", TypeConverters.toString)
-    alpha = Param(Params._dummy(), "alpha", "smoothing / ridge strength", TypeConverters.toFloat)
+    kind = Param(Params._dummy(), "kind", "multinomial | bernoulli | ridge | svc | prior | mean", TypeConverters.toString)
+    alpha = Param(Params._dummy(), "alpha", "smoothing / ridge strength / C of the hinge loss", TypeConverters.toFloat)
+    weightCol = Param(Params._dummy(), "weightCol", "row weights, if any", TypeConverters.toString)
 
     def _init_defaults(self):
-        self._setDefault(inputCols=[], labelCol="label", predictionCol="prediction", kind="multinomial", alpha=1.0)
+        self._setDefault(inputCols=[], labelCol="label", predictionCol="prediction", kind="multinomial", alpha=1.0, weightCol="")
 
 
 class ClosedFormModel(Model, _ClosedParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -106,36 +111,41 @@ class ClosedFormModel(Model, _ClosedParams, DefaultParamsReadable, DefaultParams
 class ClosedFormClassifier(Estimator, _ClosedParams, DefaultParamsReadable, DefaultParamsWritable):
     """Naive Bayes (multinomial / bernoulli), ridge by Gram sums, or a dummy."""
 
-    def __init__(self, inputCols: Sequence[str] = (), labelCol: str = "label", predictionCol: str = "prediction", kind: str = "multinomial", alpha: float = 1.0):
+    def __init__(self, inputCols: Sequence[str] = (), labelCol: str = "label", predictionCol: str = "prediction", kind: str = "multinomial", alpha: float = 1.0, weightCol: str = ""):
         super().__init__()
         self._init_defaults()
-        self._set(inputCols=list(inputCols), labelCol=labelCol, predictionCol=predictionCol, kind=kind, alpha=float(alpha))
+        self._set(inputCols=list(inputCols), labelCol=labelCol, predictionCol=predictionCol, kind=kind, alpha=float(alpha), weightCol=weightCol)
 
     def _fit(self, df: DataFrame) -> ClosedFormModel:
         kind = self.getOrDefault(self.kind)
         cols = self.getOrDefault(self.inputCols)
         label = self.getOrDefault(self.labelCol)
         alpha = self.getOrDefault(self.alpha)
-        fit = {"multinomial": fit_multinomial_nb, "bernoulli": fit_bernoulli_nb, "ridge": fit_ridge_classifier,
+        fit = {"multinomial": fit_multinomial_nb, "bernoulli": fit_bernoulli_nb, "ridge": fit_ridge_classifier, "svc": fit_linear_svc,
                "prior": fit_prior, "mean": fit_mean}[kind]
-        coef = fit(df, cols, label, alpha)
+        coef = fit(df, cols, label, alpha, self.getOrDefault(self.weightCol) or None)
         return ClosedFormModel(coef_json=json.dumps(coef), inputCols=cols, labelCol=label,
                                predictionCol=self.getOrDefault(self.predictionCol), kind=kind, alpha=alpha)
 
 
-def class_sums(df: DataFrame, cols: Sequence[str], label: str, binarize: bool = False) -> list:
+def _weight(weight: str | None) -> Column:
+    return _q(weight) if weight else F.lit(1.0)
+
+
+def class_sums(df: DataFrame, cols: Sequence[str], label: str, binarize: bool = False, weight: str | None = None) -> list:
     """Per class: row count and per-feature sums (one grouped aggregate; classes x features)."""
     x = [(_q(c) > 0).cast("double") if binarize else _q(c).cast("double") for c in cols]
-    rows = df.groupBy(_q(label).alias("_y")).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)]).collect()
+    w = _weight(weight)
+    rows = df.groupBy(_q(label).alias("_y")).agg(F.sum(w).alias("_n"), *[F.sum(v * w).alias(f"s{i}") for i, v in enumerate(x)]).collect()
     return sorted(rows, key=lambda r: r["_y"])
 
 
-def fit_multinomial_nb(df, cols, label, alpha=1.0) -> dict:
+def fit_multinomial_nb(df, cols, label, alpha=1.0, weight=None) -> dict:
     """log prior + x . log((count + alpha) / (total + alpha * p)); features must be >= 0."""
     neg = df.agg(*[F.min(_q(c)).alias(c) for c in cols]).first()
     if any(neg[c] is not None and neg[c] < 0 for c in cols):
         raise ValueError("negative values in input to multinomial naive Bayes")
-    rows = class_sums(df, cols, label)
+    rows = class_sums(df, cols, label, weight=weight)
     n = sum(r["_n"] for r in rows)
     p = len(cols)
     classes, b, w = [], [], []
@@ -148,9 +158,9 @@ def fit_multinomial_nb(df, cols, label, alpha=1.0) -> dict:
     return {"classes": classes, "intercepts": b, "weights": w}
 
 
-def fit_bernoulli_nb(df, cols, label, alpha=1.0) -> dict:
+def fit_bernoulli_nb(df, cols, label, alpha=1.0, weight=None) -> dict:
     """Presence model (x > 0): folded into b_c + sum_j x_j (ln p - ln(1-p))."""
-    rows = class_sums(df, cols, label, binarize=True)
+    rows = class_sums(df, cols, label, binarize=True, weight=weight)
     n = sum(r["_n"] for r in rows)
     p = len(cols)
     classes, b, w = [], [], []
@@ -165,53 +175,114 @@ def fit_bernoulli_nb(df, cols, label, alpha=1.0) -> dict:
     return {"classes": classes, "intercepts": b, "weights": w}
 
 
-def fit_ridge_classifier(df, cols, label, alpha=1.0) -> dict:
-    """One-vs-all ridge on {-1, +1} targets with intercept, from Gram sums.
+def _class_blocks(df: DataFrame, cols: Sequence[str], label: str, weight: str | None):
+    """(classes, blocks of (X, class numbers, w), number of rows); nulls in features count as 0."""
+    classes = sorted(r[0] for r in df.select(_q(label)).where(_q(label).isNotNull()).distinct().collect())  # one row a class
+    rows = df.where(_q(label).isNotNull()).withColumn("__y", class_number(_q(label), classes))
+    n = rows.count()
+    data = blocks(rows, cols, "__y", weight, rows=n)
+    return classes, data.map(lambda e: (np.nan_to_num(e[0]), e[1][:, 0], e[2])), n
+
+
+def _targets(y: np.ndarray, n_classes: int) -> np.ndarray:
+    """{-1, +1} columns, one a class (one column for two classes)."""
+    at = [1] if n_classes == 2 else range(n_classes)
+    return np.stack([np.where(y == k, 1.0, -1.0) for k in at], axis=1)
+
+
+def _as_coef(classes: list, w: np.ndarray, b: np.ndarray) -> dict:
+    """``w``: (outputs, features). One output decides between two classes."""
+    if len(classes) == 2:
+        w, b = np.concatenate([-w, w]), np.concatenate([-b, b])
+    return {"classes": classes, "intercepts": [float(v) for v in b], "weights": [[float(v) for v in x] for x in w]}
+
+
+def gram(data, n_outputs: int, outputs) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted n, X'1, X'X, Y'1 and X'Y in one pass: each block adds its matrix
+    products, partitions are summed in a tree."""
 
-    One aggregate gives X'X, X'1, Y'X, Y'1 (p*p + p*C numbers); the
-    p x p system is solved on the driver.
+    def of(e):
+        x, y, w = e
+        xw, t = x * w[:, None], outputs(y)
+        return [np.array([w.sum()]), xw.sum(0), xw.T @ x, (t * w[:, None]).sum(0), xw.T @ t]
+
+    n, sx, xx, sy, xy = total(data, of)
+    return float(n[0]), sx, xx, sy, xy
+
+
+def fit_ridge_classifier(df, cols, label, alpha=1.0, weight=None) -> dict:
+    """One-vs-all ridge on {-1, +1} targets with intercept, from Gram sums; the
+    p x p system is solved on the driver."""
+    classes, data, _ = _class_blocks(df, cols, label, weight)
+    k = len(classes)
+    if k < 2:
+        return _as_coef(classes, np.zeros((k, len(cols))), np.zeros(k))
+    n, sx, xx, sy, xy = gram(data, k, lambda y: _targets(y, k))
+    mx, my = sx / n, sy / n
+    w = np.linalg.solve(xx - n * np.outer(mx, mx) + alpha * np.eye(len(cols)), xy - n * np.outer(mx, my)).T
+    return _as_coef(classes, w, my - w @ mx)
+
+
+def fit_linear_svc(df, cols, label, alpha=1.0, weight=None, max_iter: int = 50, tol: float = 1e-8) -> dict:
+    """One-vs-all linear support vectors: ``|v|^2 / 2 + C sum max(0, 1 - t f)^2``,
+    the intercept (last of v) penalised like a weight, C = ``alpha``.
+
+    Newton steps: one pass adds up loss, gradient and the second-order matrix
+    of the rows inside the margin for all classes; steps are halved until the
+    loss falls, tried lengths sharing one pass.
     """
-    classes = [r[0] for r in df.select(_q(label)).distinct().orderBy(_q(label)).collect()]
-    x = [_q(c).cast("double") for c in cols]
-    p = len(cols)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(x[i]).alias(f"sx{i}") for i in range(p)]
-    aggs += [F.sum(x[i] * x[j]).alias(f"xx{i}_{j}") for i in range(p) for j in range(i, p)]
-    for k, cls in enumerate(classes):
-        yk = F.when(_q(label) == F.lit(cls), 1.0).otherwise(-1.0)
-        aggs.append(F.sum(yk).alias(f"sy{k}"))
-        aggs += [F.sum(yk * x[i]).alias(f"xy{k}_{i}") for i in range(p)]
-    r = df.agg(*aggs).first()
-    n = r["n"]
-    mx = np.array([r[f"sx{i}"] for i in range(p)]) / n
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            g[i, j] = g[j, i] = r[f"xx{i}_{j}"]
-    gc = g - n * np.outer(mx, mx) + alpha * np.eye(p)
-    binary = len(classes) == 2
-    targets = [1] if binary else range(len(classes))
-    ws, bs = [], []
-    for k in targets:
-        my = r[f"sy{k}"] / n
-        xy = np.array([r[f"xy{k}_{i}"] for i in range(p)]) - n * mx * my
-        wk = np.linalg.solve(gc, xy)
-        ws.append(wk)
-        bs.append(my - mx @ wk)
-    if binary:  # decision > 0 -> second class
-        ws = [-ws[0], ws[0]]
-        bs = [-bs[0], bs[0]]
-    return {"classes": classes, "intercepts": [float(v) for v in bs], "weights": [[float(v) for v in w] for w in ws]}
-
-
-def fit_prior(df, cols, label, alpha=1.0) -> dict:
+    classes, data, n = _class_blocks(df, cols, label, weight)
+    k, p = len(classes), len(cols)
+    if k < 2:
+        return _as_coef(classes, np.zeros((k, p)), np.zeros(k))
+    v = fit_on(data, n, lambda d: _hinge_newton(d, k, p, alpha, max_iter, tol))
+    return _as_coef(classes, v[:, :-1], v[:, -1])
+
+
+def _hinge_newton(data, k: int, p: int, alpha: float, max_iter: int, tol: float) -> np.ndarray:
+    data = data.map(lambda e: (np.column_stack([e[0], np.ones(len(e[0]))]), _targets(e[1], k), e[2])).persist(StorageLevel.MEMORY_AND_DISK)
+    outputs = 1 if k == 2 else k
+    v = np.zeros((outputs, p + 1))
+    lengths = 0.5 ** np.arange(12)
+
+    def losses(at: np.ndarray) -> np.ndarray:
+        """Loss for each of the (tries, outputs, p + 1) weights."""
+        sums = total(data, lambda e: np.stack([(e[2][:, None] * np.maximum(0, 1 - e[1] * (e[0] @ one.T)) ** 2).sum(0) for one in at]))
+        return alpha * sums + 0.5 * (at**2).sum(2)
+
+    for _ in range(max_iter):
+
+        def of(e, v=v):
+            x, t, w = e
+            slack = np.maximum(0, 1 - t * (x @ v.T))
+            grad = -2 * (x.T @ (t * slack * w[:, None])).T
+            second = np.stack([2 * (x * (w * (slack[:, o] > 0))[:, None]).T @ x for o in range(v.shape[0])])
+            return [grad, second]
+
+        grad, second = total(data, of)
+        grad = alpha * grad + v
+        if np.abs(grad).max() < tol * max(1.0, alpha):
+            break
+        step = np.stack([np.linalg.solve(alpha * second[o] + np.eye(p + 1), grad[o]) for o in range(outputs)])
+        tried = np.stack([v] + [v - x * step for x in lengths])
+        loss = losses(tried)
+        best = loss.argmin(0)
+        v = np.stack([tried[best[o], o] for o in range(outputs)])
+        if not best.any():
+            break
+    data.unpersist()
+    return v
+
+
+def fit_prior(df, cols, label, alpha=1.0, weight=None) -> dict:
     """Most frequent class, ties -> smallest."""
-    r = df.groupBy(_q(label).alias("y")).agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("y").alias("y"))).alias("m")).first()
+    r = df.groupBy(_q(label).alias("y")).agg(F.sum(_weight(weight)).alias("n")).agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("y").alias("y"))).alias("m")).first()
     return {"value": r["m"]["y"]}
 
 
-def fit_mean(df, cols, label, alpha=1.0) -> dict:
-    return {"value": df.agg(F.avg(_q(label).cast("double"))).first()[0]}
+def fit_mean(df, cols, label, alpha=1.0, weight=None) -> dict:
+    y, w = _q(label).cast("double"), _weight(weight)
+    return {"value": df.agg((F.sum(y * w) / F.sum(F.when(y.isNotNull(), w))).alias("m") if weight else F.avg(y).alias("m")).first()[0]}
 
 
 # ---------------------------------------------------------------- MLlib
@@ -227,7 +298,10 @@ class Spec:
     closed: bool = False  # closed-form model on plain columns
     defaults: dict = field(default_factory=dict)
     ranges: dict = field(default_factory=dict)  # name -> (low, high, integer?)
+    knn: bool = False  # mean of the nearest rows
     unscaled: bool = False  # learns from counts and flags, not from standardised columns
+    trees: dict | None = None  # histogram tree ensemble: its kind and fixed numbers
+    growing: str | None = None  # parameter that may be cut in a search's first rungs (rounds, trees)
 
 
 def _ovr(est, n_classes: int):
@@ -241,28 +315,35 @@ def penalty(params: dict, n_rows: int) -> float:
     return 1.0 / (float(params["C"]) * n) if "C" in params else float(params["alpha"]) / n
 
 
+#: Second-order boosting under the libraries' own default numbers.
+XGB = {"kind": "boosting", "l2": 1.0, "min_hessian": 1.0, "min_rows": 0.0, "hessian": 2.0}
+LGBM = {"kind": "boosting", "l2": 0.0, "min_hessian": 1e-3, "min_rows": 20.0, "hessian": 1.0, "max_depth": 12, "max_leaves": 31}
+HIST = {"kind": "boosting", "l2": 0.0, "min_hessian": 1e-3, "min_rows": 20.0, "hessian": 1.0, "max_depth": 12, "max_leaves": 31}
+
+
 def classification_registry(mode: str = "stable") -> dict[str, Spec]:
     reg = {
         "LogisticRegression": Spec(lambda p, k: LogisticRegression(maxIter=100, regParam=p["penalty"], elasticNetParam=0.0),
                                    "classification", linear=True, defaults={"C": 1.0}, ranges={"C": (0.01, 10.0, False)}),
         "RidgeClassifier": Spec(None, "classification", closed=True, defaults={"kind": "ridge", "alpha": 1.0}, ranges={"alpha": (0.01, 10.0, False)}),
-        "LinearSVC": Spec(lambda p, k: _ovr(LinearSVC(maxIter=100, regParam=p["penalty"]), k),
-                          "classification", linear=True, defaults={"C": 1.0}, ranges={"C": (0.01, 10.0, False)}),
+        "LinearSVC": Spec(None, "classification", closed=True, defaults={"kind": "svc", "alpha": 1.0}, ranges={"alpha": (0.01, 10.0, False)}),
         "MultinomialNB": Spec(None, "classification", closed=True, unscaled=True, defaults={"kind": "multinomial", "alpha": 1.0}, ranges={"alpha": (0.01, 2.0, False)}),
         "BernoulliNB": Spec(None, "classification", closed=True, unscaled=True, defaults={"kind": "bernoulli", "alpha": 1.0}, ranges={"alpha": (0.01, 2.0, False)}),
         "RandomForestClassifier": Spec(lambda p, k: RandomForestClassifier(numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 30)), seed=42),
                                        "classification", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 30, True)}),
-        "ExtraTreesClassifier": Spec(lambda p, k: RandomForestClassifier(numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 30)), bootstrap=False, seed=42),
-                                     "classification", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 30, True)}),
-        "GBTClassifier": Spec(lambda p, k: _ovr(GBTClassifier(maxIter=int(p.get("maxIter", 100)), stepSize=p.get("stepSize", 0.1), maxDepth=int(p.get("maxDepth", 6)), seed=42), k),
-                              "classification", defaults={"maxIter": 100, "stepSize": 0.1, "maxDepth": 6}, ranges={"maxIter": (10, 100, True), "maxDepth": (2, 8, True), "stepSize": (0.01, 0.3, False)}),
+        "ExtraTreesClassifier": Spec(None, "classification", trees={"kind": "extra_trees"}, growing="trees", defaults={"trees": 100, "max_depth": 30}, ranges={"trees": (10, 100, True), "max_depth": (2, 30, True)}),
+        "XGBClassifier": Spec(None, "classification", trees=XGB, growing="rounds", defaults={"rounds": 100, "rate": 0.1, "max_depth": 6}, ranges={"rounds": (50, 200, True), "max_depth": (3, 10, True), "rate": (0.01, 0.3, False), "columns": (0.5, 1.0, False)}),
+        "LGBMClassifier": Spec(None, "classification", trees=LGBM, growing="rounds", defaults={"rounds": 100, "rate": 0.1, "max_leaves": 31}, ranges={"rounds": (50, 200, True), "max_leaves": (20, 150, True), "rate": (0.01, 0.3, False), "columns": (0.5, 1.0, False)}),
     }
     if mode == "explo":
         reg.update({
             "MLPClassifier": Spec(None, "classification", linear=True, defaults={"hidden": 100, "maxIter": 200}),
             "BaggingClassifier": Spec(lambda p, k: RandomForestClassifier(numTrees=int(p.get("numTrees", 10)), maxDepth=int(p.get("maxDepth", 30)), featureSubsetStrategy="all", seed=42),
                                       "classification", defaults={"numTrees": 10, "maxDepth": 30}),
-            "AdaBoostClassifier": Spec(lambda p, k: _ovr(GBTClassifier(maxIter=50, stepSize=1.0, maxDepth=1, seed=42), k), "classification", defaults={}),
+            "GBTClassifier": Spec(lambda p, k: _ovr(GBTClassifier(maxIter=int(p.get("maxIter", 100)), stepSize=p.get("stepSize", 0.1), maxDepth=int(p.get("maxDepth", 6)), seed=42), k),
+                                  "classification", growing="maxIter", defaults={"maxIter": 100, "stepSize": 0.1, "maxDepth": 6}, ranges={"maxIter": (10, 100, True), "maxDepth": (2, 8, True), "stepSize": (0.01, 0.3, False)}),
+            "HistGradientBoostingClassifier": Spec(None, "classification", trees=HIST, growing="rounds", defaults={"rounds": 100, "rate": 0.1}),
+            "AdaBoostClassifier": Spec(None, "classification", trees={"kind": "adaboost"}, defaults={"rounds": 50, "rate": 1.0}),
             "ComplementNB": Spec(lambda p, k: NaiveBayes(modelType="complement", smoothing=p.get("alpha", 1.0)), "classification", unscaled=True, defaults={"alpha": 1.0}),
             "DummyClassifier": Spec(None, "classification", closed=True, defaults={"kind": "prior"}),
         })
@@ -276,18 +357,26 @@ def regression_registry(mode: str = "stable") -> dict[str, Spec]:
                       "regression", defaults={"alpha": 1.0}, ranges={"alpha": (0.01, 10.0, False)}),
         "Lasso": Spec(lambda p, k: LinearRegression(regParam=p.get("regParam", 0.1), elasticNetParam=1.0, standardization=False),
                       "regression", defaults={"regParam": 0.1}, ranges={"regParam": (1e-4, 1.0, False)}),
-        "ElasticNet": Spec(lambda p, k: LinearRegression(regParam=p.get("regParam", 0.1), elasticNetParam=0.5, standardization=False),
-                           "regression", defaults={"regParam": 0.1}, ranges={"regParam": (1e-4, 1.0, False)}),
+        "ElasticNet": Spec(lambda p, k: LinearRegression(regParam=p.get("regParam", 0.1), elasticNetParam=float(p.get("l1_ratio", 0.5)), standardization=False),
+                           "regression", defaults={"regParam": 0.1, "l1_ratio": 0.5}, ranges={"regParam": (1e-4, 1.0, False), "l1_ratio": (0.05, 0.95, False)}),
         "DecisionTreeRegressor": Spec(lambda p, k: DecisionTreeRegressor(maxDepth=int(p.get("maxDepth", 10)), seed=42),
                                       "regression", defaults={"maxDepth": 10}, ranges={"maxDepth": (2, 20, True)}),
         "RandomForestRegressor": Spec(lambda p, k: RandomForestRegressor(numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 30)), seed=42),
                                       "regression", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 20, True)}),
+        "BaggingRegressor": Spec(lambda p, k: RandomForestRegressor(numTrees=int(p.get("numTrees", 10)), maxDepth=int(p.get("maxDepth", 30)), featureSubsetStrategy="all", seed=42),
+                                 "regression", growing="numTrees", defaults={"numTrees": 10, "maxDepth": 30}, ranges={"numTrees": (10, 100, True)}),
+        "ExtraTreesRegressor": Spec(None, "regression", trees={"kind": "extra_trees"}, growing="trees", defaults={"trees": 100, "max_depth": 30}, ranges={"trees": (10, 100, True), "max_depth": (3, 30, True)}),
+        "KNeighborsRegressor": Spec(None, "regression", knn=True, defaults={"k": 5}, ranges={"k": (2, 50, True)}),
+        "XGBRegressor": Spec(None, "regression", trees=XGB, growing="rounds", defaults={"rounds": 100, "rate": 0.1, "max_depth": 5}, ranges={"rounds": (50, 200, True), "max_depth": (3, 10, True), "rate": (0.01, 0.3, False), "columns": (0.5, 1.0, False)}),
+        "LGBMRegressor": Spec(None, "regression", trees=LGBM, growing="rounds", defaults={"rounds": 100, "rate": 0.1, "max_leaves": 31}, ranges={"rounds": (50, 200, True), "max_leaves": (20, 150, True), "rate": (0.01, 0.3, False), "columns": (0.5, 1.0, False)}),
         "GBTRegressor": Spec(lambda p, k: GBTRegressor(maxIter=int(p.get("maxIter", 100)), maxDepth=int(p.get("maxDepth", 5)), seed=42),
                              "regression", defaults={"maxIter": 100, "maxDepth": 5}, ranges={"maxIter": (10, 100, True), "maxDepth": (2, 8, True)}),
     }
     if mode == "explo":
         reg.update({
             "HuberRegressor": Spec(lambda p, k: LinearRegression(loss="huber", epsilon=1.35, regParam=0.0001), "regression", defaults={}),
+            "HistGradientBoostingRegressor": Spec(None, "regression", trees=HIST, growing="rounds", defaults={"rounds": 100, "rate": 0.1}),
+            "AdaBoostRegressor": Spec(None, "regression", trees={"kind": "adaboost"}, defaults={"rounds": 50, "rate": 1.0}),
             "DummyRegressor": Spec(None, "regression", closed=True, defaults={"kind": "mean"}),
         })
     return reg
@@ -297,18 +386,24 @@ def registry(task_type: str, mode: str = "stable") -> dict[str, Spec]:
     return regression_registry(mode) if task_type == "regression" else classification_registry(mode)
 
 
-def make_pipeline(name: str, spec: Spec, params: dict, features: Sequence[str], target: str, n_classes: int, n_rows: int = 1) -> Pipeline:
+def make_pipeline(name: str, spec: Spec, params: dict, features: Sequence[str], target: str, n_classes: int, n_rows: int = 1, weight: str = "") -> Pipeline:
     """Stages from plain columns to a ``prediction`` column in the target's own values.
 
     ``n_rows``, the number of training rows, turns a strength on the summed
-    loss into Spark's on the mean loss (``penalty``).
+    loss into Spark's on the mean loss (``penalty``). ``weight``: a column of
+    row weights (models that take none ignore it).
     """
     features = list(features)
+    if spec.trees:
+        config = {**spec.trees, "task": "regression" if spec.task == "regression" else "classification", **params}
+        return Pipeline(stages=[TreeEnsemble(inputCols=features, labelCol=target, weightCol=weight, config=json.dumps(config))])
+    if spec.knn:
+        return Pipeline(stages=[MetricKnn(inputCols=features, labelCol=target, k=int(params.get("k", 5)))])
     if "C" in params or "alpha" in params:
         params = {**params, "penalty": penalty(params, n_rows)}
     if spec.closed:
         kind = params.get("kind", spec.defaults.get("kind"))
-        est = ClosedFormClassifier(inputCols=features, labelCol=target, predictionCol="prediction", kind=kind, alpha=params.get("alpha", 1.0))
+        est = ClosedFormClassifier(inputCols=features, labelCol=target, predictionCol="prediction", kind=kind, alpha=params.get("alpha", 1.0), weightCol=weight)
         return Pipeline(stages=[est])
     stages = [VectorAssembler(inputCols=features, outputCol="_raw" if spec.linear else "_features", handleInvalid="keep")]
     if spec.linear:
@@ -316,14 +411,18 @@ def make_pipeline(name: str, spec: Spec, params: dict, features: Sequence[str],
     if spec.task == "regression":
         est = spec.build(params, n_classes)
         est.setFeaturesCol("_features").setLabelCol(target).setPredictionCol("prediction")
+        if weight:
+            est.setWeightCol(weight)
         return Pipeline(stages=stages + [est])
-    indexer = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
+    indexer = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
     if name == "MLPClassifier":
         est = MultilayerPerceptronClassifier(layers=[len(features), int(params.get("hidden", 100)), n_classes],
                                              maxIter=int(params.get("maxIter", 200)), seed=42)
     else:
         est = spec.build(params, n_classes)
     est.setFeaturesCol("_features").setLabelCol("_label").setPredictionCol("_pred")
+    if weight and hasattr(est, "setWeightCol"):
+        est.setWeightCol(weight)
     stages = [indexer] + stages + [est]
     return Pipeline(stages=stages + [_label_back()])
 
@@ -337,9 +436,9 @@ def fit_pipeline(pipe: Pipeline, df: DataFrame):
     stages = pipe.getStages()
     if stages and isinstance(stages[-1], IndexToString):
         head = Pipeline(stages=stages[:-1]).fit(df)
-        labels = head.stages[0].labels
+        labels = head.stages[0].labels  # the indexer itself is not needed to predict
         from pyspark.ml import PipelineModel
 
         back = IndexToString(inputCol="_pred", outputCol="prediction", labels=labels)
-        return PipelineModel(stages=list(head.stages) + [back])
+        return PipelineModel(stages=list(head.stages[1:]) + [back])
     return pipe.fit(df)
