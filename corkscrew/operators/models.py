@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .blocks import blocks, fit_on, total
 from .metric_knn import MetricKnn
-from .trees import TreeEnsemble, class_number
+from .trees import FITS, TreeEnsemble, class_number, predict_blocks
 
 SCORE_DIGITS = 9
 
@@ -323,14 +323,14 @@ HIST = {"kind": "boosting", "l2": 0.0, "min_hessian": 1e-3, "min_rows": 20.0, "h
 
 def classification_registry(mode: str = "stable") -> dict[str, Spec]:
     reg = {
-        "LogisticRegression": Spec(lambda p, k: LogisticRegression(maxIter=100, regParam=p["penalty"], elasticNetParam=0.0),
-                                   "classification", linear=True, defaults={"C": 1.0}, ranges={"C": (0.01, 10.0, False)}),
+        "LogisticRegression": Spec(lambda p, k: LogisticRegression(maxIter=int(p.get("maxIter", 100)), regParam=p["penalty"], elasticNetParam=0.0),
+                                   "classification", linear=True, growing="maxIter", defaults={"C": 1.0, "maxIter": 100}, ranges={"C": (0.01, 10.0, False)}),
         "RidgeClassifier": Spec(None, "classification", closed=True, defaults={"kind": "ridge", "alpha": 1.0}, ranges={"alpha": (0.01, 10.0, False)}),
         "LinearSVC": Spec(None, "classification", closed=True, defaults={"kind": "svc", "alpha": 1.0}, ranges={"alpha": (0.01, 10.0, False)}),
         "MultinomialNB": Spec(None, "classification", closed=True, unscaled=True, defaults={"kind": "multinomial", "alpha": 1.0}, ranges={"alpha": (0.01, 2.0, False)}),
         "BernoulliNB": Spec(None, "classification", closed=True, unscaled=True, defaults={"kind": "bernoulli", "alpha": 1.0}, ranges={"alpha": (0.01, 2.0, False)}),
         "RandomForestClassifier": Spec(lambda p, k: RandomForestClassifier(numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 30)), seed=42),
-                                       "classification", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 30, True)}),
+                                       "classification", growing="numTrees", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 30, True)}),
         "ExtraTreesClassifier": Spec(None, "classification", trees={"kind": "extra_trees"}, growing="trees", defaults={"trees": 100, "max_depth": 30}, ranges={"trees": (10, 100, True), "max_depth": (2, 30, True)}),
         "XGBClassifier": Spec(None, "classification", trees=XGB, growing="rounds", defaults={"rounds": 100, "rate": 0.1, "max_depth": 6}, ranges={"rounds": (50, 200, True), "max_depth": (3, 10, True), "rate": (0.01, 0.3, False), "columns": (0.5, 1.0, False)}),
         "LGBMClassifier": Spec(None, "classification", trees=LGBM, growing="rounds", defaults={"rounds": 100, "rate": 0.1, "max_leaves": 31}, ranges={"rounds": (50, 200, True), "max_leaves": (20, 150, True), "rate": (0.01, 0.3, False), "columns": (0.5, 1.0, False)}),
@@ -362,7 +362,7 @@ def regression_registry(mode: str = "stable") -> dict[str, Spec]:
         "DecisionTreeRegressor": Spec(lambda p, k: DecisionTreeRegressor(maxDepth=int(p.get("maxDepth", 10)), seed=42),
                                       "regression", defaults={"maxDepth": 10}, ranges={"maxDepth": (2, 20, True)}),
         "RandomForestRegressor": Spec(lambda p, k: RandomForestRegressor(numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 30)), seed=42),
-                                      "regression", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 20, True)}),
+                                      "regression", growing="numTrees", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 20, True)}),
         "BaggingRegressor": Spec(lambda p, k: RandomForestRegressor(numTrees=int(p.get("numTrees", 10)), maxDepth=int(p.get("maxDepth", 30)), featureSubsetStrategy="all", seed=42),
                                  "regression", growing="numTrees", defaults={"numTrees": 10, "maxDepth": 30}, ranges={"numTrees": (10, 100, True)}),
         "ExtraTreesRegressor": Spec(None, "regression", trees={"kind": "extra_trees"}, growing="trees", defaults={"trees": 100, "max_depth": 30}, ranges={"trees": (10, 100, True), "max_depth": (3, 30, True)}),
@@ -431,6 +431,52 @@ def _label_back():
     return IndexToString(inputCol="_pred", outputCol="prediction")
 
 
+#: Closed-form kinds and tree ensembles can learn from blocks inside one task.
+BLOCK_KINDS = ("multinomial", "bernoulli", "ridge", "svc")
+
+
+def fits_in_task(spec: Spec, task: str) -> bool:
+    return bool(spec.trees) or (spec.closed and spec.defaults.get("kind") in BLOCK_KINDS and task != "regression")
+
+
+def predict_in_task(spec: Spec, params: dict, train, edges, task: str, n_classes: int, x: np.ndarray) -> np.ndarray:
+    """Class numbers or values for ``x`` of the model that learns from ``train``
+    (a ``Held`` of (X, Y, w)); the same steps as the fitted pipeline's."""
+    if spec.trees:
+        config = {**spec.trees, **params}
+        learnt = FITS[config["kind"]](train, edges, task, n_classes, config, int(config.get("seed", 42)))
+        learnt.update(task=task, n_classes=n_classes, edges=edges)
+        return predict_blocks(learnt, x)
+    kind, alpha, k = spec.defaults["kind"], float(params["alpha"]), n_classes
+    clean = train.map(lambda e: (np.nan_to_num(e[0]), e[1][:, 0], e[2]))
+    x = np.nan_to_num(x)
+    p = x.shape[1]
+    if kind == "ridge":
+        n, sx, xx, sy, xy = gram(clean, k, lambda y: _targets(y, k))
+        w = np.linalg.solve(xx - n * np.outer(sx / n, sx / n) + alpha * np.eye(p), xy - n * np.outer(sx / n, sy / n)).T
+        b = sy / n - w @ (sx / n)
+    elif kind == "svc":
+        v = _hinge_newton(clean, k, p, alpha, 50, 1e-8)
+        w, b = v[:, :-1], v[:, -1]
+    else:
+        flags = kind == "bernoulli"
+        sums = total(clean, lambda e: (e[1][:, None] == np.arange(k)).T @ (np.column_stack([np.ones(len(e[2])), e[0] > 0 if flags else e[0]]) * e[2][:, None]))
+        n, s = sums[:, 0], sums[:, 1:]
+        b = np.log(n / n.sum())
+        if flags:
+            share = (s + alpha) / (n[:, None] + 2 * alpha)
+            w, b = np.log(share) - np.log(1 - share), b + np.log(1 - share).sum(1)
+            x = (x > 0).astype(float)
+        else:
+            if total(clean, lambda e: e[0].min(initial=0.0), min) < 0:
+                raise ValueError("negative values in input to multinomial naive Bayes")
+            w = np.log((s + alpha) / (s.sum(1, keepdims=True) + alpha * p))
+    score = x @ w.T + b
+    if score.shape[1] == 1:
+        return (score[:, 0] > 0).astype(int)
+    return np.round(score, SCORE_DIGITS).argmax(1)
+
+
 def fit_pipeline(pipe: Pipeline, df: DataFrame):
     """Fit, wiring IndexToString to the labels learnt by the StringIndexer."""
     stages = pipe.getStages()

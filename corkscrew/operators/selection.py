@@ -8,6 +8,7 @@ pool (``parallelism``), as ``TrainValidationSplit`` does.
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from . import metrics
 from .cleaning import Preprocessor, apply_stats
 from .detection import MULTILABEL, REGRESSION, detect_task_type
-from .models import Spec, fit_pipeline, make_pipeline, registry
+from .blocks import ROWS_PER_PARTITION, WEIGHT, Held, blocks, compact
+from .models import Spec, fit_pipeline, fits_in_task, make_pipeline, predict_in_task, registry
+from .trees import bin_edges, class_number
 from ..session import cut_lineage
 from .sampling import holdout_split, plain_sample, stratified_sample
 from ..sources.readers import path_exists
@@ -32,6 +35,8 @@ LEADERBOARD_SCHEMA = (
 SEARCH_SHARE = {"stable": 0.3, "explo": 1.0}
 # Parameter sets tried per model: the defaults and seeded draws.
 N_DRAWS = 50
+# Parameter sets that a halving search compares on all rows, about.
+LAST_RUNG = 6
 PLAIN = "__plain_"
 
 
@@ -48,36 +53,155 @@ def draw_params(spec: Spec, n_draws: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def evaluate(model, valid: DataFrame, target: str, task_type: str) -> dict:
-    pred = model.transform(valid).select(F.col(target).alias("label"), F.col("prediction"))
+def evaluate(model, valid: DataFrame, target: str, task_type: str, weight: str | None = None) -> dict:
+    """Scores on ``valid``, whose rows may stand for several (``weight``)."""
+    more = [weight] if weight else []
+    pred = model.transform(valid).select(F.col(target).alias("label"), F.col("prediction"), *more)
     if task_type != REGRESSION:
-        pred = pred.select(F.col("label").cast("string"), F.col("prediction").cast("string"))
-    return metrics.score(pred, task_type)
+        pred = pred.select(F.col("label").cast("string"), F.col("prediction").cast("string"), *more)
+    return metrics.weighted(pred, weight, task_type) if weight else metrics.score(pred, task_type)
+
+
+class SearchSet:
+    """Training and holdout rows of a search: equal rows (features and target)
+    are one weighted row, and ``share`` of the rows is drawn by id."""
+
+    def __init__(self, train: DataFrame, valid: DataFrame, features: Sequence[str], target: str, id_col: str | None, seed: int):
+        self.train, self.valid, self.features, self.target = train, valid, list(features), target
+        self.id_col, self.seed = (id_col if id_col in train.columns else None), seed
+        self.parts: dict = {}
+        self.lock = threading.Lock()
+
+    def _compact(self, df: DataFrame) -> DataFrame:
+        return compact(df, [*self.features, self.target]).cache()
+
+    def rows(self, share: float) -> tuple[DataFrame, DataFrame, float]:
+        """(training rows, holdout rows, number of rows that the training rows stand for)."""
+        with self.lock:
+            if share not in self.parts:
+                some = plain_sample(self.train, self.id_col, share, self.seed + 2) if share < 1 and self.id_col else self.train
+                train = self._compact(some)
+                valid = self.parts[1.0][1] if 1.0 in self.parts else self._compact(self.valid)
+                self.parts[share] = (train, valid, float(train.agg(F.sum(WEIGHT)).first()[0] or 0))
+                self.parts.setdefault("valid", valid)
+            train, valid, n = self.parts[share]
+            return train, self.parts["valid"], n
+
+    def held(self, share: float, task_type: str):
+        """The rows as arrays for fits inside tasks, None if they are many:
+        (training (X, Y, w), holdout (X, Y, w), edges, classes)."""
+        train, valid, _ = self.rows(share)
+        with self.lock:
+            key = ("held", share)
+            if key not in self.parts:
+                if max(train.count(), valid.count()) > ROWS_PER_PARTITION:
+                    self.parts[key] = None
+                else:
+                    classes, number = [], F.col(f"`{self.target}`").cast("double")
+                    if task_type != REGRESSION:
+                        classes = sorted(r[0] for r in train.select(self.target).where(F.col(f"`{self.target}`").isNotNull()).distinct().collect())  # one row a class
+                        number = F.coalesce(class_number(F.col(f"`{self.target}`"), classes), F.lit(-1.0))
+                    arrays = []
+                    for df in (train.where(F.col(f"`{self.target}`").isNotNull()), valid):
+                        found = blocks(df.withColumn("__y", number), self.features, "__y", WEIGHT, rows=1).collect()
+                        wide = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros((0, len(self.features))), np.zeros((0, 1)), np.zeros(0)]
+                        arrays.append(wide)
+                    self.parts[key] = (*arrays, [e.tolist() for e in bin_edges(train, self.features)], len(classes))
+            return self.parts[key]
+
+    def close(self) -> None:
+        for found in self.parts.values():
+            if isinstance(found, tuple) and isinstance(found[0], DataFrame):
+                found[0].unpersist()
+        if "valid" in self.parts:
+            self.parts["valid"].unpersist()
+
+
+def array_scores(found: np.ndarray, y: np.ndarray, w: np.ndarray, task_type: str, n_classes: int) -> dict:
+    """``metrics.weighted`` on arrays (class number -1: a class not trained on)."""
+    if task_type == REGRESSION:
+        mean = (w * y).sum() / w.sum()
+        tot = (w * (y - mean) ** 2).sum()
+        return {"r2": float(1 - (w * (y - found) ** 2).sum() / tot) if tot else None}
+    f1 = []
+    for k in range(-1, n_classes):
+        tp, fp, fn = (float(w[m].sum()) for m in ((y == k) & (found == k), (y != k) & (found == k), (y == k) & (found != k)))
+        if tp + fp + fn:
+            f1.append(2 * tp / (2 * tp + fp + fn))
+    return {"accuracy": float(w[y == found].sum() / w.sum()), "macro_f1": float(np.mean(f1))}
+
+
+def _score_all(name: str, spec: Spec, tries: list[dict], rows: SearchSet, share: float, task_type: str, n_classes: int, threads: int) -> list[dict]:
+    """Scores of each parameter set: one task a set where the rows are few and
+    the model learns from blocks, else one pipeline a set."""
+    train, valid, n = rows.rows(share)
+    held = rows.held(share, task_type) if fits_in_task(spec, task_type) else None
+    if held is not None and len(held[0][2]) and len(held[1][2]):
+        sc = train.sparkSession.sparkContext
+        shared = sc.broadcast(held)
+
+        def one(params: dict) -> dict:
+            fit, test, edges, k = shared.value
+            task = "regression" if task_type == REGRESSION else "classification"
+            found = predict_in_task(spec, params, Held([tuple(fit)]), [np.array(e) for e in edges], task, k, test[0])
+            return array_scores(found, test[1][:, 0], test[2], task_type, k)
+
+        return sc.parallelize(tries, len(tries)).map(one).collect()
+
+    def fitted(params: dict) -> dict:
+        weight = "" if spec.knn or name == "MLPClassifier" else WEIGHT
+        part = rows.train if not weight else train
+        model = fit_pipeline(make_pipeline(name, spec, params, rows.features, rows.target, n_classes, max(1, round(n)), weight), part)
+        return evaluate(model, valid, rows.target, task_type, WEIGHT)
+
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        return list(pool.map(fitted, tries))
 
 
 def random_search(
     name: str, spec: Spec, train: DataFrame, valid: DataFrame, features: Sequence[str], target: str,
     task_type: str, n_classes: int, n_draws: int = N_DRAWS, seed: int = 42, metric: str | None = None, fixed_params: dict | None = None,
+    halving: bool = True, id_col: str | None = "id", threads: int = 8, rows: SearchSet | None = None,
 ) -> tuple[dict, dict]:
     """Best (params, scores) over the drawn parameter sets, scored on ``valid``;
-    ``fixed_params`` hold in all of them, and models without ranges are fitted once."""
-    n_rows = train.count()
+    ``fixed_params`` hold in all of them, and models without ranges are fitted once.
+
+    ``halving``: all sets enter on a share of the training rows (and of a growing
+    model's rounds or trees), the better half stays on twice the share, until
+    the few left (the defaults always among them) are compared on all rows.
+    Without it every set is fitted on all rows.
+    """
     metric = metric or ("r2" if task_type == REGRESSION else "accuracy")
-    best = None
-    for params in draw_params(spec, n_draws if spec.ranges else 1, seed):
-        params.update(fixed_params or {})
-        model = fit_pipeline(make_pipeline(name, spec, params, features, target, n_classes, n_rows), train)
-        sc = evaluate(model, valid, target, task_type)
-        if best is None or (sc[metric] is not None and (best[1][metric] is None or sc[metric] > best[1][metric])):
-            best = (params, sc)
-    return best
+    own = rows or SearchSet(train, valid, features, target, id_col, seed)
+    tries = [{**p, **(fixed_params or {})} for p in draw_params(spec, n_draws if spec.ranges else 1, seed)]
+    rungs = max(0, int(np.log2(max(1, len(tries)) / LAST_RUNG))) if halving else 0
+    left = list(range(len(tries)))
+    scores: list[dict] = []
+    for rung in range(rungs, -1, -1):
+        share = 0.5**rung
+        asked = []
+        for i in left:
+            p = dict(tries[i])
+            if spec.growing and spec.growing in p and rung:
+                p[spec.growing] = max(1, round(p[spec.growing] * share))
+            asked.append(p)
+        scores = _score_all(name, spec, asked, own, share, task_type, n_classes, threads)
+        order = sorted(range(len(left)), key=lambda j: (scores[j][metric] is None, -(scores[j][metric] or 0.0), left[j]))
+        if rung:
+            keep = sorted({left[j] for j in order[: -(-len(left) // 2)]} | {0})
+            left = keep
+        else:
+            best = order[0]
+    if rows is None:
+        own.close()
+    return tries[left[best]], scores[best]
 
 
 def run_models(
     df: DataFrame, features: Sequence[str], target: str, task_type: str, dataset: str = "data",
     mode: str = "stable", n_draws: int = N_DRAWS, parallelism: int = 2, sample: float | None = None, cap: int = 50_000,
     id_col: str = "id", models: Sequence[str] | None = None, seed: int = 42, overrides: dict[str, dict] | None = None,
-    unscaled: Callable[[DataFrame], DataFrame] | None = None,
+    unscaled: Callable[[DataFrame], DataFrame] | None = None, halving: bool = True,
 ) -> DataFrame:
     """Leaderboard of every registry model on a holdout split of a sample.
 
@@ -89,6 +213,8 @@ def run_models(
     ``unscaled``: gives the same rows without scaling, for models that learn
     from counts and flags (``df`` itself unless given).
 
+    ``halving``: see ``random_search``; False fits every parameter set on all rows.
+
     A model that fails becomes a row with its error and no score.
     """
     spark = df.sparkSession
@@ -104,17 +230,23 @@ def run_models(
     if models:
         specs = {k: v for k, v in specs.items() if k in models}
 
+    scaled = SearchSet(train, valid, features, target, id_col, seed)
+    plain = SearchSet(unscaled(train), unscaled(valid), features, target, id_col, seed) if unscaled else scaled
+
     def one(item):
         name, spec = item
         try:
-            tr, va = (unscaled(train), unscaled(valid)) if spec.unscaled and unscaled else (train, valid)
-            params, sc = random_search(name, spec, tr, va, features, target, task_type, n_classes, n_draws, seed, fixed_params=(overrides or {}).get(name))
+            rows = plain if spec.unscaled else scaled
+            params, sc = random_search(name, spec, rows.train, rows.valid, features, target, task_type, n_classes, n_draws, seed,
+                                       fixed_params=(overrides or {}).get(name), halving=halving, id_col=id_col, rows=rows)
             return (dataset, mode, name, {k: str(v) for k, v in params.items()}, sc.get("accuracy"), sc.get("macro_f1"), sc.get("r2"), None)
         except Exception as e:  # noqa: BLE001 - a failed model is a result row
             return (dataset, mode, name, {}, None, None, None, f"{type(e).__name__}: {e}".splitlines()[0][:500])
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(one, specs.items()))
+    for part in {id(x): x for x in (scaled, plain)}.values():
+        part.close()
     train.unpersist()
     valid.unpersist()
     return spark.createDataFrame(rows, LEADERBOARD_SCHEMA)

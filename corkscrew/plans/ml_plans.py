@@ -313,8 +313,8 @@ for _key, _name, _task in [
     ("mdl_forest_cls", "RandomForestClassifier", "classification"),
     ("mdl_extra_trees_cls", "ExtraTreesClassifier", "classification"),
     ("mdl_bagging_cls", "BaggingClassifier", "classification"),
-    ("mdl_boost_cls", "GBTClassifier", "classification"),
     ("mdl_adaboost_cls", "AdaBoostClassifier", "classification"),
+    ("mdl_lgbm_cls", "LGBMClassifier", "classification"),
     ("mdl_mlp_cls", "MLPClassifier", "classification"),
     ("mdl_ridge_lasso", "ElasticNet", "regression"),
     ("mdl_ridge_reg", "Ridge", "regression"),
@@ -322,11 +322,74 @@ for _key, _name, _task in [
     ("mdl_huber", "HuberRegressor", "regression"),
     ("mdl_tree_reg", "DecisionTreeRegressor", "regression"),
     ("mdl_forest_reg", "RandomForestRegressor", "regression"),
-    ("mdl_boost_reg", "GBTRegressor", "regression"),
 ]:
     _model_query(_key, _name, _task)
 
 
+# ------------------------------------- models whose inner numbers SQL computes
+
+
+def _root_sql(train: str, target: str, columns: list, values: str, g: str, h: str, l2: float = 1.0, min_h: float = 1.0) -> str:
+    """Best split of the first round's roots: sums of the gradient and hessian
+    on each side of every threshold, from the training rows."""
+    wide = " UNION ALL ".join(f"SELECT output, '{c}' AS feature, {i} AS at, CAST({c} AS DOUBLE) AS x, g, h FROM r" for i, c in enumerate(columns))
+    return (
+        f"WITH tr AS ({train}), {values}, r AS (SELECT tr.*, v.output, {g} AS g, {h} AS h FROM tr, v), wide AS ({wide}), "
+        "bins AS (SELECT output, feature, at, x, sum(g) AS g, sum(h) AS h, count(*) AS n FROM wide GROUP BY ALL), "
+        "run AS (SELECT output, feature, at, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER p AS ga, sum(h) OVER p AS ha FROM bins "
+        "WINDOW w AS (PARTITION BY output, feature ORDER BY x), p AS (PARTITION BY output, feature)), "
+        f"gains AS (SELECT *, round(0.5 * (gl * gl / (hl + {l2}) + (ga - gl) * (ga - gl) / (ha - hl + {l2}) - ga * ga / (ha + {l2})), 12) AS gain FROM run WHERE hl >= {min_h} AND ha - hl >= {min_h}), "
+        "best AS (SELECT *, row_number() OVER (PARTITION BY output ORDER BY gain DESC, at, x) AS rn FROM gains) "
+        "SELECT CAST(output AS INTEGER) AS output, feature, round(x, 6) AS threshold, round(gain, 5) AS gain, round(ha, 5) AS hessian FROM best WHERE rn = 1"
+    )
+
+
+def _roots(name: str, spark, sf_dir, task: str):
+    if task == "regression":
+        data, feats, target, spec = line_set(spark, sf_dir), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", regression_registry()[name]
+    else:
+        data, feats, target, spec = lang_flags(spark, sf_dir), FEATS, "target", classification_registry()[name]
+    tr, _ = _split(data)
+    model = fit_pipeline(make_pipeline(name, spec, dict(spec.defaults), feats, target, 0), tr).stages[0]
+    roots = model.trees(tr).where("round = 0 AND node = 0 AND feature IS NOT NULL")
+    return roots.select("output", "feature", F.round("threshold", 6).alias("threshold"), F.round("gain", 5).alias("gain"), F.round(F.col("sums")[1], 5).alias("hessian"))
+
+
+@register("mdl_boost_cls", _root_sql(
+    LANG_TR, "target", [f'"{f}"' for f in FEATS],
+    "c AS (SELECT target AS cls, count(*) / (SELECT count(*) FROM tr)::DOUBLE AS p, row_number() OVER (ORDER BY target) - 1 AS output FROM tr GROUP BY target), v AS (SELECT * FROM c)",
+    "v.p - CASE WHEN tr.target = v.cls THEN 1 ELSE 0 END", "2 * v.p * (1 - v.p)").replace("'\"", "'").replace("\"' AS feature", "' AS feature"))
+def q_boost_cls(spark, sf_dir):
+    """Second-order boosting (all classes in one ensemble) on the language set: the first round's root splits."""
+    return _roots("XGBClassifier", spark, sf_dir, "classification")
+
+
+@register("mdl_boost_reg", _root_sql(
+    LINE_TR, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],
+    "v AS (SELECT avg(l_extendedprice) AS m, 0 AS output FROM tr)", "v.m - tr.l_extendedprice", "1.0"))
+def q_boost_reg(spark, sf_dir):
+    """Second-order boosting of the squared error: the first round's root split."""
+    return _roots("XGBRegressor", spark, sf_dir, "regression")
+
+
+@register(
+    "mdl_knn_reg",
+    f"WITH tr AS ({LINE_TR}), te AS ({LINE_TE}), t AS (SELECT DISTINCT l_quantity AS a, l_discount AS b, l_tax AS c FROM tr), "
+    "q AS (SELECT DISTINCT l_quantity AS a, l_discount AS b, l_tax AS c FROM te), "
+    "d AS (SELECT q.a AS qa, q.b AS qb, q.c AS qc, t.a, t.b, t.c, round(sqrt((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c)), 9) AS d FROM q, t), "
+    "near AS (SELECT *, rank() OVER (PARTITION BY qa, qb, qc ORDER BY d) AS rk FROM d QUALIFY rk <= 5), "
+    "y AS (SELECT qa, qb, qc, l_extendedprice AS y, row_number() OVER (PARTITION BY qa, qb, qc ORDER BY d, l_extendedprice) AS rn FROM near JOIN tr ON l_quantity = near.a AND l_discount = near.b AND l_tax = near.c), "
+    "p AS (SELECT qa, qb, qc, avg(y) AS prediction FROM y WHERE rn <= 5 GROUP BY ALL) "
+    "SELECT te.id, round(prediction, 4) AS prediction FROM te JOIN p ON te.l_quantity = qa AND te.l_discount = qb AND te.l_tax = qc",
+)
+def q_knn_reg(spark, sf_dir):
+    """Mean target of the 5 nearest training rows (quantity, discount, tax), by the metric join."""
+    tr, te = _split(line_set(spark, sf_dir))
+    spec = regression_registry()["KNeighborsRegressor"]
+    model = fit_pipeline(make_pipeline("KNeighborsRegressor", spec, dict(spec.defaults), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 0), tr)
+    return model.transform(te).select("id", F.round("prediction", 4).alias("prediction"))
+
+
 @register("ml_search")
 def q_search(spark, sf_dir):
     """Seeded random search (``N_DRAWS`` draws) for a forest on the language set."""
@@ -351,13 +414,18 @@ def q_fit(spark, sf_dir):
     return s["leaderboard"]
 
 
-@register("ml_refit_save")
+@register("ml_refit_save", "SELECT doc_id AS id, TRUE AS same, 'RandomForestClassifier' AS model FROM documents")
 def q_refit_save(spark, sf_dir):
-    """Refit the forest on all rows, save the pipeline and its metadata row; read the row back."""
+    """Refit the forest on all rows, save pipeline and metadata, read both back:
+    does the reloaded pipeline answer every row as the fitted one did?"""
     out = scratch_path(spark, "refit")
-    selection.refit_and_save(lang_flags(spark, sf_dir), FEATS, "target", "multi-classification", "RandomForestClassifier",
-                             {"numTrees": "20", "maxDepth": "10"}, out)
-    return spark.read.parquet(f"{out}/meta")
+    data = lang_flags(spark, sf_dir)
+    fitted = selection.refit_and_save(data, FEATS, "target", "multi-classification", "RandomForestClassifier",
+                                      {"numTrees": "20", "maxDepth": "10"}, out)
+    before = fitted.transform(data).select("id", F.col("prediction").alias("first"))
+    again = selection.predict(data.drop("target"), out)
+    name = spark.read.parquet(f"{out}/meta").select("model")
+    return again.join(before, "id").select("id", (F.col("first") == F.col("prediction")).alias("same")).crossJoin(F.broadcast(name))
 
 
 @register("ml_predict", _nb_sql("bernoulli").replace(LANG_TR, LANG_SQL).replace(LANG_TE, LANG_SQL) + "SELECT id, prediction FROM pred")
