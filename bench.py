@@ -1,8 +1,11 @@
 """Benchmark the headline queries; prints one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_QUERIES (comma list to override the default set).
-Each query is executed in full with the no-op sink (nothing collected).
+BENCH_QUERIES (comma list to override the default set), BENCH_LIMIT (seconds a
+query may take, default 600).
+Each query is executed in full with the no-op sink (nothing collected). Its
+time goes to stderr as it ends; a query beyond its limit is cancelled and
+named under "stopped", the others keep their times.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import threading
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -37,11 +41,31 @@ def main() -> None:
     from corkscrew.session import get_session
 
     spark = get_session(master=f"local[{cpus}]", partitions=cpus)
+    limit = float(os.environ.get("BENCH_LIMIT", "600"))
     times: dict[str, float] = {}
+    stopped: list[str] = []
     for name in names:
+        late = threading.Event()
+
+        def stop(late=late) -> None:
+            late.set()
+            spark.sparkContext.cancelAllJobs()
+
+        timer = threading.Timer(limit, stop)
+        timer.start()
         t0 = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception:
+            if not late.is_set():
+                raise
+        finally:
+            timer.cancel()
+        if late.is_set():
+            stopped.append(name)
+        else:
+            times[name] = round(time.time() - t0, 3)
+        print(name, times.get(name, "stopped"), file=sys.stderr, flush=True)
         spark.catalog.clearCache()
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({
@@ -49,6 +73,7 @@ def main() -> None:
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "stopped": stopped,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
     }))

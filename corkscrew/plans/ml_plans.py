@@ -329,17 +329,17 @@ for _key, _name, _task in [
 # ------------------------------------- models whose inner numbers SQL computes
 
 
-def _root_sql(train: str, target: str, columns: list, values: str, g: str, h: str, l2: float = 1.0, min_h: float = 1.0) -> str:
+def _root_sql(train: str, columns: list, values: str, g: str, h: str, l2: float = 1.0, min_h: float = 1.0) -> str:
     """Best split of the first round's roots: sums of the gradient and hessian
     on each side of every threshold, from the training rows."""
-    wide = " UNION ALL ".join(f"SELECT output, '{c}' AS feature, {i} AS at, CAST({c} AS DOUBLE) AS x, g, h FROM r" for i, c in enumerate(columns))
+    wide = " UNION ALL ".join(f"SELECT output, '{c}' AS feature, {i} AS pos, CAST(\"{c}\" AS DOUBLE) AS x, g, h FROM r" for i, c in enumerate(columns))
     return (
         f"WITH tr AS ({train}), {values}, r AS (SELECT tr.*, v.output, {g} AS g, {h} AS h FROM tr, v), wide AS ({wide}), "
-        "bins AS (SELECT output, feature, at, x, sum(g) AS g, sum(h) AS h, count(*) AS n FROM wide GROUP BY ALL), "
-        "run AS (SELECT output, feature, at, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER p AS ga, sum(h) OVER p AS ha FROM bins "
+        "bins AS (SELECT output, feature, pos, x, sum(g) AS g, sum(h) AS h, count(*) AS n FROM wide GROUP BY ALL), "
+        "run AS (SELECT output, feature, pos, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER p AS ga, sum(h) OVER p AS ha FROM bins "
         "WINDOW w AS (PARTITION BY output, feature ORDER BY x), p AS (PARTITION BY output, feature)), "
         f"gains AS (SELECT *, round(0.5 * (gl * gl / (hl + {l2}) + (ga - gl) * (ga - gl) / (ha - hl + {l2}) - ga * ga / (ha + {l2})), 12) AS gain FROM run WHERE hl >= {min_h} AND ha - hl >= {min_h}), "
-        "best AS (SELECT *, row_number() OVER (PARTITION BY output ORDER BY gain DESC, at, x) AS rn FROM gains) "
+        "best AS (SELECT *, row_number() OVER (PARTITION BY output ORDER BY gain DESC, pos, x) AS rn FROM gains) "
         "SELECT CAST(output AS INTEGER) AS output, feature, round(x, 6) AS threshold, round(gain, 5) AS gain, round(ha, 5) AS hessian FROM best WHERE rn = 1"
     )
 
@@ -356,16 +356,16 @@ def _roots(name: str, spark, sf_dir, task: str):
 
 
 @register("mdl_boost_cls", _root_sql(
-    LANG_TR, "target", [f'"{f}"' for f in FEATS],
+    LANG_TR, FEATS,
     "c AS (SELECT target AS cls, count(*) / (SELECT count(*) FROM tr)::DOUBLE AS p, row_number() OVER (ORDER BY target) - 1 AS output FROM tr GROUP BY target), v AS (SELECT * FROM c)",
-    "v.p - CASE WHEN tr.target = v.cls THEN 1 ELSE 0 END", "2 * v.p * (1 - v.p)").replace("'\"", "'").replace("\"' AS feature", "' AS feature"))
+    "v.p - CASE WHEN tr.target = v.cls THEN 1 ELSE 0 END", "2 * v.p * (1 - v.p)"))
 def q_boost_cls(spark, sf_dir):
     """Second-order boosting (all classes in one ensemble) on the language set: the first round's root splits."""
     return _roots("XGBClassifier", spark, sf_dir, "classification")
 
 
 @register("mdl_boost_reg", _root_sql(
-    LINE_TR, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],
+    LINE_TR, ["l_quantity", "l_discount", "l_tax"],
     "v AS (SELECT avg(l_extendedprice) AS m, 0 AS output FROM tr)", "v.m - tr.l_extendedprice", "1.0"))
 def q_boost_reg(spark, sf_dir):
     """Second-order boosting of the squared error: the first round's root split."""
