@@ -165,7 +165,7 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     )
     source = firsts.where("copies > 1").select("anchor", "ctx", F.col("id").alias("src_id"), F.col("lo").alias("src_lo"))
     long = occ.join(source, ["anchor", "ctx"]).where(F.struct("id", "lo") > F.struct("src_id", "src_lo"))
-    long = long.select("id", "lo", "n", "src_id", "src_lo")
+    long = settle(long.select("id", "lo", "n", "src_id", "src_lo"), "rlz-long")
 
     several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("anchor")
     edge = firsts.join(several, "anchor").groupBy("id").agg(F.collect_list(F.struct("lo", "n", "anchor")).alias("spots"))  # within one document
@@ -193,10 +193,11 @@ def remove_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "t
     ship()
     names = ["n_words", "n_removed", "kept_text"]
     docs = docs.drop(*[c for c in names if c in docs.columns])
-    spans = (
+    spans = settle(
         duplicate_spans(docs, id_col=id_col, text=text, window=window, gram=gram)
         .groupBy(F.col("id").alias("__id"))
-        .agg(F.sort_array(F.collect_set(F.struct("lo", "n"))).alias("__spans"))  # within one document
+        .agg(F.sort_array(F.collect_set(F.struct("lo", "n"))).alias("__spans")),  # within one document
+        "rlz-spans",
     )
     key = F.col(id_col).cast("long")
     joined = docs.join(spans, key == F.col("__id"), "left").drop("__id")
