@@ -267,7 +267,8 @@ class PieceModel:
             for s in distinct:
                 ids = known.get(s)
                 if ids is None:
-                    ids = self.encode(s[1:])
+                    simple = s.count(" ") == 1 and "\n" not in s and SPACE not in s
+                    ids = self._stretch(SPACE + s[1:]) if simple and len(s) > 1 else self.encode(s[1:])
                     if len(s) <= 64 and len(known) < CACHE_WORDS:
                         known[s] = ids
                 parts.append(ids)
