@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .components import components
-from .spark import STEP_BYTES, settle, ship
+from .spark import STEP_BYTES, discard, settle, ship
 
 #: Most frequent tokens a counting pass may find.
 FREQUENT_ROWS = 500_000
@@ -253,14 +253,16 @@ def _shared(a: str, b: str) -> F.Column:
     return F.size(F.array_intersect(a, b)).cast("long")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """``pairs`` (a, b) with both sets' ``columns``; only sets in some pair are moved."""
+def _where_sets(pairs: DataFrame, sets: DataFrame, columns: list[str], condition: F.Column, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets' ``columns`` meet ``condition``; only sets in some pair are moved."""
     ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "jaccard-ends")
     some = settle(sets.select("sid", "n", *columns).join(ends, "sid", "left_semi"), "jaccard-some")
     rows = pairs
     for side in "ab":
         rows = rows.join(some.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *columns)]), side)
-    return rows
+    out = settle(rows.where(condition).select("a", "b").distinct(), name)
+    discard(ends, some)
+    return out
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,20 +270,21 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     total = (F.col("n_a") + F.col("n_b")).cast("long")
     # |x ^ y| <= (100 - p) / (100 + p) * (|x| + |y|) for a link; shortened hashes can only hide differences
     apart = F.size("sample_a") + F.size("sample_b") - 2 * _shared("sample_a", "sample_b")
-    near = _with_sets(pairs, sets, "sample").where((100 + percent) * apart <= (100 - percent) * total)
-    near = settle(near.select("a", "b").distinct(), "jaccard-near")
+    near = _where_sets(pairs, sets, ["sample"], (100 + percent) * apart <= (100 - percent) * total, "jaccard-near")
     same = _shared("head_a", "head_b") + _shared("tail_a", "tail_b")
-    return _with_sets(near, sets, "head", "tail").where((100 + percent) * same >= percent * total).select("a", "b").distinct()
+    out = _where_sets(near, sets, ["head", "tail"], (100 + percent) * same >= percent * total, "jaccard-links")
+    discard(near)
+    return out
 
 
 def links(sets: DataFrame, *, percent: int = 85, least: int = 32, passes: int = 3, stars: int = 4) -> DataFrame:
     """Links (a, b) between set ids that keep every component."""
     frequent = frequent_tokens(sets, percent=percent, least=least, passes=passes)
-    post = settle(postings(sets, frequent, percent), "jaccard-postings")
-    shared = settle(post.groupBy("sig").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x < y").select("sig"), "jaccard-shared")
-    if shared.count() <= BROADCAST_SIGNATURES:
-        shared = F.broadcast(shared)
-    post = settle(post.join(shared, "sig", "left_semi"), "jaccard-groups")
+    every = settle(postings(sets, frequent, percent), "jaccard-postings")
+    shared = settle(every.groupBy("sig").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x < y").select("sig"), "jaccard-shared")
+    few = shared.count() <= BROADCAST_SIGNATURES
+    post = settle(every.join(F.broadcast(shared) if few else shared, "sig", "left_semi"), "jaccard-groups")
+    discard(every, shared)
     found = None
     roots = None
     for turn in range(stars + 1):
@@ -302,7 +305,8 @@ def links(sets: DataFrame, *, percent: int = 85, least: int = 32, passes: int =
         if turn == stars:
             pairs = pairs.where("sid < hub")
         pairs = settle(pairs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), "jaccard-pairs")
-        new = settle(verify(pairs, sets, percent), "jaccard-links")
+        new = verify(pairs, sets, percent)
+        discard(pairs, rows)
         found = new if found is None else found.unionByName(new)
         if turn < stars:
             roots = settle(components(found), "jaccard-roots")

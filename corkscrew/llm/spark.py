@@ -42,7 +42,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     survives lost executors and frees the shuffle files behind it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables of ``settle`` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.settled_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def worker_state(name: str) -> dict:
