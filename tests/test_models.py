@@ -165,7 +165,8 @@ def test_registry_strengths_and_modes():
 
     assert penalty({"C": 2.0}, 50) == 0.01
     assert penalty({"alpha": 1.0}, 50) == 0.02
-    assert classification_registry()["GBTClassifier"].defaults["maxIter"] == 100
+    assert classification_registry("explo")["GBTClassifier"].defaults["maxIter"] == 100
+    assert classification_registry()["XGBClassifier"].defaults["rounds"] == 100
     assert regression_registry()["RandomForestRegressor"].defaults == {"numTrees": 100, "maxDepth": 30}
     assert "HuberRegressor" not in regression_registry()
     assert "HuberRegressor" in regression_registry("explo")
@@ -185,7 +186,7 @@ def test_queries_use_the_registry_defaults_and_draws(spark, monkeypatch):
         raise Seen
 
     monkeypatch.setattr(ml_plans, "make_pipeline", note)
-    for key, spec in [("mdl_boost_cls", classification_registry("explo")["GBTClassifier"]), ("mdl_boost_reg", regression_registry("explo")["GBTRegressor"]),
+    for key, spec in [("mdl_boost_cls", classification_registry()["XGBClassifier"]), ("mdl_boost_reg", regression_registry()["XGBRegressor"]),
                       ("mdl_forest_reg", regression_registry("explo")["RandomForestRegressor"])]:
         with pytest.raises(Seen):
             QUERIES[key](spark, SF_SMALL)
