@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, fit_on, total
+from .lars import PATH_SCHEMA, centred, lars_path, path_rows
 from .metric_knn import MetricKnn
 from .trees import FITS, TreeEnsemble, class_number, predict_blocks
 
@@ -65,7 +66,7 @@ class _ClosedParams(Params):
     inputCols = Param(Params._dummy(), "inputCols", "feature columns", TypeConverters.toListString)
     labelCol = Param(Params._dummy(), "labelCol", "label column", TypeConverters.toString)
     predictionCol = Param(Params._dummy(), "predictionCol", "prediction column", TypeConverters.toString)
-    kind = Param(Params._dummy(), "kind", "multinomial | bernoulli | ridge | svc | prior | mean", TypeConverters.toString)
+    kind = Param(Params._dummy(), "kind", "multinomial | bernoulli | ridge | svc | prior | mean | lars | lasso_lars", TypeConverters.toString)
     alpha = Param(Params._dummy(), "alpha", "smoothing / ridge strength / C of the hinge loss", TypeConverters.toFloat)
     weightCol = Param(Params._dummy(), "weightCol", "row weights, if any", TypeConverters.toString)
 
@@ -94,6 +95,12 @@ class ClosedFormModel(Model, _ClosedParams, DefaultParamsReadable, DefaultParams
             return F.lit(float(c["value"]))
         if kind == "prior":
             return F.lit(c["value"])
+        if kind in ("lars", "lasso_lars"):
+            value = F.lit(float(c["intercept"]))
+            for col, w in zip(cols, c["weights"]):
+                if w:
+                    value = value + F.coalesce(F.nanvl(_q(col).cast("double"), F.lit(0.0)), F.lit(0.0)) * F.lit(float(w))
+            return value
         if kind == "bernoulli":
             cols_b = [f"__bin_{i}" for i in range(len(cols))]
             return linear_argmax(c["classes"], c["intercepts"], c["weights"], cols_b)
@@ -122,7 +129,7 @@ class ClosedFormClassifier(Estimator, _ClosedParams, DefaultParamsReadable, Defa
         label = self.getOrDefault(self.labelCol)
         alpha = self.getOrDefault(self.alpha)
         fit = {"multinomial": fit_multinomial_nb, "bernoulli": fit_bernoulli_nb, "ridge": fit_ridge_classifier, "svc": fit_linear_svc,
-               "prior": fit_prior, "mean": fit_mean}[kind]
+               "prior": fit_prior, "mean": fit_mean, "lars": fit_lars, "lasso_lars": fit_lasso_lars}[kind]
         coef = fit(df, cols, label, alpha, self.getOrDefault(self.weightCol) or None)
         return ClosedFormModel(coef_json=json.dumps(coef), inputCols=cols, labelCol=label,
                                predictionCol=self.getOrDefault(self.predictionCol), kind=kind, alpha=alpha)
@@ -274,6 +281,36 @@ def _hinge_newton(data, k: int, p: int, alpha: float, max_iter: int, tol: float)
     return v
 
 
+def _lars(df: DataFrame, cols: Sequence[str], label: str, weight: str | None, **kw) -> tuple[list[dict], dict]:
+    """(knots of the path, its last point as a linear model)."""
+    y = _q(label).cast("double")
+    rows = df.where(y.isNotNull() & ~F.isnan(y))
+    data = blocks(rows, cols, label, weight).map(lambda e: (np.nan_to_num(e[0]), e[1], e[2]))
+    sums = gram(data, 1, lambda t: t) if not rows.isEmpty() else None
+    if sums is None or sums[0] <= 0:
+        return [], {"intercept": 0.0, "weights": [0.0] * len(cols)}
+    n, sx, xx, sy, xy = sums
+    knots = lars_path(*centred(n, sx, xx, sy, xy), n, **kw)
+    w = knots[-1]["coef"]
+    return knots, {"intercept": float(sy[0] / n - w @ sx / n), "weights": [float(v) for v in w]}
+
+
+def fit_lars(df, cols, label, alpha=0.0, weight=None) -> dict:
+    """End of the least-angle path (at most 500 features enter, as the usual default has it)."""
+    return _lars(df, cols, label, weight, max_steps=501 if len(cols) > 500 else None)[1]
+
+
+def fit_lasso_lars(df, cols, label, alpha=0.1, weight=None) -> dict:
+    """Point of the lasso path at ``alpha``: ``|y - Xw|^2 / (2n) + alpha |w|_1``."""
+    return _lars(df, cols, label, weight, lasso=True, alpha_min=float(alpha))[1]
+
+
+def lars_rows(df: DataFrame, cols: Sequence[str], label: str, lasso: bool = False, alpha: float = 0.0, weight: str | None = None) -> DataFrame:
+    """The whole path as rows: a row a knot and feature."""
+    knots, _ = _lars(df, cols, label, weight, lasso=lasso, alpha_min=alpha)
+    return df.sparkSession.createDataFrame(path_rows(knots, list(cols)), PATH_SCHEMA)
+
+
 def fit_prior(df, cols, label, alpha=1.0, weight=None) -> dict:
     """Most frequent class, ties -> smallest."""
     r = df.groupBy(_q(label).alias("y")).agg(F.sum(_weight(weight)).alias("n")).agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("y").alias("y"))).alias("m")).first()
@@ -377,6 +414,8 @@ def regression_registry(mode: str = "stable") -> dict[str, Spec]:
             "HuberRegressor": Spec(lambda p, k: LinearRegression(loss="huber", epsilon=1.35, regParam=0.0001), "regression", defaults={}),
             "HistGradientBoostingRegressor": Spec(None, "regression", trees=HIST, growing="rounds", defaults={"rounds": 100, "rate": 0.1}),
             "AdaBoostRegressor": Spec(None, "regression", trees={"kind": "adaboost"}, defaults={"rounds": 50, "rate": 1.0}),
+            "Lars": Spec(None, "regression", closed=True, defaults={"kind": "lars"}),
+            "LassoLars": Spec(None, "regression", closed=True, defaults={"kind": "lasso_lars", "alpha": 0.1}, ranges={"alpha": (1e-4, 1.0, False)}),
             "DummyRegressor": Spec(None, "regression", closed=True, defaults={"kind": "mean"}),
         })
     return reg

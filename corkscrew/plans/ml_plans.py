@@ -9,7 +9,7 @@ from ..operators.lexicon import lexicon_flags
 from ..operators import metrics, selection
 from ..operators.detection import task_type_df
 from ..operators.cleaning import split_target
-from ..operators.models import classification_registry, fit_pipeline, make_pipeline, regression_registry
+from ..operators.models import classification_registry, fit_pipeline, lars_rows, make_pipeline, regression_registry
 from ..operators.sampling import holdout_split
 from ..session import scratch_path, table
 from .registry import register
@@ -390,6 +390,32 @@ def q_knn_reg(spark, sf_dir):
     return model.transform(te).select("id", F.round("prediction", 4).alias("prediction"))
 
 
+LARS_FEATS = ["l_quantity", "l_discount", "l_tax"]
+_pairs = [(a, b) for a in LARS_FEATS for b in [*LARS_FEATS, "l_extendedprice"]]
+
+
+@register(
+    "mdl_lars",
+    f"WITH tr AS ({LINE_TR}), "
+    "s AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, {LARS_FEATS.index(a)} AS pos, '{b}' AS b, covar_pop({a}, {b}) AS g FROM tr" for a, b in _pairs) + "), "
+    "c AS (SELECT a, pos, g AS c FROM s WHERE b = 'l_extendedprice'), "
+    "j AS (SELECT a, pos, abs(c) AS top, sign(c) AS sg FROM c ORDER BY abs(c) DESC, pos LIMIT 1), "
+    "k AS (SELECT c.a, c.c, j.top, j.sg, j.a AS first, d.g AS gjj, e.g AS gkj FROM c, j, s d, s e "
+    "WHERE c.a <> j.a AND d.a = j.a AND d.b = j.a AND e.a = c.a AND e.b = j.a), "
+    "m AS (SELECT a, first, top, sg, least(CASE WHEN gjj > sg * gkj THEN (top - c) / (gjj - sg * gkj) END, CASE WHEN gjj > -sg * gkj THEN (top + c) / (gjj + sg * gkj) END) AS t, gjj FROM k), "
+    "e AS (SELECT * FROM m ORDER BY t LIMIT 1) "
+    "SELECT 0 AS step, first AS entered, round(top, 6) AS alpha, first AS feature, 0.0::DOUBLE AS coefficient FROM e "
+    "UNION ALL SELECT 1, a, round(top - gjj * t, 6), first, round(sg * t, 6) FROM e",
+)
+def q_lars(spark, sf_dir):
+    """First two knots of the least-angle path: who enters, at which alpha, the first feature's coefficient there."""
+    tr, _ = _split(line_set(spark, sf_dir))
+    path = lars_rows(tr, LARS_FEATS, "l_extendedprice")
+    first = path.where("step = 0").select(F.col("entered").alias("feature")).limit(1)
+    steps = path.where("step < 2").join(F.broadcast(first), "feature", "left_semi")
+    return steps.select("step", "entered", F.round("alpha", 6).alias("alpha"), "feature", F.round("coefficient", 6).alias("coefficient"))
+
+
 @register("ml_search")
 def q_search(spark, sf_dir):
     """Seeded random search (``N_DRAWS`` draws) for a forest on the language set."""
