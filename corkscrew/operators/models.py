@@ -311,6 +311,60 @@ def lars_rows(df: DataFrame, cols: Sequence[str], label: str, lasso: bool = Fals
     return df.sparkSession.createDataFrame(path_rows(knots, list(cols)), PATH_SCHEMA)
 
 
+def softmax_newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, k: int, strength: float, max_iter: int = 100, tol: float = 1e-10):
+    """(weights, intercepts, scale) of the logistic model that Spark ML fits:
+    mean log loss plus ``strength / 2`` times the squared coefficients of the
+    columns divided by their deviation, intercepts free; two classes have one
+    coefficient vector. Newton steps with halving; equal columns and the common
+    shift of the intercepts are left to the least-norm solution."""
+    n, (rows, p) = weight.sum(), x.shape
+    mean = weight @ x / n
+    scale = np.sqrt(weight @ (x - mean) ** 2 / max(n - 1, 1e-300))
+    used = scale > 0
+    scale = np.where(used, scale, 1.0)
+    z = np.column_stack([np.where(used, (x - mean) / scale, 0.0), np.ones(rows)])
+    outputs = 1 if k == 2 else k
+    hit = (y[:, None] == (np.array([1]) if k == 2 else np.arange(k))).astype(float)
+    ridge = np.append(np.full(p, strength), 0.0)
+
+    def loss(v: np.ndarray) -> float:
+        s = z @ v.T
+        top = np.maximum(s.max(1), 0.0) if k == 2 else s.max(1)
+        total_ = np.exp(s - top[:, None]).sum(1) + (np.exp(-top) if k == 2 else 0.0)
+        return float(weight @ (top + np.log(total_) - (hit * s).sum(1)) / n + 0.5 * (ridge * v**2).sum())
+
+    v = np.zeros((outputs, p + 1))
+    now = loss(v)
+    for _ in range(max_iter):
+        s = z @ v.T
+        share = 1 / (1 + np.exp(-np.clip(s, -700, 700))) if k == 2 else np.exp(s - s.max(1, keepdims=True))
+        if k != 2:
+            share /= share.sum(1, keepdims=True)
+        grad = ((weight[:, None] * (share - hit)).T @ z) / n + ridge * v
+        if np.abs(grad).max() < tol:
+            break
+        second = np.zeros((outputs, p + 1, outputs, p + 1))
+        for a in range(outputs):
+            for c in range(outputs):
+                part = weight * share[:, a] * ((a == c) - share[:, c]) / n
+                second[a, :, c, :] = (z * part[:, None]).T @ z
+            second[a, :, a, :] += np.diag(ridge)
+        size = outputs * (p + 1)
+        step = np.linalg.lstsq(second.reshape(size, size), grad.reshape(size), rcond=1e-13)[0].reshape(v.shape)
+        for length in 0.5 ** np.arange(30):
+            tried = loss(v - length * step)
+            if tried < now:
+                break
+        else:
+            break
+        v, now = v - length * step, tried
+    w = v[:, :-1] * used
+    b = v[:, -1] - w @ (mean / scale)
+    if k == 2:
+        w, b = np.concatenate([np.zeros_like(w), w]), np.concatenate([[0.0], b])
+    return w, b, scale
+
+
 def fit_prior(df, cols, label, alpha=1.0, weight=None) -> dict:
     """Most frequent class, ties -> smallest."""
     r = df.groupBy(_q(label).alias("y")).agg(F.sum(_weight(weight)).alias("n")).agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("y").alias("y"))).alias("m")).first()
@@ -339,6 +393,7 @@ class Spec:
     unscaled: bool = False  # learns from counts and flags, not from standardised columns
     trees: dict | None = None  # histogram tree ensemble: its kind and fixed numbers
     growing: str | None = None  # parameter that may be cut in a search's first rungs (rounds, trees)
+    held: str | None = None  # solver of the same objective for rows held in one task
 
 
 def _ovr(est, n_classes: int):
@@ -361,7 +416,7 @@ HIST = {"kind": "boosting", "l2": 0.0, "min_hessian": 1e-3, "min_rows": 20.0, "h
 def classification_registry(mode: str = "stable") -> dict[str, Spec]:
     reg = {
         "LogisticRegression": Spec(lambda p, k: LogisticRegression(maxIter=int(p.get("maxIter", 100)), regParam=p["penalty"], elasticNetParam=0.0),
-                                   "classification", linear=True, growing="maxIter", defaults={"C": 1.0, "maxIter": 100}, ranges={"C": (0.01, 10.0, False)}),
+                                   "classification", linear=True, growing="maxIter", held="logistic", defaults={"C": 1.0, "maxIter": 100}, ranges={"C": (0.01, 10.0, False)}),
         "RidgeClassifier": Spec(None, "classification", closed=True, defaults={"kind": "ridge", "alpha": 1.0}, ranges={"alpha": (0.01, 10.0, False)}),
         "LinearSVC": Spec(None, "classification", closed=True, defaults={"kind": "svc", "alpha": 1.0}, ranges={"alpha": (0.01, 10.0, False)}),
         "MultinomialNB": Spec(None, "classification", closed=True, unscaled=True, defaults={"kind": "multinomial", "alpha": 1.0}, ranges={"alpha": (0.01, 2.0, False)}),
@@ -474,7 +529,13 @@ def _label_back():
 BLOCK_KINDS = ("multinomial", "bernoulli", "ridge", "svc")
 
 
-def fits_in_task(spec: Spec, task: str) -> bool:
+#: Most coefficients whose second-order matrix a task solves for the logistic model.
+HELD_COEFFICIENTS = 2000
+
+
+def fits_in_task(spec: Spec, task: str, n_features: int = 0, n_classes: int = 0) -> bool:
+    if spec.held == "logistic":
+        return n_classes * (n_features + 1) <= HELD_COEFFICIENTS
     return bool(spec.trees) or (spec.closed and spec.defaults.get("kind") in BLOCK_KINDS and task != "regression")
 
 
@@ -486,6 +547,10 @@ def predict_in_task(spec: Spec, params: dict, train, edges, task: str, n_classes
         learnt = FITS[config["kind"]](train, edges, task, n_classes, config, int(config.get("seed", 42)))
         learnt.update(task=task, n_classes=n_classes, edges=edges)
         return predict_blocks(learnt, x)
+    if spec.held == "logistic":
+        (fx, fy, fw), = train.elements
+        w, b, scale = softmax_newton(fx, fy[:, 0].astype(int), fw, n_classes, penalty(params, max(1, round(fw.sum()))))
+        return ((x / scale) @ w.T + b).argmax(1)
     kind, alpha, k = spec.defaults["kind"], float(params["alpha"]), n_classes
     clean = train.map(lambda e: (np.nan_to_num(e[0]), e[1][:, 0], e[2]))
     x = np.nan_to_num(x)

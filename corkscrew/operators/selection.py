@@ -70,10 +70,15 @@ class SearchSet:
         self.train, self.valid, self.features, self.target = train, valid, list(features), target
         self.id_col, self.seed = (id_col if id_col in train.columns else None), seed
         self.parts: dict = {}
+        self.cached: list[DataFrame] = []
         self.lock = threading.Lock()
 
     def _compact(self, df: DataFrame) -> DataFrame:
-        return compact(df, [*self.features, self.target]).cache()
+        """Weighted rows in as many partitions as their number asks for: every
+        step of an iterative fit is a job with a task a partition."""
+        found = compact(df, [*self.features, self.target]).cache()
+        self.cached.append(found)
+        return found.coalesce(max(1, -(-found.count() // ROWS_PER_PARTITION)))
 
     def rows(self, share: float) -> tuple[DataFrame, DataFrame, float]:
         """(training rows, holdout rows, number of rows that the training rows stand for)."""
@@ -110,11 +115,8 @@ class SearchSet:
             return self.parts[key]
 
     def close(self) -> None:
-        for found in self.parts.values():
-            if isinstance(found, tuple) and isinstance(found[0], DataFrame):
-                found[0].unpersist()
-        if "valid" in self.parts:
-            self.parts["valid"].unpersist()
+        for found in self.cached:
+            found.unpersist()
 
 
 def array_scores(found: np.ndarray, y: np.ndarray, w: np.ndarray, task_type: str, n_classes: int) -> dict:
@@ -135,7 +137,7 @@ def _score_all(name: str, spec: Spec, tries: list[dict], rows: SearchSet, share:
     """Scores of each parameter set: one task a set where the rows are few and
     the model learns from blocks, else one pipeline a set."""
     train, valid, n = rows.rows(share)
-    held = rows.held(share, task_type) if fits_in_task(spec, task_type) else None
+    held = rows.held(share, task_type) if fits_in_task(spec, task_type, len(rows.features), n_classes) else None
     if held is not None and len(held[0][2]) and len(held[1][2]):
         sc = train.sparkSession.sparkContext
         shared = sc.broadcast(held)

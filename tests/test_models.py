@@ -1,5 +1,6 @@
 """Models, metrics, detection and selection."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,27 @@ def test_queries_use_the_registry_defaults_and_draws(spark, monkeypatch):
         with pytest.raises(Seen):
             QUERIES[key](spark, SF_SMALL)
         assert seen["kw"].get("n_draws", selection.N_DRAWS) == selection.N_DRAWS and not seen["kw"].get("overrides"), key
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_logistic_inside_a_task_equals_sparks(spark, k):
+    """Coefficients of the Newton solver against Spark ML's under the same objective."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from corkscrew.operators.models import softmax_newton
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 3)) * [1.0, 4.0, 0.2]
+    y = (x @ rng.normal(size=(3, k)) + rng.gumbel(size=(120, k))).argmax(1)
+    w = rng.integers(1, 5, 120).astype(float)
+    w1, b1, scale = softmax_newton(x, y, w, k, 0.02)
+    each = [(*map(float, u), float(c)) for u, c, v in zip(x, y, w) for _ in range(int(v))]  # a weight stands for equal rows
+    df = spark.createDataFrame(each, ["a", "b", "c", "y"]).coalesce(1)
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(df)
+    m = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.02, tol=1e-12, maxIter=500).fit(df)
+    want = m.coefficientMatrix.toArray()
+    got = (w1 / scale)[1:] if k == 2 else w1 / scale
+    np.testing.assert_allclose(got, want, atol=1e-5)
+    free = np.array(m.interceptVector.toArray())
+    np.testing.assert_allclose(b1[1:] if k == 2 else b1 - b1.mean(), free if k == 2 else free - free.mean(), atol=1e-4)
