@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import CleanStats, apply_stats, auto_clean, encode, fit_stats, impute_columns, profile, quality_report
+from ..operators.ordered import ordered_statistics, target_totals
 from ..operators.sampling import hash_bucket, holdout_split, plain_sample, stratified_sample
 from ..operators.stats import distinct_and_mode, exact_quantiles, moments, null_counts
 from ..session import table
@@ -381,3 +382,32 @@ def q_stratified(spark, sf_dir):
     """Orders stratified by priority at ratio 0.3, capped at 2000 rows in all."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return stratified_sample(o, "o_orderkey", "o_orderpriority", ratio=0.3, cap=2000)
+
+
+ORDERED_CATS = ["c_low", "c_high"]
+ORDERED_SQL = (
+    f"WITH m AS (SELECT id, c_low, c_high, CASE WHEN n1 > 4000 THEN 1.0 WHEN n1 IS NOT NULL THEN 0.0 END AS y, md5('42:' || CAST(id AS VARCHAR)) AS k, {BUCKET_SQL} < 2000 AS is_test FROM ({MIXED_SQL})), "
+    "tr AS (SELECT * FROM m WHERE NOT is_test), te AS (SELECT * FROM m WHERE is_test), "
+    + ", ".join(f"t_{c} AS (SELECT {c}, sum(y) AS s, count(y) AS n FROM tr GROUP BY {c})" for c in ORDERED_CATS)
+    + " SELECT id, is_test, "
+    + ", ".join(
+        f"round((coalesce(sum(y) OVER {c}_w, 0) + 0.5) / (count(y) OVER {c}_w + 1), {R9}) AS {c}__y" for c in ORDERED_CATS
+    )
+    + " FROM tr WINDOW "
+    + ", ".join(f"{c}_w AS (PARTITION BY {c} ORDER BY k, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for c in ORDERED_CATS)
+    + " UNION ALL SELECT id, is_test, "
+    + ", ".join(f"round((coalesce(t_{c}.s, 0) + 0.5) / (coalesce(t_{c}.n, 0) + 1), {R9})" for c in ORDERED_CATS)
+    + " FROM te " + " ".join(f"LEFT JOIN t_{c} ON te.{c} IS NOT DISTINCT FROM t_{c}.{c}" for c in ORDERED_CATS)
+)
+
+
+@register("cln_ordered_target", ORDERED_SQL)
+def q_ordered_target(spark, sf_dir):
+    """Categories as ordered target statistics (training rows: earlier rows of
+    the permutation only; test rows: all training rows)."""
+    m = mixed(spark, sf_dir).select("id", *ORDERED_CATS, (F.col("n1") > 4000).cast("double").alias("y"))
+    tr, te = holdout_split(m, "id")
+    totals = target_totals(tr, ORDERED_CATS, ["y"])
+    shown = [F.round(f"{c}__y", R9).alias(f"{c}__y") for c in ORDERED_CATS]
+    train = ordered_statistics(tr, "id", ORDERED_CATS, ["y"]).select("id", F.lit(False).alias("is_test"), *shown)
+    return train.unionByName(totals.apply(te).select("id", F.lit(True).alias("is_test"), *shown))

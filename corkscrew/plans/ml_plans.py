@@ -10,6 +10,7 @@ from ..operators import metrics, selection
 from ..operators.detection import task_type_df
 from ..operators.cleaning import split_target
 from ..operators.models import classification_registry, fit_pipeline, lars_rows, make_pipeline, regression_registry
+from ..operators.ordered import fit_ordered_boosting
 from ..operators.sampling import holdout_split
 from ..session import scratch_path, table
 from .registry import register
@@ -537,3 +538,13 @@ def q_quality_score(spark, sf_dir):
     m = fit_pipeline(make_pipeline("RandomForestClassifier", spec, {"numTrees": 20, "maxDepth": 5}, pre.output_columns, "target", 4), clean)
     sc = selection.evaluate(m, clean, "target", "multi-classification")
     return spark.createDataFrame([(sc["accuracy"],)], "score_after double")
+
+
+@register("mdl_ordered_boost")
+def q_ordered_boost(spark, sf_dir):
+    """Boosting on ordered statistics of language and source: quality of the held-out labelled documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    rows = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("target")), "id")
+    train, test = _split(rows)
+    model = fit_ordered_boosting(train, "id", ["lang", "source"], ["n_chars"], "target")
+    return model.transform(test).select("id", "prediction")
