@@ -10,6 +10,7 @@ from ..operators.audit import category_audit
 from ..operators.common import literal_table
 from ..operators.lookup import lookup_default
 from ..operators.review import coerce_numbers
+from ..operators.sparse import fit_sparse
 from ..session import scratch_path, table
 from ..sources import readers, writers
 from .knn_plans import index_ctes
@@ -266,3 +267,56 @@ def q_audit_csv(spark, sf_dir):
     writers.write_audit_csv(audit, path)
     back = spark.read.csv(path, header=True, sep=";", schema="frequency bigint, category string, current_color string, status string")
     return back
+
+
+WIDE = 1_000_000
+WIDE_VALUE = "CASE WHEN (l_orderkey + l_linenumber) % 10 = 0 THEN CAST('nan' AS DOUBLE) WHEN l_linenumber % 3 = 0 THEN -l_quantity ELSE l_quantity END"
+# One row an order: a cell a line, a column that all orders have (missing in every fifth), a constant column.
+WIDE_SQL = (
+    "WITH o AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS row_id FROM (SELECT DISTINCT l_orderkey FROM lineitem)), "
+    f"raw AS (SELECT l_orderkey, CAST((l_partkey * 7919) % {WIDE} AS INTEGER) AS idx, {WIDE_VALUE} AS val FROM lineitem "
+    f"UNION ALL SELECT l_orderkey, {WIDE}, CASE WHEN l_orderkey % 5 = 0 THEN CAST('nan' AS DOUBLE) ELSE 1 + l_orderkey % 4 END FROM o "
+    f"UNION ALL SELECT l_orderkey, {WIDE + 1}, 3 FROM o), "
+    "c AS MATERIALIZED (SELECT row_id, idx, CASE WHEN isfinite(sum(val)) THEN sum(val) END AS v FROM raw JOIN o USING (l_orderkey) GROUP BY row_id, idx), "
+    "n AS (SELECT count(*) AS rows FROM o), "
+    "k AS MATERIALIZED (SELECT idx, count(*) - count(v) AS missing, rows - count(*) AS zeros, min(v) AS lo, max(v) AS hi FROM c, n GROUP BY idx, rows), "
+    "f AS (SELECT idx, median(v) AS fill FROM (SELECT idx, v FROM c WHERE v IS NOT NULL UNION ALL SELECT idx, 0.0 FROM k, range(zeros) WHERE missing > 0) GROUP BY idx), "
+    "e AS (SELECT k.idx, CASE WHEN missing > 0 THEN fill END AS fill, least(lo, CASE WHEN zeros > 0 THEN 0.0 END, CASE WHEN missing > 0 THEN fill END) AS lo, "
+    "greatest(hi, CASE WHEN zeros > 0 THEN 0.0 END, CASE WHEN missing > 0 THEN fill END) AS hi FROM k LEFT JOIN f USING (idx)) "
+    "SELECT CAST(row_id AS BIGINT) AS row_id, idx, round(coalesce(v, fill) / greatest(abs(lo), abs(hi)), 9) AS val FROM c JOIN e USING (idx) WHERE lo < hi AND coalesce(v, fill) <> 0"
+)
+
+
+def _wide_file(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    val = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 10 == 0, F.lit("nan"))
+    val = val.when(F.col("l_linenumber") % 3 == 0, (-F.col("l_quantity")).cast("string")).otherwise(F.col("l_quantity").cast("string"))
+    cell = F.concat(((F.col("l_partkey") * 7919) % WIDE).cast("string"), F.lit(":"), val)
+    common = F.when(F.col("l_orderkey") % 5 == 0, F.lit("nan")).otherwise((1 + F.col("l_orderkey") % 4).cast("string"))
+    rows = li.groupBy("l_orderkey").agg(F.concat_ws(" ", F.collect_list(cell)).alias("cells"))
+    line = F.concat(F.col("cells"), F.lit(f" {WIDE}:"), common, F.lit(f" {WIDE + 1}:3"))
+    path = scratch_path(spark, "orders-wide")
+    rows.orderBy("l_orderkey").select(line.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+@register("cln_sparse_wide", WIDE_SQL)
+def q_sparse_wide(spark, sf_dir):
+    """A sparse file of a million columns, filled, reduced and scaled in long form."""
+    path = _wide_file(spark, sf_dir)
+    cells = readers.sparse_entries(spark, path)
+    cleaner = fit_sparse(cells, readers.indexed_lines(spark, path).count())
+    return cleaner.clean(cells).select("row_id", "idx", F.round("val", 9).alias("val"))
+
+
+@register("mdl_sparse_logistic")
+def q_sparse_logistic(spark, sf_dir):
+    """The same file to a logistic model: which orders lack the common column."""
+    from pyspark.ml.classification import LogisticRegression
+
+    path = _wide_file(spark, sf_dir)
+    cells = readers.sparse_entries(spark, path)
+    rows = readers.indexed_lines(spark, path).select("row_id", F.col("line").contains(f"{WIDE}:nan").cast("double").alias("label"))
+    vectors = fit_sparse(cells, rows.count()).vectors(cells, rows)
+    model = LogisticRegression(maxIter=20, regParam=0.01).fit(vectors)
+    return model.transform(vectors).select("row_id", "label", "prediction")

@@ -16,7 +16,7 @@ from conftest import SF_SMALL
 FAST = [
     "e2e_vocab_audit", "txt_lexicon_word", "e2e_prepare", "e2e_category_audit", "e2e_recommend",
     "join_knn_zero_fill", "src_csv_skip_bad", "src_sparse", "cln_preprocessor", "smp_stratified_cap",
-    "mdl_nb_bernoulli", "ml_topn", "agg_median_sorted",
+    "mdl_nb_bernoulli", "ml_topn", "agg_median_sorted", "cln_ordered_target", "cln_sparse_wide",
 ]
 KEYS = sorted(ent.oracle_sql()) if os.environ.get("CORKSCREW_FULL_ORACLE") else FAST
 
