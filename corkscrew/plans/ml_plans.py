@@ -34,9 +34,15 @@ LANG_TE = f"SELECT * FROM ({LANG_SQL}) WHERE {BUCKET.format(id='id')} < 2000"
 
 
 def lang_flags(spark, sf_dir):
-    """Documents as a text-classification set: 7 lexicon flags -> language."""
+    """Documents as a text-classification set: 7 lexicon flags -> language.
+
+    Fitting and scoring pass over these rows many times, so they are a written
+    table: each text is split once a query, not once a pass."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("target"))
-    return lexicon_flags(d, "text", EXTRA_GROUPS, "word", keep=["id", "target"]).select("id", *FEATS, "target")
+    flags = lexicon_flags(d, "text", EXTRA_GROUPS, "word", keep=["id", "target"]).select("id", *FEATS, "target")
+    path = scratch_path(spark, "lang-flags")
+    flags.write.parquet(path)
+    return spark.read.schema(flags.schema).parquet(path)
 
 
 def quality_flags(spark, sf_dir):
