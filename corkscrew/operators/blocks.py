@@ -83,7 +83,7 @@ def _add(a, b):
     return [x + y for x, y in zip(a, b)] if isinstance(a, list) else a + b
 
 
-def _reduce(values, add):
+def reduced(values, add=_add):
     out = None
     for value in values:
         out = value if out is None else add(out, value)
@@ -94,8 +94,8 @@ def total(data: RDD | Held, of, add=_add):
     """Sum (or another ``add``) over all elements of ``of(element)`` (an array
     or a list of arrays), inside each partition first, then in a tree."""
     if isinstance(data, Held):
-        return _reduce(map(of, data.elements), add)
-    sums = data.mapPartitions(lambda it: [v for v in [_reduce(map(of, it), add)] if v is not None])
+        return reduced(map(of, data.elements), add)
+    sums = data.mapPartitions(lambda it: [v for v in [reduced(map(of, it), add)] if v is not None])
     if data.getNumPartitions() <= 8:
-        return _reduce(sums.collect(), add)
+        return reduced(sums.collect(), add)
     return None if sums.isEmpty() else sums.treeReduce(add)

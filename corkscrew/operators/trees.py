@@ -1,10 +1,11 @@
 """Trees grown level by level from histograms, and the ensembles made of them.
 
-Features are put into bins once. A level of any number of trees is one pass:
-each partition adds its rows' statistics up by (node, feature, bin), and the
-sums decide all splits of the level on the driver (nodes x features x bins
-numbers, done in groups of trees below ``MAX_CELLS``). Rows find their node by
-walking the trees so far, so no row moves.
+Features are put into bins once, and rows that no step can tell apart become
+one weighted row (``merged``). A level of any number of trees is one pass: each
+partition adds its rows' statistics up by (node, feature, bin), the sums of a
+node meet in one task (in groups of nodes below ``MAX_CELLS``) and decide its
+split there; the driver gets the splits, never the sums of the bins. Rows find
+their node by walking the trees so far, so no row moves after merging.
 
 * ``fit_boosting``: second-order boosting. Gradients and hessians of the
   softmax (one tree a class and round, all classes in one pass) or of the
@@ -24,11 +25,12 @@ Missing feature values go into the lowest bin.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .blocks import blocks, fit_on, total
+from .blocks import Held, blocks, fit_on, reduced, total
 
 MAX_BINS = 256
 #: Numbers in the histograms of one pass.
@@ -73,6 +75,30 @@ def to_bins(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
+def merged(df: DataFrame, features: Sequence[str], target: str, edges: Sequence[np.ndarray], weight: str | None, squared: bool) -> DataFrame:
+    """Rows (x0.., y, w) with one row for all that share their bins and target;
+    a value becomes the upper edge of its bin. ``squared``: a fit that needs of
+    a bin's targets their weighted sum alone, so that rows that share their bins
+    are one row with the mean target."""
+    p = len(features)
+    w = F.col(f"`{weight}`").cast("double") if weight and weight in df.columns else F.lit(1.0)
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{j}") for j, c in enumerate(features)], F.col(f"`{target}`").cast("double").alias("y"), w.alias("w"))
+    keys = [f"x{j}" for j in range(p)]
+
+    def to_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = [np.append(e, np.inf) for e in edges]
+        for batch in batches:
+            x = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[:p]]
+            b = to_bins(np.column_stack(x), edges) if x else None
+            yield pa.RecordBatch.from_arrays([*[pa.array(tops[j][b[:, j]]) for j in range(p)], *batch.columns[p:]], schema=batch.schema)
+
+    rows = wide.mapInArrow(to_edges, wide.schema) if p else wide
+    if not squared:
+        return rows.groupBy(*keys, "y").agg(F.sum("w").alias("w")).select(*keys, "y", "w")
+    rows = rows.groupBy(*keys).agg((F.sum(F.col("y") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("y"), F.sum("w").alias("w"))
+    return rows.select(*keys, F.coalesce("y", F.lit(0.0)).alias("y"), "w")
+
+
 @dataclass
 class Tree:
     """Nodes in the order of their making; ``feature`` -1 marks a leaf. Rows
@@ -120,9 +146,10 @@ class Tree:
                 self.feature[n] = -1
 
 
-def _histograms(rdd: RDD, trees: list[Tree], active: list[tuple[int, int]], bins: int, stats) -> np.ndarray:
-    """(slot, feature, bin, statistic) sums; ``active`` lists a slot's (tree, node);
-    ``stats(element)`` gives (bins, rows x trees-or-1 x statistics)."""
+def _splits(rdd: RDD | Held, trees: list[Tree], active: list[tuple[int, int]], bins: int, stats, choose) -> dict:
+    """Slot -> (sums, split or None, sums of both children); ``active`` lists a
+    slot's (tree, node); ``stats(element)`` gives (bins, rows x trees-or-1 x
+    statistics); ``choose`` decides from a node's (feature, bin, statistic) sums."""
     slots: dict[int, dict[int, int]] = {}
     for s, (t, n) in enumerate(active):
         slots.setdefault(t, {})[n] = s
@@ -142,28 +169,50 @@ def _histograms(rdd: RDD, trees: list[Tree], active: list[tuple[int, int]], bins
                 out[:, k] += np.bincount(at, np.repeat(s[:, k], p), len(out))
         return out.reshape(len(active), p, bins, -1)
 
-    return total(rdd, of)
+    def decide(slot, h):
+        sums = h[0].sum(0).tolist() if len(h) else []
+        found = choose(*active[slot], h)
+        if found is None:
+            return sums, None, None
+        f, b, _ = found
+        return sums, found, [h[f, : b + 1].sum(0).tolist(), h[f, b + 1 :].sum(0).tolist()]
+
+    if isinstance(rdd, Held):
+        hist = total(rdd, of)
+        return {} if hist is None else {s: decide(s, h) for s, h in enumerate(hist)}
+
+    def parts(it):
+        hist = reduced(map(of, it))
+        return [] if hist is None else enumerate(hist)
 
+    width = max(1, min(rdd.getNumPartitions(), len(active)))
+    return dict(rdd.mapPartitions(parts).reduceByKey(np.add, width).map(lambda x: (x[0], decide(*x))).collect())
 
-def grow(rdd: RDD, n_trees: int, bins: int, n_features: int, stats, n_stats: int, choose, max_depth: int) -> list[Tree]:
+
+def grow(rdd: RDD | Held, n_trees: int, bins: int, n_features: int, stats, n_stats: int, choose, max_depth: int) -> list[Tree]:
     """Grow ``n_trees`` trees side by side. ``choose(tree, node, hist)`` returns
-    (feature, bin, gain) or None; node sums are kept in the trees."""
+    (feature, bin, gain) or None; node sums are kept in the trees. The sums of
+    the deepest nodes come from their parents' splits."""
     trees = [Tree() for _ in range(n_trees)]
     level = [(t, 0) for t in range(n_trees)]
     cells = max(1, n_features * bins * n_stats)
-    for depth in range(max_depth + 1):
+    pick = choose if max_depth > 0 else lambda t, node, h: None
+    for _ in range(max(1, max_depth)):
         following = []
         step = max(1, MAX_CELLS // cells)
+        splits = []
         for lo in range(0, len(level), step):
             active = level[lo : lo + step]
-            hist = _histograms(rdd, trees, active, bins, stats)
-            if hist is None:
+            found = _splits(rdd, trees, active, bins, stats, pick)
+            if not found:
                 return trees
-            for (t, node), h in zip(active, hist):
-                trees[t].sums[node] = h[0].sum(0).tolist() if n_features else []
-                found = choose(t, node, h) if depth < max_depth else None
-                if found is not None:
-                    following += [(t, c) for c in trees[t].split(node, *found)]
+            splits += [found[s] for s in range(len(active))]
+        for (t, node), (sums, split, below) in zip(level, splits):
+            trees[t].sums[node] = sums
+            if split is not None:
+                for c, own in zip(trees[t].split(node, *split), below):
+                    trees[t].sums[c] = own
+                    following.append((t, c))
         level = following
         if not level:
             break
@@ -254,7 +303,7 @@ def fit_boosting(data: RDD, edges: list[np.ndarray], task: str, n_classes: int,
         base = [float(v) for v in np.log(np.maximum(counts, 1e-12) / counts.sum())]
     state = binned.map(lambda e: (*e, np.tile(np.array(base), (len(e[1]), 1)))).persist(StorageLevel.MEMORY_AND_DISK)
     rng = np.random.default_rng(seed)
-    ensemble = []
+    ensemble, before = [], None
     for r in range(rounds):
         allowed = None
         if columns < 1 and p:
@@ -265,23 +314,23 @@ def fit_boosting(data: RDD, edges: list[np.ndarray], task: str, n_classes: int,
             return second_order_split(h, l2, min_hessian, min_rows, allowed)
 
         trees = grow(state, outputs, bins, p, lambda e: (e[0], gradients(e[3], e[1], e[2], task, hessian)), 3, choose, max_depth)
+        if before is not None:
+            before.unpersist()  # the first pass over the new scores is done
         for tree in trees:
             if max_leaves:
                 tree.best_first(max_leaves)
             tree.value = [[-rate * s[0] / (s[1] + l2) if s and s[1] + l2 > 0 else 0.0] for s in tree.sums]
         ensemble.append(trees)
-        if all(t.feature[0] < 0 for t in trees):  # nothing left to split: later rounds would be the same leaf
+        if r + 1 == rounds or all(t.feature[0] < 0 for t in trees):  # nothing left to split: later rounds would be the same leaf
             break
 
         def move(e, trees=trees):
             return (*e[:3], e[3] + np.stack([np.array([v[0] for v in t.value])[t.leaf_of(e[0])] for t in trees], axis=1))
 
         new = state.map(move).persist(StorageLevel.MEMORY_AND_DISK)
-        if (r + 1) % CHECKPOINT_ROUNDS == 0 and r + 1 < rounds:
+        if (r + 1) % CHECKPOINT_ROUNDS == 0:
             new.checkpoint()
-        new.foreachPartition(lambda it: None)
-        state.unpersist()
-        state = new
+        before, state = state, new
     state.unpersist()
     binned.unpersist()
     return {"kind": "boosting", "base": base, "trees": [[_dump(t) for t in trees] for trees in ensemble]}
@@ -501,9 +550,11 @@ class TreeEnsemble(Estimator, _TreeParams, DefaultParamsReadable, DefaultParamsW
             classes = sorted(r[0] for r in df.select(F.col(f"`{label}`")).distinct().collect())  # one row a class
             target = class_number(F.col(f"`{label}`"), classes)
         rows = df.withColumn("__y", target)
-        n = df.count()
+        rows = merged(rows, cols, "__y", edges, weight, task == "regression" and config["kind"] == "boosting").persist()
+        n = rows.count()
         of, seed, n_classes = FITS[config["kind"]], int(config.get("seed", 42)), len(classes)
-        learnt = fit_on(blocks(rows, cols, "__y", weight, rows=n), n, lambda data: of(data, edges, task, n_classes, config, seed))
+        learnt = fit_on(blocks(rows, rows.columns[:-2], "y", "w", rows=n), n, lambda data: of(data, edges, task, n_classes, config, seed))
+        rows.unpersist()
         learnt.update(task=task, classes=classes, n_classes=len(classes), edges=[e.tolist() for e in edges])
         return TreeEnsembleModel(learnt=json.dumps(learnt), inputCols=cols, labelCol=label, predictionCol=self.getOrDefault(self.predictionCol), config=self.getOrDefault(self.config))
 

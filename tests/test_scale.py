@@ -1,7 +1,11 @@
 """Queries do their work once and in bounded pieces, whatever the table's size."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from corkscrew.operators import blocks as B
+from corkscrew.operators import trees
 from corkscrew.operators.lexicon import lexicon_flags
 from corkscrew.plans import ml_plans
 from corkscrew.plans.standins import EXTRA_GROUPS
@@ -21,3 +25,50 @@ def test_flags_of_texts_are_made_once(spark, tmp):
     wanted = lexicon_flags(texts, "text", EXTRA_GROUPS, "word", keep=["id", "target"]).select(*found.columns)
     assert found.dtypes == wanted.dtypes
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, wanted.collect()), key=repr)
+
+
+@pytest.mark.parametrize("task,label", [("regression", "y"), ("classification", "k")])
+def test_boosting_merges_rows_that_share_their_bins(spark, monkeypatch, task, label):
+    """Few distinct rows are fitted as few weighted rows, whatever the targets."""
+    seen = []
+    fit_on = trees.fit_on
+    monkeypatch.setattr(trees, "fit_on", lambda data, rows, fit: seen.append(rows) or fit_on(data, rows, fit))
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (400, 2)).astype(float)
+    y = x[:, 0] - x[:, 1] + rng.normal(size=400)  # no two targets are equal
+    rows = [(i, None if i == 7 else float(a), float("nan") if i == 9 else float(b), float(t), f"k{t > 0}") for i, ((a, b), t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double, k string")
+    config = f'{{"kind": "boosting", "task": "{task}", "rounds": 3, "max_depth": 2}}'
+    model = trees.TreeEnsemble(["a", "b"], label, config=config).fit(df)
+    assert seen[0] <= 9 * (1 if task == "regression" else 2)
+    plain = [np.array([[np.nan if v is None else v for v in r[1:3]] for r in rows]), y if task == "regression" else (y > 0).astype(float), np.ones(400)]
+    edges = [np.array(e) for e in model.state["edges"]]
+    whole = trees.fit_boosting(B.Held([(plain[0], plain[1][:, None], plain[2])]), edges, task, 2, {"rounds": 3, "max_depth": 2})
+    for got, want in zip(sum(model.state["trees"], []), sum(whole["trees"], [])):
+        assert got["feature"] == want["feature"] and got["bin"] == want["bin"]
+        assert np.allclose(got["value"], want["value"])
+
+
+def test_bin_sums_stay_off_the_driver(spark, monkeypatch):
+    """Splits are chosen in tasks; the driver collects a few numbers a node."""
+    from pyspark import RDD
+
+    sizes = []
+    collect = RDD.collect
+
+    def spy(self):
+        out = collect(self)
+        sizes.append(sum(np.size(v) if isinstance(v, np.ndarray) else 1 for v in out))
+        return out
+
+    monkeypatch.setattr(RDD, "collect", spy)
+    monkeypatch.setattr(trees, "total", lambda data, of, *a: np.asarray(B.total(data, of, *a)))
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(300, 3)), rng.normal(size=300)
+    edges = [np.linspace(-2, 2, 200)] * 3
+    data = spark.sparkContext.parallelize([(x[i::4], y[i::4, None], np.ones(len(y[i::4]))) for i in range(4)], 4)
+    got = trees.fit_boosting(data, edges, "regression", 0, {"rounds": 2, "max_depth": 3})
+    assert max(sizes) < 100  # the sums of one node are 3 x 201 x 3 numbers
+    want = trees.fit_boosting(B.Held([(x, y[:, None], np.ones(300))]), edges, "regression", 0, {"rounds": 2, "max_depth": 3})
+    assert [t[0]["feature"] for t in got["trees"]] == [t[0]["feature"] for t in want["trees"]]
+    assert np.allclose(sum([t[0]["value"] for t in got["trees"]], []), sum([t[0]["value"] for t in want["trees"]], []))
