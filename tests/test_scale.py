@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corkscrew.operators import blocks as B
-from corkscrew.operators import trees
+from corkscrew.operators import knn, trees
 from corkscrew.operators.lexicon import lexicon_flags
 from corkscrew.plans import ml_plans
 from corkscrew.plans.standins import EXTRA_GROUPS
@@ -72,3 +72,35 @@ def test_bin_sums_stay_off_the_driver(spark, monkeypatch):
     want = trees.fit_boosting(B.Held([(x, y[:, None], np.ones(300))]), edges, "regression", 0, {"rounds": 2, "max_depth": 3})
     assert [t[0]["feature"] for t in got["trees"]] == [t[0]["feature"] for t in want["trees"]]
     assert np.allclose(sum([t[0]["value"] for t in got["trees"]], []), sum([t[0]["value"] for t in want["trees"]], []))
+
+
+@pytest.mark.parametrize("broadcast_max_rows", [1000, 0])
+def test_neighbours_leave_the_tasks_as_k_rows_a_block(spark, monkeypatch, broadcast_max_rows):
+    """Equal to adding up all pairs; ids may repeat or be null; pairs are never rows."""
+    monkeypatch.setattr(knn, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(knn, "SLICE_REQUESTS", 5)
+    rng = np.random.default_rng(5)
+
+    def side(n, width):
+        rows = [(int(i) if i else None, f"t{t}", float(rng.integers(1, 4))) for i in range(n) for t in rng.permutation(12)[:width]]
+        return rows + [(n, "t1", 1.0), (n, "t1", 1.0), (n + 1, "t1", 0.5), (n + 1, "t2", 0.5)]
+
+    q, d = side(13, 3), side(90, 4)
+    kind = "{} long, term string, weight double"
+    qw, index = spark.createDataFrame(q, kind.format("request_id")), spark.createDataFrame(d, kind.format("id"))
+    ids = spark.createDataFrame([(i,) for i in range(1, 95)], "id long")
+    out = knn.knn_cosine(qw, index, qw.select("request_id"), ids, 4, broadcast_max_rows=broadcast_max_rows, salt=3)
+    dots = knn.dot_products(knn.by_record(qw, "request_id"), knn.by_record(index, "id"), 4, "request_id", "id", broadcast_max_rows, 3)
+    want = {}
+    for a, s, v in q:
+        for b, t, w in d:
+            if s == t:
+                want[a, b] = want.get((a, b), 0.0) + v * w
+    assert all(want[r["request_id"], r["id"]] == pytest.approx(r["_dot"]) for r in dots.collect())
+    assert dots.count() < len(want) * 0.7
+    got = {}
+    for r in out.where("request_id is not null").orderBy("request_id", "rank").collect():
+        got.setdefault(r["request_id"], []).append((r["distance"], r["id"]))
+    for a in {a for a, _, _ in q if a is not None}:
+        near = sorted(((round(1 - v, 6), b) for (x, b), v in want.items() if x == a), key=lambda x: (x[0], -1 if x[1] is None else x[1]))[:4]
+        assert got[a] == near
