@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from corkscrew.operators import blocks as B
@@ -27,6 +28,25 @@ def test_flags_of_texts_are_made_once(spark, tmp):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, wanted.collect()), key=repr)
 
 
+def test_whole_words_are_matched_without_an_array_of_runs(spark, tmp):
+    """One linear pattern a group: a text is not cut into an array of its words and what lies between them."""
+    texts = ["The RED bird", "Hot rod", "hot  rod", "hotrod red_", "el\nLOS", "x-large.", "x - large", "Ünd der", "l'und\u0301", "naïve é blue", "dié die", "", None, "the" * 3, "٣red", "red²", "a\u0000of\u0000b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = lexicon_flags(df, "t", {**EXTRA_GROUPS, "none": []}, keep=["id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "split" not in plan
+    lists = {g: [t.lower() for t in ts] for g, ts in EXTRA_GROUPS.items()}
+    for r in found.collect():
+        low = (texts[r["id"]] or "").lower()
+        for g, terms in lists.items():
+            hit = any(regex.search(rf"(?<![\p{{L}}\p{{N}}_]){regex.escape(t)}(?![\p{{L}}\p{{N}}_])", low) for t in terms)
+            assert r[g] == int(hit), (low, g)
+        assert r["none"] == 0
+    signs = {"signs": ["c++", "++"], "words": ["hot rod"]}  # no whole-word pattern: runs of the text
+    rows = spark.createDataFrame([(1, "a c++ b"), (2, "hot rod"), (3, "c+")], "id int, t string")
+    assert sorted(tuple(r) for r in lexicon_flags(rows, "t", signs, keep=["id"]).collect()) == [(1, 0, 0), (2, 0, 1), (3, 0, 0)]
+
+
 @pytest.mark.parametrize("task,label", [("regression", "y"), ("classification", "k")])
 def test_boosting_merges_rows_that_share_their_bins(spark, monkeypatch, task, label):
     """Few distinct rows are fitted as few weighted rows, whatever the targets."""
