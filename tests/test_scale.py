@@ -1,12 +1,14 @@
 """Queries do their work once and in bounded pieces, whatever the table's size."""
 
+import re
+
 import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from corkscrew.operators import blocks as B
-from corkscrew.operators import knn, trees
+from corkscrew.operators import knn, recommend, trees
 from corkscrew.operators.lexicon import lexicon_flags
 from corkscrew.plans import ml_plans
 from corkscrew.plans.standins import EXTRA_GROUPS
@@ -124,3 +126,19 @@ def test_neighbours_leave_the_tasks_as_k_rows_a_block(spark, monkeypatch, broadc
     for a in {a for a, _, _ in q if a is not None}:
         near = sorted(((round(1 - v, 6), b) for (x, b), v in want.items() if x == a), key=lambda x: (x[0], -1 if x[1] is None else x[1]))[:4]
         assert got[a] == near
+
+
+def test_tasks_that_sort_the_records_grow_in_number_with_them(spark, monkeypatch):
+    """The sort of a task holds about ``CHUNK_ROWS`` records, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(knn, "CHUNK_ROWS", 4)
+    docs = spark.range(200).select(F.col("id"), F.concat(F.lit("word"), F.col("id") % 7, F.lit(" other"), F.col("id") % 3).alias("description"))
+    docs = docs.select("id", "description", F.lit("x").alias("winery"), F.lit("src").alias("variety"), F.lit(1).alias("points"), F.lit(1.0).alias("price"))
+    rec = recommend.fit_recommender(docs)
+    requests = spark.createDataFrame([(1, "word3 other2"), (2, "none")], "request_id long, features string")
+    near = recommend.neighbours(rec, requests, 3)
+    # no shuffle between the neighbours' blocks and the records
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    parts = [int(n) for n in re.findall(r"RepartitionByExpression \[\w+#\d+L\], (\d+)", plan)]
+    assert parts and min(parts) >= 200 // 4
+    got = {(r["request_id"], r["rank"]): r["id"] for r in near.collect()}
+    assert [got[1, k] for k in (1, 2, 3)] == [17, 38, 59] and [got[2, k] for k in (1, 2, 3)] == [0, 1, 2]
