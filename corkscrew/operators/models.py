@@ -30,12 +30,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IndexToString, MaxAbsScaler, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, fit_on, total
+from .forest import CellForest
 from .lars import PATH_SCHEMA, centred, lars_path, path_rows
 from .metric_knn import MetricKnn
 from .trees import FITS, TreeEnsemble, class_number, predict_blocks
@@ -392,6 +393,7 @@ class Spec:
     knn: bool = False  # mean of the nearest rows
     unscaled: bool = False  # learns from counts and flags, not from standardised columns
     trees: dict | None = None  # histogram tree ensemble: its kind and fixed numbers
+    forest: str | None = None  # bootstrapped regression trees: share of the features that a node draws
     growing: str | None = None  # parameter that may be cut in a search's first rungs (rounds, trees)
     held: str | None = None  # solver of the same objective for rows held in one task
 
@@ -453,10 +455,8 @@ def regression_registry(mode: str = "stable") -> dict[str, Spec]:
                            "regression", defaults={"regParam": 0.1, "l1_ratio": 0.5}, ranges={"regParam": (1e-4, 1.0, False), "l1_ratio": (0.05, 0.95, False)}),
         "DecisionTreeRegressor": Spec(lambda p, k: DecisionTreeRegressor(maxDepth=int(p.get("maxDepth", 10)), seed=42),
                                       "regression", defaults={"maxDepth": 10}, ranges={"maxDepth": (2, 20, True)}),
-        "RandomForestRegressor": Spec(lambda p, k: RandomForestRegressor(numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 30)), seed=42),
-                                      "regression", growing="numTrees", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 20, True)}),
-        "BaggingRegressor": Spec(lambda p, k: RandomForestRegressor(numTrees=int(p.get("numTrees", 10)), maxDepth=int(p.get("maxDepth", 30)), featureSubsetStrategy="all", seed=42),
-                                 "regression", growing="numTrees", defaults={"numTrees": 10, "maxDepth": 30}, ranges={"numTrees": (10, 100, True)}),
+        "RandomForestRegressor": Spec(None, "regression", forest="third", growing="numTrees", defaults={"numTrees": 100, "maxDepth": 30}, ranges={"numTrees": (10, 100, True), "maxDepth": (2, 20, True)}),
+        "BaggingRegressor": Spec(None, "regression", forest="all", growing="numTrees", defaults={"numTrees": 10, "maxDepth": 30}, ranges={"numTrees": (10, 100, True)}),
         "ExtraTreesRegressor": Spec(None, "regression", trees={"kind": "extra_trees"}, growing="trees", defaults={"trees": 100, "max_depth": 30}, ranges={"trees": (10, 100, True), "max_depth": (3, 30, True)}),
         "KNeighborsRegressor": Spec(None, "regression", knn=True, defaults={"k": 5}, ranges={"k": (2, 50, True)}),
         "XGBRegressor": Spec(None, "regression", trees=XGB, growing="rounds", defaults={"rounds": 100, "rate": 0.1, "max_depth": 5}, ranges={"rounds": (50, 200, True), "max_depth": (3, 10, True), "rate": (0.01, 0.3, False), "columns": (0.5, 1.0, False)}),
@@ -491,6 +491,9 @@ def make_pipeline(name: str, spec: Spec, params: dict, features: Sequence[str],
     if spec.trees:
         config = {**spec.trees, "task": "regression" if spec.task == "regression" else "classification", **params}
         return Pipeline(stages=[TreeEnsemble(inputCols=features, labelCol=target, weightCol=weight, config=json.dumps(config))])
+    if spec.forest:
+        config = {"trees": int(params.get("numTrees", spec.defaults["numTrees"])), "max_depth": int(params.get("maxDepth", spec.defaults["maxDepth"])), "share": spec.forest}
+        return Pipeline(stages=[CellForest(inputCols=features, labelCol=target, weightCol=weight, config=json.dumps(config))])
     if spec.knn:
         return Pipeline(stages=[MetricKnn(inputCols=features, labelCol=target, k=int(params.get("k", 5)))])
     if "C" in params or "alpha" in params:

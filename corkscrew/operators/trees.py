@@ -122,7 +122,7 @@ class Tree:
         return len(self.feature) - 2, len(self.feature) - 1
 
     def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        feature, bin_, left = (np.array(v) for v in (self.feature, self.bin, self.left))
+        feature, bin_, left = (np.asarray(v) for v in (self.feature, self.bin, self.left))
         node = np.zeros(len(bins), np.int64)
         rows = np.arange(len(bins))
         while True:
@@ -483,6 +483,34 @@ def predict_blocks(model: dict, x: np.ndarray) -> np.ndarray:
     return np.take_along_axis(found, order, 1)[np.arange(len(x)), at]
 
 
+class CellAnswers:
+    """Answers of a task: rows that share the bins of all features share theirs,
+    which is found once (of the first ``most`` such cells that a task meets)."""
+
+    def __init__(self, model: dict, most: int = 1 << 18):
+        self.model, self.most = model, most
+        self.edges = [np.array(e, float) for e in model["edges"]]
+        self.few = np.prod([len(e) + 1.0 for e in self.edges]) < 2.0**62
+        self.cells, self.found = np.zeros(0, np.int64), np.zeros(0)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if not self.few or not len(x):
+            return predict_blocks(self.model, x).astype(float)
+        bins, cell = to_bins(x, self.edges), np.zeros(len(x), np.int64)
+        for j, e in enumerate(self.edges):
+            cell = cell * (len(e) + 1) + bins[:, j]
+        cells, first, own = np.unique(cell, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.cells, cells)
+        known = np.append(self.cells, -1)[at] == cells
+        out = np.empty(len(cells))
+        out[known] = self.found[at[known]]
+        if not known.all():
+            out[~known] = predict_blocks(self.model, x[first[~known]])
+            if len(self.cells) < self.most:
+                self.cells, self.found = (np.insert(a, at[~known], v[~known]) for a, v in ((self.cells, cells), (self.found, out)))
+        return out[own]
+
+
 class _TreeParams(Params):
     inputCols = Param(Params._dummy(), "inputCols", "feature columns", TypeConverters.toListString)
     labelCol = Param(Params._dummy(), "labelCol", "label column", TypeConverters.toString)
@@ -515,15 +543,17 @@ class TreeEnsembleModel(Model, _TreeParams, DefaultParamsReadable, DefaultParams
             for k, t in enumerate(group):
                 for n, f in enumerate(t["feature"]):
                     inner = f >= 0
-                    rows.append((r, k, n, cols[f] if inner else None, float(state["edges"][f][t["bin"][n]]) if inner else None, t["left"][n] if inner else None, float(t["gain"][n]) if inner else None, [float(s) for s in t["sums"][n]]))
+                    rows.append((r, k, n, cols[f] if inner else None, float(state["edges"][f][t["bin"][n]]) if inner else None, t["left"][n] if inner else None, float(t["gain"][n]) if inner and t["gain"] else None, [float(s) for s in t["sums"][n]] if t["sums"] else []))
         return df.sparkSession.createDataFrame(rows, "round int, output int, node int, feature string, threshold double, left int, gain double, sums array<double>")
 
     def _transform(self, df: DataFrame) -> DataFrame:
         state = self.state
 
         @F.pandas_udf("double")
-        def predict(x: pd.DataFrame) -> pd.Series:
-            return pd.Series(predict_blocks(state, x.to_numpy(dtype=float)).astype(float))
+        def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            found = CellAnswers(state)
+            for x in batches:
+                yield pd.Series(found(x.to_numpy(dtype=float)))
 
         cols = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(self.getOrDefault(self.inputCols))]
         found = predict(F.struct(*cols))
