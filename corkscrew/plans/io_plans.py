@@ -300,11 +300,20 @@ def _wide_file(spark, sf_dir):
     return path
 
 
+def _wide_cells(spark, path):
+    """Cells of the file as a written table: fitting and cleaning pass over them
+    several times, the text is read once."""
+    cells = readers.sparse_entries(spark, path)
+    out = scratch_path(spark, "orders-cells")
+    cells.write.parquet(out)
+    return spark.read.schema(cells.schema).parquet(out)
+
+
 @register("cln_sparse_wide", WIDE_SQL)
 def q_sparse_wide(spark, sf_dir):
     """A sparse file of a million columns, filled, reduced and scaled in long form."""
     path = _wide_file(spark, sf_dir)
-    cells = readers.sparse_entries(spark, path)
+    cells = _wide_cells(spark, path)
     cleaner = fit_sparse(cells, readers.indexed_lines(spark, path).count())
     return cleaner.clean(cells).select("row_id", "idx", F.round("val", 9).alias("val"))
 
@@ -315,7 +324,7 @@ def q_sparse_logistic(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
 
     path = _wide_file(spark, sf_dir)
-    cells = readers.sparse_entries(spark, path)
+    cells = _wide_cells(spark, path)
     rows = readers.indexed_lines(spark, path).select("row_id", F.col("line").contains(f"{WIDE}:nan").cast("double").alias("label"))
     vectors = fit_sparse(cells, rows.count()).vectors(cells, rows)
     model = LogisticRegression(maxIter=20, regParam=0.01).fit(vectors)

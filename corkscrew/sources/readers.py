@@ -146,13 +146,11 @@ def sparse_entries(spark: SparkSession, path: str, lines: DataFrame | None = Non
     matrix built from coordinates does).
     """
     lines = lines if lines is not None else indexed_lines(spark, path)
-    tok = lines.select("row_id", F.explode(_tokens()).alias("tok")).where(F.col("tok").contains(":"))
-    parts = tok.select("row_id", F.split("tok", ":").alias("p"))
-    typed = parts.where(F.size("p") == 2).select(
-        "row_id",
-        F.when(F.col("p")[0].rlike(INT_TOKEN), F.col("p")[0].try_cast("int")).alias("idx"),
-        F.col("p")[1].try_cast("double").alias("val"),
-    )
+    # a token is split and read once, inside the row; the outer form plus a null
+    # test keeps the optimizer from doing it again for a size filter
+    parts = F.filter(F.transform(_tokens(), lambda t: F.split(t, ":")), lambda p: F.size(p) == 2)
+    read = F.transform(parts, lambda p: F.struct(F.when(p[0].rlike(INT_TOKEN), p[0].try_cast("int")).alias("idx"), p[1].try_cast("double").alias("val")))
+    typed = lines.select("row_id", F.explode_outer(read).alias("_x")).where(F.col("_x").isNotNull()).select("row_id", "_x.idx", "_x.val")
     good = typed.where(F.col("idx").isNotNull() & (F.col("idx") >= 0) & F.col("val").isNotNull())
     return good.groupBy("row_id", "idx").agg(F.sum("val").alias("val"))
 

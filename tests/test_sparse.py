@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corkscrew.operators.sparse import fit_sparse
+from corkscrew.plans import io_plans
 from corkscrew.sources import readers
 from conftest import write
 
@@ -87,3 +88,23 @@ def test_rows_without_cells(spark):
     out = {r["row_id"]: r for r in fit_sparse(df, 2).vectors(df, rows).collect()}
     assert out[0]["features"].toArray().tolist() == [0.0, 1.0] and out[1]["features"].toArray().tolist() == [0.0, 0.0]
     assert out[1]["idx"] == "y"
+
+
+def test_the_file_is_read_once_for_fitting_and_cleaning(spark, tmp):
+    """Cells are a written table: passes over them read no text."""
+    rows = [(o, line, o * 7 + line, float(1 + (o + line) % 5)) for o in range(1, 30) for line in range(1, 4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp}/lineitem.parquet")
+    path = io_plans._wide_file(spark, tmp)
+    cells = io_plans._wide_cells(spark, path)
+    assert cells.inputFiles() and not any(f.startswith(f"file:{path}") or path in f for f in cells.inputFiles())
+    parsed = readers.sparse_entries(spark, path)
+    assert sorted(map(repr, cells.collect())) == sorted(map(repr, parsed.collect()))
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2  # the line and its tokens, each once
+
+
+def test_tokens_are_read_as_before(spark, tmp):
+    write(f"{tmp}/f/a.txt", "1:2 x 3: :4 5:6:7 +8:1e2 -1:3 9:nan 1:0.5\n\n  2:inf 99999999999:1 7 3:-0\n")
+    got = {(r["row_id"], r["idx"]): r["val"] for r in readers.sparse_entries(spark, f"{tmp}/f").collect()}
+    assert str(got.pop((0, 9))) == "nan"
+    assert got == {(0, 1): 2.5, (0, 8): 100.0, (1, 2): float("inf"), (1, 3): 0.0}
