@@ -10,7 +10,8 @@ among those that vary there is taken, by the fall in variance.
 
 The cells of a tree are held by one task, so that a table with more than
 ``MAX_CELLS_HELD`` of them is fitted by Spark ML's own forest over the rows.
-Missing feature values go into the lowest bin; labels must be finite.
+Features and labels of the training rows must be finite; a missing value in a
+row to be answered goes into the lowest bin.
 """
 
 from __future__ import annotations
@@ -178,11 +179,13 @@ class CellForest(Estimator, _TreeParams, DefaultParamsReadable, DefaultParamsWri
         n_trees, max_depth, seed = int(config.get("trees", 100)), int(config.get("max_depth", 30)), int(config.get("seed", 42))
         w = F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)
         wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{j}") for j, c in enumerate(cols)], F.col(f"`{label}`").cast("double").alias("y"), w.alias("w"))
-        odd = F.col("y").isNull() | F.isnan("y") | (F.abs("y") == float("inf")) | F.col("w").isNull() | F.isnan("w") | (F.col("w") < 0)
+        odd = F.col("w") < 0
+        for c in wide.columns:  # as Spark ML's forests have it
+            odd = odd | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
         mean = F.sum(F.col("y") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))
         s = wide.agg(F.count_if(odd).alias("odd"), mean.alias("mean"), F.var_pop("y").alias("var"), F.sum("w").alias("n")).first()
         if s["odd"] or s["mean"] is None:
-            raise ValueError("a forest needs rows, finite labels and weights that are not negative")
+            raise ValueError("a forest needs rows, finite features and labels, and weights that are not negative")
         edges = bin_edges(df, cols)
         sizes = [len(e) + 1 for e in edges]
         held = cols and float(np.prod(np.array(sizes, float))) < 2.0**62 and self._cells(wide, edges, sizes) <= MAX_CELLS_HELD

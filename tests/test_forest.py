@@ -106,9 +106,9 @@ def test_many_cells_are_fitted_over_rows(spark, monkeypatch):
 def test_odd_rows(spark):
     df, _, _ = frame(spark, 60)
     missing = df.withColumn("a", F.when(F.col("id") % 3 > 0, F.col("a"))).withColumn("b", F.lit(1.0))
-    out = fitted(missing, numTrees=4).transform(missing)
+    out = fitted(df, numTrees=4).transform(missing)
     assert out.where("prediction is null or isnan(prediction)").count() == 0
-    for bad in (df.withColumn("y", F.when(F.col("id") > 2, F.col("y"))), df.withColumn("y", F.lit(float("nan"))), df.limit(0)):
+    for bad in (missing, df.withColumn("y", F.when(F.col("id") > 2, F.col("y"))), df.withColumn("y", F.lit(float("nan"))), df.limit(0)):
         with pytest.raises(ValueError):
             fitted(bad, numTrees=2)
     one = df.limit(1)  # trees that draw no row answer with the mean
