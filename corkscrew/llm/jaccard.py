@@ -19,15 +19,20 @@ set represents, so a group of copies is never joined with itself.
    pairs: they are dealt into buckets by hash, a bucket of m tokens is
    indexed under its pairs and stands for m - 1 rare tokens. Of two linked
    sets the one whose prefix ends first shares a rare token or a pair with
-   the other. The number of buckets follows the size level (powers of two),
+   the other. Buckets are small (two tokens or so), as a bucket's pairs grow
+   with the square of m, and never too many for the prefix to be filled. Their
+   number follows the size level (powers of two),
    which is part of the signature; a set close above a level's lower end is
    indexed for the level below too.
 4. *Verification*: in each signature's group all members meet one of them
    first (stars), which joins groups of near copies with few comparisons.
-   What still lies in different components meets further stars, and in the
+   What still lies in different components meets as every pair in groups of
+   at most ``PAIR_GROUP`` members, further stars in larger ones, and in the
    end every remaining pair from different components. Pairs must agree in
-   size, then in ``sample``, the head in 32 bits (more differences there than
-   linked sets have in all means no link), then in the whole sets. So no link is lost but those
+   size and in the sketch, 256 parities of the set's tokens by hash (each
+   token that only one set has turns one over, so more of them than linked sets
+   have differences means no link), inside the join, then in ``sample``, the head
+   in 32 bits (by the same count), then in the whole sets. So no link is lost but those
    inside a component that other links already join.
 
 Defined results: null, empty or wordless texts have no shingles and their own
@@ -58,8 +63,10 @@ FREQUENT_ROWS = 500_000
 BROADCAST_SIGNATURES = 2_000_000
 #: End of the lowest eighth of the (signed) hash range.
 HEAD_END = -(1 << 63) + (1 << 61)
-#: Rare tokens that one bucket of frequent tokens stands for, about.
-BUCKET_TOKENS = 4
+#: Members of a signature's group that meet as pairs after the first star.
+PAIR_GROUP = 64
+#: Parity words (64 bits each) of a set.
+SKETCH = ("k0", "k1", "k2", "k3")
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -110,8 +117,17 @@ def _shorten(head: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return value[keep], np.concatenate([[0], np.cumsum(keep)])[off]
 
 
+def sketches(off: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Parity words of each set, one column a word: bit i is the parity of its tokens with hash i."""
+    bits = 64 * len(SKETCH)
+    at = (X.mix(value.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(X.owners(off) * bits + at, minlength=(len(off) - 1) * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64)
+
+
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(sid, h1, h2, n, sample, head, tail) of rows (sid, h1, h2, text)."""
+    """(sid, h1, h2, n, k0..., sample, head, tail) of rows (sid, h1, h2, text)."""
+    words = SKETCH  # a value for the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,12 +136,13 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
                 low = value < HEAD_END
                 seen = np.concatenate([[0], np.cumsum(low)])[off]
                 sample, sample_off = _shorten(value[low], seen)
+                marks = [pa.array(k) for k in np.ascontiguousarray(sketches(off, value).T)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(lo, hi - lo).columns[:3], pa.array(np.diff(off).astype(np.int32)), _lists(sample_off, sample), _lists(seen, value[low]), _lists(off - seen, value[~low])],
-                    names=["sid", "h1", "h2", "n", "sample", "head", "tail"],
+                    [*batch.slice(lo, hi - lo).columns[:3], pa.array(np.diff(off).astype(np.int32)), *marks, _lists(sample_off, sample), _lists(seen, value[low]), _lists(off - seen, value[~low])],
+                    names=["sid", "h1", "h2", "n", *words, "sample", "head", "tail"],
                 )
 
-    return rows.mapInArrow(run, "sid long, h1 long, h2 long, n int, sample array<int>, head array<long>, tail array<long>")
+    return rows.mapInArrow(run, f"sid long, h1 long, h2 long, n int, {', '.join(f'{k} long' for k in SKETCH)}, sample array<int>, head array<long>, tail array<long>")
 
 
 def _ceil_share(n, percent: int):
@@ -173,7 +190,8 @@ class Prefixes:
         of = part[np.repeat(np.arange(len(part)), many)]
         at = (self.off[:-1] + self.rare)[who[of]] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
         mixed = X.mix(self.token[at].view(np.uint64) + salt[of])
-        buckets = np.maximum(1, ((100 - self.percent) << level) // (100 * BUCKET_TOKENS))
+        # n - need tokens may go without a pair: at most that many buckets
+        buckets = np.maximum(1, np.minimum((2 << level) // 3, _ceil_share(1 << level, self.percent) - 1))
         bucket = (mixed >> np.uint64(16)).astype(np.int64) % buckets[of]
         order = np.lexsort((np.arange(len(of)), bucket, of))
         rank = np.empty(len(of), np.int64)
@@ -234,15 +252,15 @@ def frequent_tokens(sets: DataFrame, *, percent: int, least: int, passes: int) -
 
 
 def postings(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(sig, sid, n) of every set."""
+    """(sig, sid, h1, n) of every set."""
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig, own = _prefixes(batch, shared.value, percent).signatures()
-            yield pa.RecordBatch.from_arrays([pa.array(sig), batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own))], names=["sig", "sid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig), *[batch.column(i).take(pa.array(own)) for i in range(3)]], names=["sig", "sid", "h1", "n"])
 
-    return sets.select("sid", "n", _tokens()).mapInArrow(run, "sig long, sid long, n int")
+    return sets.select("sid", "h1", "n", _tokens()).mapInArrow(run, "sig long, sid long, h1 long, n int")
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> F.Column:
@@ -277,6 +295,29 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _sketches_fit(percent: int) -> F.Column:
+    apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"{k}_hub"))) for k in SKETCH), F.lit(0))
+    return (100 + percent) * apart.cast("long") <= (100 - percent) * (F.col("n") + F.col("m")).cast("long")
+
+
+def _members(post: DataFrame, marks: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(sig, sid, h1, n, k0..., root, size) of the groups whose members lie in different components."""
+    root = F.col("sid").alias("root")
+    if roots is not None:
+        marks, root = marks.join(roots.withColumnRenamed("node", "sid"), "sid", "left"), F.coalesce("root", "sid").alias("root")
+    rows = post.join(marks, ["sid", "h1"]).select("sig", "sid", "h1", "n", *SKETCH, root)
+    if roots is None:
+        return rows.withColumn("size", F.lit(None).cast("long"))
+    open_ = rows.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("sig", "size")
+    return rows.join(open_, "sig")
+
+
+def _meetings(rows: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(sid, hub) of members that meet a hub of their group and may link with it."""
+    other = hubs.select("sig", F.col("sid").alias("hub"), F.col("n").alias("m"), F.col("root").alias("to"), *[F.col(k).alias(f"{k}_hub") for k in SKETCH])
+    return rows.join(other, "sig").where((F.col("root") != F.col("to")) & _sizes_fit("n", "m", percent) & _sketches_fit(percent))
+
+
 def links(sets: DataFrame, *, percent: int = 85, least: int = 32, passes: int = 3, stars: int = 4) -> DataFrame:
     """Links (a, b) between set ids that keep every component."""
     frequent = frequent_tokens(sets, percent=percent, least=least, passes=passes)
@@ -285,30 +326,37 @@ def links(sets: DataFrame, *, percent: int = 85, least: int = 32, passes: int =
     few = shared.count() <= BROADCAST_SIGNATURES
     post = settle(every.join(F.broadcast(shared) if few else shared, "sig", "left_semi"), "jaccard-groups")
     discard(every, shared)
+    # rows that share an id may hold different texts, and repeated rows are repeated sets
+    marks = sets.groupBy("sid", "h1").agg(*[F.min(k).alias(k) for k in SKETCH])
     found = None
     roots = None
     for turn in range(stars + 1):
-        rows = post.withColumn("root", F.col("sid"))
-        if roots is not None:
-            rows = post.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", "n", F.coalesce("root", "sid").alias("root"))
-            open_ = rows.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("sig")
-            rows = rows.join(open_, "sig")
-        rows = settle(rows, "jaccard-open")
+        rows = settle(_members(post, marks, roots), "jaccard-open")
+        discard(post)
         if not rows.take(1):
+            discard(rows)
             break
-        if turn < stars:
-            hub = rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("k"), "sid", "n", "root")).alias("hub"))
-            other = hub.select("sig", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.root").alias("to"))
-        else:
-            other = rows.select("sig", F.col("sid").alias("hub"), F.col("n").alias("m"), F.col("root").alias("to")).where("1 = 1")
-        pairs = rows.join(other, "sig").where((F.col("root") != F.col("to")) & _sizes_fit("n", "m", percent))
+        met, post = [], None
         if turn == stars:
-            pairs = pairs.where("sid < hub")
-        pairs = settle(pairs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), "jaccard-pairs")
+            met.append(_meetings(rows, rows, percent).where("sid < hub"))
+        else:
+            large = rows.where(F.col("size").isNull() | (F.col("size") > PAIR_GROUP))
+            one = large.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("k"), "sid", "n", "root", *SKETCH)).alias("hub"))
+            met.append(_meetings(large, one.select("sig", "hub.*"), percent))
+            if turn:
+                small = rows.where(F.col("size") <= PAIR_GROUP)
+                met.append(_meetings(small, small, percent).where("sid < hub"))
+            post = settle(large.select("sig", "sid", "h1", "n"), "jaccard-groups")
+        pairs = None
+        for m in met:
+            ends = m.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
+            pairs = ends if pairs is None else pairs.unionByName(ends)
+        pairs = settle(pairs.distinct(), "jaccard-pairs")
+        discard(rows)
         new = verify(pairs, sets, percent)
-        discard(pairs, rows)
+        discard(pairs)
         found = new if found is None else found.unionByName(new)
-        if turn < stars:
+        if post is not None:
             roots = settle(components(found), "jaccard-roots")
     return found if found is not None else sets.sparkSession.createDataFrame([], "a long, b long")
 

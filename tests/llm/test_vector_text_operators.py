@@ -317,6 +317,49 @@ def test_jaccard_odd_rows(spark):
     assert run_jaccard(long) == [(0, 1, 0), (1, 1, 0), (2, 1, 2)]
 
 
+def test_jaccard_unlinked_relatives(spark, monkeypatch):
+    """A large group of texts that share most of their words but do not link is not verified pair by pair."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), 12):
+            words[at] = f"v{i}x{at}"
+        texts.append(" ".join(words))
+    texts += texts[:1] + [texts[1] + " end"]
+    seen = []
+    check = jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *args: seen.append(pairs.count()) or check(pairs, *args))
+    assert run_jaccard(documents(spark, texts), least=4) == jaccard_truth(list(enumerate(texts)))
+    assert sum(seen) < 5 * len(texts)
+
+
+def test_jaccard_sketch_loses_no_link():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 9, 60, 300, 900):
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        gone = rng.integers(0, len(a), max(1, n // 20))
+        b = np.unique(np.concatenate([np.delete(a, gone), rng.integers(-(2**63), 2**63 - 1, n // 30)]))
+        words = jaccard.sketches(np.array([0, len(a), len(a), len(a) + len(b)]), np.concatenate([a, b]))
+        assert not words[1].any()
+        bits = int(np.unpackbits((words[0] ^ words[2]).view(np.uint8)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and (bits - len(np.setxor1d(a, b))) % 2 == 0
+
+
+@pytest.mark.parametrize("percent", [75, 85])
+def test_jaccard_pairs_of_frequent_tokens_stay_few(percent):
+    """A set of frequent tokens alone is indexed under a few pairs for each token of its prefix, and its prefix is filled."""
+    rng = np.random.default_rng(percent)
+    for n in (2, 3, 4, 5, 8, 31, 64, 500, 1023, 4096):
+        token = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        p = jaccard.Prefixes(np.array([0, len(token)]), token, token, percent)
+        sig, own = p.signatures()
+        levels = len(p._levels()[0])
+        assert len(own) <= 12 * levels * max(1, int(p.need[0])) and len(np.unique(sig)) == len(sig)
+        assert len(own) >= levels
+
+
 def test_jaccard_query(spark, sf):
     got = sorted(tuple(r) for r in QUERIES["op13_ngram_jaccard"](spark, sf).select("doc_id", "n_shingles", "component_id").collect())
     assert got == jaccard_truth(all_texts(spark, sf))
