@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import vectorizer_tokens
+from .knn import record_parts
 
 
 @functools.lru_cache(maxsize=None)
@@ -78,7 +79,7 @@ class TfidfModel:
 
     def persist(self) -> TfidfModel:
         self.vocab = self.vocab.cache()
-        self.vectors = self.vectors.repartition(F.col(self.id_col)).cache()
+        self.vectors = self.vectors.repartition(record_parts(self.vectors, self.n_docs), F.col(self.id_col)).cache()
         self.placed = True
         return self
 

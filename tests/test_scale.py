@@ -142,3 +142,11 @@ def test_tasks_that_sort_the_records_grow_in_number_with_them(spark, monkeypatch
     assert parts and min(parts) >= 200 // 4
     got = {(r["request_id"], r["rank"]): r["id"] for r in near.collect()}
     assert [got[1, k] for k in (1, 2, 3)] == [17, 38, 59] and [got[2, k] for k in (1, 2, 3)] == [0, 1, 2]
+
+
+def test_records_of_a_sorting_task_do_not_grow_with_the_table(spark):
+    """About ``TASK_ROWS`` records a task, on few cores too; small tables keep the cores busy."""
+    df = spark.range(1)
+    assert knn.record_parts(df, 0) == spark.sparkContext.defaultParallelism
+    for n in (500_000, 3_000_000):
+        assert n / knn.record_parts(df, n) <= 10_000
