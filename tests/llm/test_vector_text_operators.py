@@ -356,7 +356,7 @@ def test_jaccard_pairs_of_frequent_tokens_stay_few(percent):
         p = jaccard.Prefixes(np.array([0, len(token)]), token, token, percent)
         sig, own = p.signatures()
         levels = len(p._levels()[0])
-        assert len(own) <= 12 * levels * max(1, int(p.need[0])) and len(np.unique(sig)) == len(sig)
+        assert len(own) <= 3 * levels * max(1, int(p.need[0])) and len(np.unique(sig)) == len(sig)
         assert len(own) >= levels
 
 
