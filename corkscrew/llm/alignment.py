@@ -49,12 +49,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .spark import STEP_BYTES, settle, ship, worker_state
+from .spark import settle, ship, worker_state
 
 #: A long document's state entries cover about this many tokens of A.
 STRAND = 64
-#: Entries (documents times distinct pairs) after which a block is closed.
-BLOCK_LINKS = 1 << 20
+#: Text per step: a token takes some hundred bytes of arrays until its step ends.
+STEP_BYTES = 1 << 19
+#: Entries (documents times distinct pairs) after which a block is closed; about ten bytes each.
+BLOCK_LINKS = 1 << 18
+#: Blocks of one file: a scan may hold all rows of a file's batch at once, a write all of a file.
+BLOCKS_PER_FILE = 8
 #: Distinct stretches a worker remembers; others are tokenized each time.
 CACHE_STRETCHES = 300_000
 #: B ids are below this (both ids make one 64-bit pair).
@@ -95,7 +99,7 @@ class TokenizerPair:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(PIECE_SPACE, " ").encode())
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.known: dict[str, bytes] = {}  # do both join?, number of A ids, A ids, B ids
 
     def _tokens(self, stretches: list[str]) -> list[tuple[bytes, bytes, bool]]:
         """(A ids, B ids, do both join to the bytes?) of stretches that start with a space."""
@@ -109,16 +113,23 @@ class TokenizerPair:
         return out
 
     def tokens(self, stretches: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        found = [self.known.get(s) for s in stretches]
+        found = [self._known(s) for s in stretches]
         new = [i for i, f in enumerate(found) if f is None]
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
+        for lo in range(0, len(new), 1024):
+            part = new[lo : lo + 1024]
             for i, tokens in zip(part, self._tokens([stretches[i] for i in part])):
-                found[i] = tokens
+                found[i] = a, b, same = tokens
                 if len(self.known) < CACHE_STRETCHES and len(stretches[i]) <= 64:
-                    self.known[stretches[i]] = tokens
+                    self.known[stretches[i]] = bytes([same]) + (len(a) // 4).to_bytes(2, "little") + a + b  # at most 257 ids
         return found
 
+    def _known(self, stretch: str) -> tuple[bytes, bytes, bool] | None:
+        kept = self.known.get(stretch)
+        if kept is None:
+            return None
+        end = 3 + 4 * int.from_bytes(kept[1:3], "little")
+        return kept[3:end], kept[end:], bool(kept[0])
+
 
 def tokenizer_pair(byte_bpe: bytes, piece_model: bytes) -> TokenizerPair:
     state = worker_state("tokenizer_pairs")
@@ -359,7 +370,7 @@ def align(docs: DataFrame, byte_bpe: str, piece_model: str, *, id_col: str = "do
     for path in (byte_bpe, piece_model):
         with open(path, "rb") as f:
             raw.append(f.read())
-    aligned = settle(blocks(docs, *raw, id_col=id_col, text=text, with_ids=with_ids), "align-blocks")
+    aligned = settle(blocks(docs, *raw, id_col=id_col, text=text, with_ids=with_ids), "align-blocks", BLOCKS_PER_FILE)
     counts = settle(pair_counts(aligned), "align-counts")
     asked = aligned.select("block", F.posexplode("pairs").alias("place", "pair"))
     answers = asked.join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("place", "count", "best")).alias("answers"))  # one block's pairs

@@ -37,11 +37,13 @@ def relax(spark: SparkSession) -> None:
     spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage,
-    survives lost executors and frees the shuffle files behind it."""
+    survives lost executors and frees the shuffle files behind it.
+    ``rows_per_file``: for large rows, which readers and writers gather by file
+    (0: no limit)."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.settled_path = path
     return out
